@@ -131,8 +131,8 @@ def rawfire(spark: SparkSession, sf: str) -> DataFrame:
     """Fire export rows as text, the way the satellite files hold them."""
     ln = F.col("l_linenumber")
     return table(spark, sf, "lineitem").select(
-        (F.lit(27.0) + F.lit(6.5) * ((F.col("l_partkey") * 13) % 1000) / 1000).alias("latitude"),
-        (F.lit(73.0) + F.lit(6.5) * ((F.col("l_suppkey") * 29 + ln * 7) % 1000) / 1000).alias("longitude"),
+        (F.lit(27.0) + F.lit(6.5) * ((F.col("l_partkey") * 13) % 1000) / 1000).cast("decimal(9,4)").cast("string").alias("latitude"),
+        (F.lit(73.0) + F.lit(6.5) * ((F.col("l_suppkey") * 29 + ln * 7) % 1000) / 1000).cast("decimal(9,4)").cast("string").alias("longitude"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("acq_date"),
         ((F.col("l_orderkey") % 24) * 100 + (ln * 7) % 60).cast("int").alias("acq_time"),
         F.when(ln == 1, "NPP").when(ln == 2, "NOAA-20").when(ln == 3, " aqua").when(ln == 4, "Terra")
@@ -241,8 +241,8 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
         l_orderkey%720 as acq_h from lineitem"""),
     "fire_t": (("fire",), """select concat(ok, '|', ln) as fire_id, lat, lon, frp, confidence, acq_h,
         timestamp '2024-01-01 00:00:00' + to_minutes(acq_h*60 + ln*7) as acq from fire"""),
-    "rawfire": ((), """select 27.0e0 + 6.5e0*((l_partkey*13)%1000)/1000 as latitude,
-        73.0e0 + 6.5e0*((l_suppkey*29+l_linenumber*7)%1000)/1000 as longitude,
+    "rawfire": ((), """select cast(cast(27.0e0 + 6.5e0*((l_partkey*13)%1000)/1000 as decimal(9,4)) as varchar) as latitude,
+        cast(cast(73.0e0 + 6.5e0*((l_suppkey*29+l_linenumber*7)%1000)/1000 as decimal(9,4)) as varchar) as longitude,
         strftime(l_shipdate, '%Y-%m-%d') as acq_date,
         cast((l_orderkey%24)*100 + (l_linenumber*7)%60 as integer) as acq_time,
         case l_linenumber when 1 then 'NPP' when 2 then 'NOAA-20' when 3 then ' aqua' when 4 then 'Terra'
