@@ -76,7 +76,8 @@ def raw_model(df: DataFrame, keys: list[str], t: str, coupled: bool = True) -> D
     enter, never the current one; a missing previous hour counts as zero.
     """
     w = series.by(keys, t)
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0.0)) if c in df.columns else F.lit(0.0)
+    depth = "aod_fused" if "aod_fused" in df.columns else "aod"
     d = df.withColumns({f"_p_{c}": F.coalesce(F.lag(c, 1).over(w), F.lit(0.0)) for c in ("pm25", "pm10", "o3")})
     ws = geo.kmh_to_ms(z("ws"))
     pbl = z("pblh_coupled_m") if coupled else z("pblh_base_m")
@@ -102,7 +103,7 @@ def raw_model(df: DataFrame, keys: list[str], t: str, coupled: bool = True) -> D
         "pblh_m": pbl,
         "gamma": F.lit(0.10) * inv + F.lit(0.05) * stag - F.lit(0.01) * clip(ws, 0, 10),
         "ri_bulk": F.lit(0.25) * inv / (F.lit(1.0) + clip(ws, 0, 8)) + F.lit(1e-3),
-        "rh_pct": rh, "ws_ms": ws, "wd_deg": z("wd"), "aod": F.coalesce("aod_fused", "aod", F.lit(0.0)), "t2m_c": temp,
+        "rh_pct": rh, "ws_ms": ws, "wd_deg": z("wd"), "aod": z(depth), "t2m_c": temp,
         "frp_local_mw": F.lit(0.5) * close + F.lit(0.3) * up,
         "fire_exposure": F.lit(FIRE_TO_PM) * decay * (up + F.lit(0.5) * close),
         "obs_pm25": p25, "obs_pm10": p10, "obs_o3": F.col("_p_o3"), "obs_manual": F.lit(0.0),

@@ -7,6 +7,32 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from airlake.functions import geo, physics
+from airlake.operators.series import trailing_sums
+
+
+def hourly_fire_features(fires: DataFrame, hours: DataFrame, wind: DataFrame | None = None, bearing: str = "fire_to_city",
+                         rolls: tuple[int, ...] = (6, 12, 24, 48)) -> DataFrame:
+    """Regional detections (t, lat, lon, frp) to one row per hour of ``hours`` (t).
+
+    ``bearing`` names the direction that is compared with the wind: from the fire to
+    the city (as published) or from the city to the fire.  Hours without detections
+    get zeros and a null distance.
+    """
+    la, lo = (F.lit(x) for x in geo.CITY_CENTRE)
+    lat, lon = F.col("lat"), F.col("lon")
+    ang = geo.bearing_deg(lat, lon, la, lo) if bearing == "fire_to_city" else geo.bearing_deg(la, lo, lat, lon)
+    d = fires.filter(geo.in_box(lat, lon, **geo.REGION_BOX)).select(
+        "t", "frp", geo.haversine_km(lat, lon, la, lo).alias("dist"), ang.alias("ang"))
+    if wind is not None:
+        d = d.join(wind.select("t", "wd"), "t", "left").withColumn("up", geo.upwind(F.col("ang"), F.col("wd")))
+    else:
+        d = d.withColumn("up", geo.upwind(F.col("ang")))
+    per = d.groupBy("t").agg(
+        F.count("*").alias("fire_count"), F.sum("frp").alias("total_frp"), F.avg("frp").alias("mean_frp"), F.max("frp").alias("max_frp"),
+        F.count_if("up").alias("upwind_fire_count"), F.sum(F.when(F.col("up"), F.col("frp"))).alias("upwind_frp"),
+        F.sum(F.when(F.col("dist") <= 50, F.col("frp"))).alias("close_frp_50km"), F.min("dist").alias("min_distance_km"))
+    out = hours.select("t").join(per, "t", "left").fillna(0, subset=[c for c in per.columns if c not in ("t", "min_distance_km")])
+    return trailing_sums(out, "t", "total_frp", rolls, "frp_")
 
 
 def urban_base(cells: DataFrame, nx: int, ny: int, box: dict = geo.DOMAIN_BOX) -> DataFrame:
