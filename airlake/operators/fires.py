@@ -42,3 +42,145 @@ def urban_base(cells: DataFrame, nx: int, ny: int, box: dict = geo.DOMAIN_BOX) -
         (box["lon_max"] - box["lon_min"]) / (nx - 1) * geo.KM_PER_DEGREE * math.cos(mid))
     base = physics.URBAN_KG_KM2_DAY * 1000.0 / 24.0 * cell_km2
     return cells.withColumn("g_per_h", F.lit(base) * physics.diurnal_factor(physics.local_solar_hour(F.col("hour"))))
+
+
+MIN_FRP = 10.0
+LIFETIME_H = 6.0
+KERNEL_KM = 40.0
+SALTS = 16
+CELL_EF_G_PER_MJ = 0.009
+
+
+def _lat_factor(fire_lat: Column, cell_lat: Column) -> Column:
+    return F.exp(-F.pow((cell_lat - fire_lat) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM), F.lit(2)))
+
+
+def _lon_factor(fire_lat: Column, fire_lon: Column, cell_lon: Column) -> Column:
+    return F.exp(-F.pow((cell_lon - fire_lon) * F.cos(F.radians(fire_lat)) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM), F.lit(2)))
+
+
+def _axis(grid: DataFrame, idx: str, coord: str) -> Column:
+    """One grid axis as a scalar array of (index, coordinate); its length is the grid width."""
+    return grid.select(idx, coord).distinct().agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("k"), F.col(coord).alias("x")))).alias("a")).scalar()
+
+
+def _kernel_sums(places: DataFrame, keys: list[str], grid: DataFrame, normalised: bool) -> DataFrame:
+    """Rows (keys, i, j, s): sum of power x Gaussian kernel over all fires of a key.
+
+    The kernel is a product of a latitude and a longitude factor, so the fires are first
+    summed per (fire latitude, cell column) and then spread over the cell rows: no fire
+    is ever paired with every cell.
+    """
+    xi, yj = _axis(grid, "i", "lon"), _axis(grid, "j", "lat")
+    lat, lon = F.col("lat"), F.col("lon")
+    d = places.withColumn("_xi", xi)
+    lon_sum = F.aggregate("_xi", F.lit(0.0), lambda a, e: a + _lon_factor(lat, lon, e["x"]))
+    share = F.col("frp") / F.when(lon_sum > 0, lon_sum).otherwise(F.lit(1.0)) if normalised else F.col("frp")
+    col = (
+        d.withColumn("_w", share).withColumn("_e", F.explode("_xi"))
+        .select(*keys, "lat", F.col("_e.k").alias("i"), (F.col("_w") * _lon_factor(lat, lon, F.col("_e.x"))).alias("_s"))
+        .groupBy(*keys, "lat", "i").agg(F.sum("_s").alias("_s"))
+    )
+    d = col.withColumn("_yj", yj)
+    lat_sum = F.aggregate("_yj", F.lit(0.0), lambda a, e: a + _lat_factor(lat, e["x"]))
+    share = F.col("_s") / F.when(lat_sum > 0, lat_sum).otherwise(F.lit(1.0)) if normalised else F.col("_s")
+    return (
+        d.withColumn("_w", share).withColumn("_e", F.explode("_yj"))
+        .select(*keys, "i", F.col("_e.k").alias("j"), (F.col("_w") * _lat_factor(lat, F.col("_e.x"))).alias("_s"))
+        .groupBy(*keys, "i", "j").agg(F.sum("_s").alias("s"))
+    )
+
+
+def fire_density(fires: DataFrame, grid: DataFrame, min_frp: float = MIN_FRP) -> DataFrame:
+    """Per cell the kernel-weighted power; fires at one place are summed first."""
+    places = fires.filter(F.col("frp") >= min_frp).groupBy("lat", "lon").agg(F.sum("frp").alias("frp"))
+    return _kernel_sums(places, [], grid, normalised=False).withColumnRenamed("s", "density")
+
+
+def _spans(fires: DataFrame, acq: str, life_h: float) -> DataFrame:
+    """First active hour and number of active hours per fire."""
+    a = F.col(acq)
+    floor = F.date_trunc("hour", a).cast("timestamp_ntz")
+    first = F.when(floor == a, floor).otherwise(floor + F.expr("interval 1 hour"))
+    gap_h = F.timestamp_diff("MICROSECOND", a, first) / F.lit(3.6e9)
+    return fires.withColumns({"_first": first, "_n": F.ceil(F.lit(float(life_h)) - gap_h).cast("int")}).filter("_n > 0")
+
+
+def _spread_hours(df: DataFrame, cols: list[str], values: list[str], hours: DataFrame | None) -> DataFrame:
+    """Sums per first hour to sums per active hour, optionally limited to the hours of a run."""
+    d = df.withColumn("hour", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.col("_first") + F.make_dt_interval(F.lit(0), k))))
+    if hours is not None:
+        d = d.join(hours.select("hour").distinct(), "hour", "left_semi")
+    return d.groupBy("hour", *cols).agg(*[F.sum(v).alias(v) for v in values])
+
+
+def kernel_emissions(fires: DataFrame, grid: DataFrame, acq: str = "acq", hours: DataFrame | None = None, life_h: float = LIFETIME_H,
+                     min_frp: float = MIN_FRP, fuel_scale: float = 1000.0) -> DataFrame:
+    """Rows (hour, i, j, one column per species) in g/h; each fire's mass is spread by its normalised kernel."""
+    d = _spans(fires.filter(F.col("frp") >= min_frp), acq, life_h)
+    places = d.groupBy("_first", "_n", "lat", "lon").agg(F.sum("frp").alias("frp"))
+    per = _kernel_sums(places, ["_first", "_n"], grid, normalised=True)
+    out = _spread_hours(per, ["i", "j"], ["s"], hours)
+    return out.select("hour", "i", "j", *[c.alias(sp) for sp, c in physics.fire_emission(F.col("s"), fuel_scale).items()])
+
+
+def cell_hour_emissions(fires: DataFrame, acq: str = "acq", hours: DataFrame | None = None, life_h: float = LIFETIME_H, min_frp: float = MIN_FRP,
+                        fraction: str = "surface_fraction") -> DataFrame:
+    """Rows (hour, i, j, surface, elevated) in g/h; the fire's cell and surface fraction are input columns."""
+    rate = F.col("frp") * F.lit(CELL_EF_G_PER_MJ * 3600.0)
+    d = _spans(fires.filter((F.col("frp") >= min_frp) & F.col("i").isNotNull() & F.col("j").isNotNull()), acq, life_h)
+    per = d.groupBy("_first", "_n", "i", "j").agg(F.sum(rate * F.col(fraction)).alias("surface_gph"), F.sum(rate * (F.lit(1.0) - F.col(fraction))).alias("elevated_gph"))
+    return _spread_hours(per, ["i", "j"], ["surface_gph", "elevated_gph"], hours)
+
+
+def fire_influence(fires: DataFrame, wind: DataFrame, acq: str = "acq", life_h: float = LIFETIME_H, min_frp: float = MIN_FRP,
+                   angle: str = "math") -> DataFrame:
+    """Rows (hour, i, j, influence, upwind, downwind), each scaled by its largest value over all hours and cells.
+
+    ``wind`` holds (hour, i, j, lat, lon, wd).  Fires at one place and hour are summed
+    first; each hour's wind field travels as one array of grid size and is joined on
+    (hour, salt), so a single busy hour is worked on by many tasks.  ``angle`` math
+    keeps the published projection (cos, sin) on (east, north); ``met`` uses the
+    direction the wind blows to.
+    """
+    d = _spans(fires.filter(F.col("frp") >= min_frp), acq, life_h)
+    d = d.groupBy("_first", "_n", "lat", "lon").agg(F.sum("frp").alias("frp"))
+    d = d.withColumn("hour", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.col("_first") + F.make_dt_interval(F.lit(0), k))))
+    d = d.groupBy("hour", "lat", "lon").agg(F.sum("frp").alias("frp")).withColumn("_salt", F.pmod(F.xxhash64("lat", "lon"), F.lit(SALTS)).cast("int"))
+    cells = wind.groupBy("hour").agg(F.collect_list(F.struct("i", "j", F.col("lat").alias("la"), F.col("lon").alias("lo"), "wd")).alias("_cells"))
+    cells = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x = d.join(cells, ["hour", "_salt"]).select("hour", "_salt", "lat", "lon", "frp", F.explode("_cells").alias("c"))
+    km = F.lit(geo.KM_PER_DEGREE)
+    x = x.select("hour", "_salt", "frp", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.radians("c.wd").alias("_wd"),
+                 ((F.col("c.lo") - F.col("lon")) * F.cos(F.radians("lat")) * km).alias("_ex"), ((F.col("c.la") - F.col("lat")) * km).alias("_ny"))
+    x = x.withColumn("_d", F.hypot("_ex", "_ny"))
+    if angle == "math":
+        dot = F.col("_ex") * F.cos("_wd") + F.col("_ny") * F.sin("_wd")
+    else:
+        dot = -(F.col("_ex") * F.sin("_wd") + F.col("_ny") * F.cos("_wd"))
+    x = x.withColumn("_a", dot / (F.col("_d") + 1))
+    down = F.least(F.greatest(F.col("_a"), F.lit(0.0)), F.lit(1.0))
+    up = F.least(F.greatest(-F.col("_a"), F.lit(0.0)), F.lit(1.0))
+    kernel = F.exp(-F.pow(F.col("_d") / F.lit(KERNEL_KM), F.lit(2)))
+    part = x.groupBy("hour", "_salt", "i", "j").agg(
+        F.sum(kernel * (F.lit(1.0) + F.lit(1.6) * down) * F.col("frp")).alias("influence"), F.sum(up * F.col("frp")).alias("upwind"),
+        F.sum(down * F.col("frp")).alias("downwind"))
+    return part.groupBy("hour", "i", "j").agg(*[F.sum(c).alias(c) for c in ("influence", "upwind", "downwind")])
+
+
+def normalise_by_max(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Each column over its global maximum (one aggregate row, joined as a scalar)."""
+    top = df.agg(F.struct(*[F.max(c).alias(c) for c in cols]).alias("m")).scalar()
+    return df.withColumn("_m", top).withColumns({
+        c: F.col(c) / F.when(F.col("_m").getField(c) > 0, F.col("_m").getField(c)).otherwise(F.lit(1.0)) for c in cols}).drop("_m")
+
+
+def fire_state(fires: DataFrame, hours: DataFrame, influence: DataFrame | None = None, acq: str = "acq", life_h: float = LIFETIME_H) -> DataFrame:
+    """Per hour: fires known, fires active, active power and mean influence."""
+    known = fires.agg(F.count("*").alias("n")).scalar()
+    per = _spread_hours(_spans(fires, acq, life_h).groupBy("_first", "_n").agg(F.count("*").alias("n_active"), F.sum("frp").alias("total_frp_mw")),
+                        [], ["n_active", "total_frp_mw"], None)
+    out = hours.select("hour").join(per, "hour", "left").fillna(0, subset=["n_active", "total_frp_mw"]).withColumn("n_fires", known)
+    if influence is not None:
+        out = out.join(influence.groupBy("hour").agg(F.avg("influence").alias("mean_influence")), "hour", "left")
+    return out

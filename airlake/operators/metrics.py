@@ -85,7 +85,7 @@ def regime_rows(ch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def regime_list(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([(n,) for n in REGIMES], "regime string")
+    return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in REGIMES])).alias("regime"))
 
 
 def episode(fc: DataFrame, ch: DataFrame, regime: str, keys: list[str]) -> DataFrame:
