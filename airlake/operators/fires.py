@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from airlake.functions import geo, physics
 from airlake.operators.series import trailing_sums
+from airlake.session import cut_lineage
 
 
 def hourly_fire_features(fires: DataFrame, hours: DataFrame, wind: DataFrame | None = None, bearing: str = "fire_to_city",
@@ -47,10 +48,20 @@ def urban_base(cells: DataFrame, nx: int, ny: int, box: dict = geo.DOMAIN_BOX) -
 MIN_FRP = 10.0
 LIFETIME_H = 6.0
 KERNEL_KM = 40.0
-SALTS = 16
+SALTS = 8
 CELL_EF_G_PER_MJ = 0.009
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Shuffle compact rows over all tasks before they are multiplied.
+
+    A fixed partition number keeps adaptive execution from merging the small input of a
+    large expansion into one task, and the shuffle keeps per-row sums from being
+    evaluated again for every multiplied row.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def _lat_factor(fire_lat: Column, cell_lat: Column) -> Column:
     return F.exp(-F.pow((cell_lat - fire_lat) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM), F.lit(2)))
 
@@ -77,7 +88,7 @@ def _kernel_sums(places: DataFrame, keys: list[str], grid: DataFrame, normalised
     lon_sum = F.aggregate("_xi", F.lit(0.0), lambda a, e: a + _lon_factor(lat, lon, e["x"]))
     share = F.col("frp") / F.when(lon_sum > 0, lon_sum).otherwise(F.lit(1.0)) if normalised else F.col("frp")
     col = (
-        d.withColumn("_w", share).withColumn("_e", F.explode("_xi"))
+        spread(d.select(*keys, "lat", "lon", share.alias("_w")), *keys, "lat", "lon").withColumn("_e", F.explode(xi))
         .select(*keys, "lat", F.col("_e.k").alias("i"), (F.col("_w") * _lon_factor(lat, lon, F.col("_e.x"))).alias("_s"))
         .groupBy(*keys, "lat", "i").agg(F.sum("_s").alias("_s"))
     )
@@ -85,7 +96,7 @@ def _kernel_sums(places: DataFrame, keys: list[str], grid: DataFrame, normalised
     lat_sum = F.aggregate("_yj", F.lit(0.0), lambda a, e: a + _lat_factor(lat, e["x"]))
     share = F.col("_s") / F.when(lat_sum > 0, lat_sum).otherwise(F.lit(1.0)) if normalised else F.col("_s")
     return (
-        d.withColumn("_w", share).withColumn("_e", F.explode("_yj"))
+        spread(d.select(*keys, "lat", "i", share.alias("_w")), *keys, "lat", "i").withColumn("_e", F.explode(yj))
         .select(*keys, "i", F.col("_e.k").alias("j"), (F.col("_w") * _lat_factor(lat, F.col("_e.x"))).alias("_s"))
         .groupBy(*keys, "i", "j").agg(F.sum("_s").alias("s"))
     )
@@ -147,11 +158,18 @@ def fire_influence(fires: DataFrame, wind: DataFrame, acq: str = "acq", life_h:
     d = d.groupBy("_first", "_n", "lat", "lon").agg(F.sum("frp").alias("frp"))
     d = d.withColumn("hour", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.col("_first") + F.make_dt_interval(F.lit(0), k))))
     d = d.groupBy("hour", "lat", "lon").agg(F.sum("frp").alias("frp")).withColumn("_salt", F.pmod(F.xxhash64("lat", "lon"), F.lit(SALTS)).cast("int"))
-    cells = wind.groupBy("hour").agg(F.collect_list(F.struct("i", "j", F.col("lat").alias("la"), F.col("lon").alias("lo"), "wd")).alias("_cells"))
-    cells = cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    x = d.join(cells, ["hour", "_salt"]).select("hour", "_salt", "lat", "lon", "frp", F.explode("_cells").alias("c"))
+    nodes = wind.select("i", "j", "lat", "lon").distinct().agg(F.sort_array(F.collect_list(F.struct("i", "j", F.col("lat").alias("la"), F.col("lon").alias("lo")))).alias("n")).scalar()
+    # one array of directions per hour, in node order; an incomplete hour is aligned by its cell keys
+    seen = wind.groupBy("hour").agg(F.sort_array(F.collect_list(F.struct("i", "j", "wd"))).alias("_l")).withColumn("_nodes", nodes)
+    by_cell = F.map_from_entries(F.transform("_l", lambda e: F.struct(F.struct(e["i"].alias("i"), e["j"].alias("j")).alias("k"), e["wd"].alias("v"))))
+    aligned = F.transform("_nodes", lambda c: F.try_element_at(by_cell, F.struct(c["i"].alias("i"), c["j"].alias("j"))))
+    seen = seen.select("hour", F.when(F.size("_l") == F.size("_nodes"), F.transform("_l", lambda e: e["wd"])).otherwise(aligned).alias("_w"))
+    # the shuffle keeps the arrays from being rebuilt for every detection
+    winds = seen.repartition("hour").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    x = spread(d, "hour", "_salt").join(winds, ["hour", "_salt"]).select("hour", "_salt", "lat", "lon", "frp", F.posexplode("_w").alias("_pos", "_wd")).filter("_wd is not null")
+    x = x.withColumn("c", F.get(nodes, F.col("_pos")))
     km = F.lit(geo.KM_PER_DEGREE)
-    x = x.select("hour", "_salt", "frp", F.col("c.i").alias("i"), F.col("c.j").alias("j"), F.radians("c.wd").alias("_wd"),
+    x = x.select("hour", "_salt", "frp", "_pos", F.radians("_wd").alias("_wd"),
                  ((F.col("c.lo") - F.col("lon")) * F.cos(F.radians("lat")) * km).alias("_ex"), ((F.col("c.la") - F.col("lat")) * km).alias("_ny"))
     x = x.withColumn("_d", F.hypot("_ex", "_ny"))
     if angle == "math":
@@ -162,14 +180,20 @@ def fire_influence(fires: DataFrame, wind: DataFrame, acq: str = "acq", life_h:
     down = F.least(F.greatest(F.col("_a"), F.lit(0.0)), F.lit(1.0))
     up = F.least(F.greatest(-F.col("_a"), F.lit(0.0)), F.lit(1.0))
     kernel = F.exp(-F.pow(F.col("_d") / F.lit(KERNEL_KM), F.lit(2)))
-    part = x.groupBy("hour", "_salt", "i", "j").agg(
+    part = x.groupBy("hour", "_salt", "_pos").agg(
         F.sum(kernel * (F.lit(1.0) + F.lit(1.6) * down) * F.col("frp")).alias("influence"), F.sum(up * F.col("frp")).alias("upwind"),
         F.sum(down * F.col("frp")).alias("downwind"))
-    return part.groupBy("hour", "i", "j").agg(*[F.sum(c).alias(c) for c in ("influence", "upwind", "downwind")])
+    cols = ("influence", "upwind", "downwind")
+    total = part.groupBy("hour", "_pos").agg(*[F.sum(c).alias(c) for c in cols]).withColumn("c", F.get(nodes, F.col("_pos")))
+    return total.select("hour", F.col("c.i").alias("i"), F.col("c.j").alias("j"), *cols)
 
 
 def normalise_by_max(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Each column over its global maximum (one aggregate row, joined as a scalar)."""
+    """Each column over its global maximum (one aggregate row, joined as a scalar).
+
+    The sums are checkpointed first, because both passes need them.
+    """
+    df = cut_lineage(df)
     top = df.agg(F.struct(*[F.max(c).alias(c) for c in cols]).alias("m")).scalar()
     return df.withColumn("_m", top).withColumns({
         c: F.col(c) / F.when(F.col("_m").getField(c) > 0, F.col("_m").getField(c)).otherwise(F.lit(1.0)) for c in cols}).drop("_m")

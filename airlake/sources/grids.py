@@ -22,7 +22,7 @@ def grid_table(boxes: DataFrame, dx_km: float = 4.0, dy_km: float = 4.0, variant
     """Nodes (i, j, lat, lon) of every box row (lat_min, lat_max, lon_min, lon_max); both axes are generated."""
     b = [F.col(c) for c in ("lat_min", "lat_max", "lon_min", "lon_max")]
     nx, ny = grid_shape(*b, dx_km, dy_km, variant)
-    d = boxes.withColumns({"nx": nx, "ny": ny})
+    d = boxes.withColumns({"nx": nx, "ny": ny}).filter("nx > 0 and ny > 0")
     d = d.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nx") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)))
     lon = F.col("lon_min") + F.col("i") * (F.col("lon_max") - F.col("lon_min")) / F.greatest(F.col("nx") - 1, F.lit(1))
     lat = F.col("lat_min") + F.col("j") * (F.col("lat_max") - F.col("lat_min")) / F.greatest(F.col("ny") - 1, F.lit(1))
