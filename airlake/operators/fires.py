@@ -63,11 +63,13 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _lat_factor(fire_lat: Column, cell_lat: Column) -> Column:
-    return F.exp(-F.pow((cell_lat - fire_lat) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM), F.lit(2)))
+    x = (cell_lat - fire_lat) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM)
+    return F.exp(-(x * x))
 
 
 def _lon_factor(fire_lat: Column, fire_lon: Column, cell_lon: Column) -> Column:
-    return F.exp(-F.pow((cell_lon - fire_lon) * F.cos(F.radians(fire_lat)) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM), F.lit(2)))
+    x = (cell_lon - fire_lon) * F.cos(F.radians(fire_lat)) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM)
+    return F.exp(-(x * x))
 
 
 def _axis(grid: DataFrame, idx: str, coord: str) -> Column:
@@ -84,19 +86,18 @@ def _kernel_sums(places: DataFrame, keys: list[str], grid: DataFrame, normalised
     """
     xi, yj = _axis(grid, "i", "lon"), _axis(grid, "j", "lat")
     lat, lon = F.col("lat"), F.col("lon")
-    d = places.withColumn("_xi", xi)
-    lon_sum = F.aggregate("_xi", F.lit(0.0), lambda a, e: a + _lon_factor(lat, lon, e["x"]))
-    share = F.col("frp") / F.when(lon_sum > 0, lon_sum).otherwise(F.lit(1.0)) if normalised else F.col("frp")
+    share = F.col("frp")
+    if normalised:
+        places = places.withColumns({"_xi": xi, "_yj": yj})
+        total = F.aggregate("_xi", F.lit(0.0), lambda a, e: a + _lon_factor(lat, lon, e["x"])) * F.aggregate("_yj", F.lit(0.0), lambda a, e: a + _lat_factor(lat, e["x"]))
+        share = share / F.when(total > 0, total).otherwise(F.lit(1.0))
     col = (
-        spread(d.select(*keys, "lat", "lon", share.alias("_w")), *keys, "lat", "lon").withColumn("_e", F.explode(xi))
-        .select(*keys, "lat", F.col("_e.k").alias("i"), (F.col("_w") * _lon_factor(lat, lon, F.col("_e.x"))).alias("_s"))
-        .groupBy(*keys, "lat", "i").agg(F.sum("_s").alias("_s"))
+        spread(places.select(*keys, "lat", "lon", share.alias("_w")), *keys, "lat", "lon").withColumn("_e", F.explode(xi))
+        .select(*keys, "lat", F.col("_e.k").alias("i"), (F.col("_w") * _lon_factor(lat, lon, F.col("_e.x"))).alias("_w"))
+        .groupBy(*keys, "lat", "i").agg(F.sum("_w").alias("_w"))
     )
-    d = col.withColumn("_yj", yj)
-    lat_sum = F.aggregate("_yj", F.lit(0.0), lambda a, e: a + _lat_factor(lat, e["x"]))
-    share = F.col("_s") / F.when(lat_sum > 0, lat_sum).otherwise(F.lit(1.0)) if normalised else F.col("_s")
     return (
-        spread(d.select(*keys, "lat", "i", share.alias("_w")), *keys, "lat", "i").withColumn("_e", F.explode(yj))
+        spread(col, *keys, "i").withColumn("_e", F.explode(yj))
         .select(*keys, "i", F.col("_e.k").alias("j"), (F.col("_w") * _lat_factor(lat, F.col("_e.x"))).alias("_s"))
         .groupBy(*keys, "i", "j").agg(F.sum("_s").alias("s"))
     )
@@ -163,23 +164,24 @@ def fire_influence(fires: DataFrame, wind: DataFrame, acq: str = "acq", life_h:
     seen = wind.groupBy("hour").agg(F.sort_array(F.collect_list(F.struct("i", "j", "wd"))).alias("_l")).withColumn("_nodes", nodes)
     by_cell = F.map_from_entries(F.transform("_l", lambda e: F.struct(F.struct(e["i"].alias("i"), e["j"].alias("j")).alias("k"), e["wd"].alias("v"))))
     aligned = F.transform("_nodes", lambda c: F.try_element_at(by_cell, F.struct(c["i"].alias("i"), c["j"].alias("j"))))
-    seen = seen.select("hour", F.when(F.size("_l") == F.size("_nodes"), F.transform("_l", lambda e: e["wd"])).otherwise(aligned).alias("_w"))
-    # the shuffle keeps the arrays from being rebuilt for every detection
-    winds = seen.repartition("hour").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    x = spread(d, "hour", "_salt").join(winds, ["hour", "_salt"]).select("hour", "_salt", "lat", "lon", "frp", F.posexplode("_w").alias("_pos", "_wd")).filter("_wd is not null")
-    x = x.withColumn("c", F.get(nodes, F.col("_pos")))
-    km = F.lit(geo.KM_PER_DEGREE)
-    x = x.select("hour", "_salt", "frp", "_pos", F.radians("_wd").alias("_wd"),
-                 ((F.col("c.lo") - F.col("lon")) * F.cos(F.radians("lat")) * km).alias("_ex"), ((F.col("c.la") - F.col("lat")) * km).alias("_ny"))
-    x = x.withColumn("_d", F.hypot("_ex", "_ny"))
+    deg = F.when(F.size("_l") == F.size("_nodes"), F.transform("_l", lambda e: e["wd"])).otherwise(aligned)
     if angle == "math":
-        dot = F.col("_ex") * F.cos("_wd") + F.col("_ny") * F.sin("_wd")
+        unit = lambda a: F.struct(F.cos(F.radians(a)).alias("e"), F.sin(F.radians(a)).alias("n"))
     else:
-        dot = -(F.col("_ex") * F.sin("_wd") + F.col("_ny") * F.cos("_wd"))
-    x = x.withColumn("_a", dot / (F.col("_d") + 1))
-    down = F.least(F.greatest(F.col("_a"), F.lit(0.0)), F.lit(1.0))
-    up = F.least(F.greatest(-F.col("_a"), F.lit(0.0)), F.lit(1.0))
-    kernel = F.exp(-F.pow(F.col("_d") / F.lit(KERNEL_KM), F.lit(2)))
+        unit = lambda a: F.struct((-F.sin(F.radians(a))).alias("e"), (-F.cos(F.radians(a))).alias("n"))
+    seen = seen.select("hour", F.transform(deg, lambda a: F.when(a.isNotNull(), unit(a))).alias("_w"))
+    # the shuffle keeps the arrays from being rebuilt for every detection
+    winds = spread(seen, "hour").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    km = F.lit(geo.KM_PER_DEGREE)
+    d = spread(d.withColumn("_kx", F.cos(F.radians("lat")) * km), "hour", "_salt")
+    x = d.join(winds, ["hour", "_salt"]).select("hour", "_salt", "lat", "lon", "frp", "_kx", F.posexplode("_w").alias("_pos", "_u")).filter("_u is not null")
+    x = x.withColumn("c", F.get(nodes, F.col("_pos"))).select(
+        "hour", "_salt", "frp", "_pos", "_u.e", "_u.n", ((F.col("c.lo") - F.col("lon")) * F.col("_kx")).alias("_ex"), ((F.col("c.la") - F.col("lat")) * km).alias("_ny"))
+    x = x.withColumn("_d2", F.col("_ex") * F.col("_ex") + F.col("_ny") * F.col("_ny"))
+    # alignment of the fire-to-cell vector with the wind, -1..1
+    x = x.select("hour", "_salt", "frp", "_pos", "_d2", ((F.col("_ex") * F.col("e") + F.col("_ny") * F.col("n")) / (F.sqrt("_d2") + 1)).alias("_a"))
+    down, up = F.greatest(F.col("_a"), F.lit(0.0)), F.greatest(-F.col("_a"), F.lit(0.0))
+    kernel = F.exp(F.col("_d2") * F.lit(-1.0 / (KERNEL_KM * KERNEL_KM)))
     part = x.groupBy("hour", "_salt", "_pos").agg(
         F.sum(kernel * (F.lit(1.0) + F.lit(1.6) * down) * F.col("frp")).alias("influence"), F.sum(up * F.col("frp")).alias("upwind"),
         F.sum(down * F.col("frp")).alias("downwind"))

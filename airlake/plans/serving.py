@@ -91,7 +91,7 @@ _N = ["n", "bias", "mae", "rmse", "r2", "correlation"]
     st as (select cast(city as varchar) as c, {m_sql()}, avg(case when yobs between lo and hi then 1 else 0 end) as coverage from fc group by 1),
     ab as (select {rsql('sqrt(avg(power(yobs-yhat,2)))')} as rmse_a, {rsql('sqrt(avg(power(yobs-lo,2)))')} as rmse_b, {rsql('(1-sqrt(avg(power(yobs-yhat,2)))/sqrt(avg(power(yobs-lo,2))))*100')} as improvement_pct from fc),
     al as ({_melt('models', 'model', _N, 'mo')} union all {_melt('stations', 'c', [*_N, 'coverage'], 'st')} union all {_melt('episodes', 'regime', _N, 'epl')} union all {_melt('ablation', "'coupling'", ['rmse_a', 'rmse_b', 'improvement_pct'], 'ab')})
-    select section, label, metric, round(value*1.000000001e0,3) as value from al""")
+    select section, label, metric, round(value*1.000000001e0,4) as value from al""")
 def validation_report(spark, sf):
     d = serve.validation_report(fx.fc(spark, sf), fx.chx(spark, sf), {"persistence": "yhat", "shifted": "lo"}, "yobs", ["city", "t"], "yhat", "lo")
-    return d.select("section", "label", "metric", _rt("value", 3).alias("value"))
+    return d.select("section", "label", "metric", _rt("value", 4).alias("value"))
