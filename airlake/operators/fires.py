@@ -57,9 +57,10 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
     A fixed partition number keeps adaptive execution from merging the small input of a
     large expansion into one task, and the shuffle keeps per-row sums from being
-    evaluated again for every multiplied row.
+    evaluated again for every multiplied row.  Hashing the columns first stops the planner
+    from dropping the shuffle as equal to the one of a preceding aggregate.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*cols))
 
 
 def _lat_factor(fire_lat: Column, cell_lat: Column) -> Column:
