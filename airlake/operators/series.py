@@ -135,8 +135,8 @@ def timeseries_tail(df: DataFrame, t: str, seq: str, n: int, *filters: Column) -
     return hit.orderBy(F.col(t).desc(), F.col(seq).desc()).limit(n).orderBy(t, seq)
 
 
-def recent_topk(df: DataFrame, t: str, tie: str, n: int) -> DataFrame:
-    return df.orderBy(F.col(t).desc(), F.col(tie).asc()).limit(n)
+def recent_topk(df: DataFrame, t: str, ties: list[str], n: int) -> DataFrame:
+    return df.orderBy(F.col(t).desc(), *ties).limit(n)
 
 
 def first_rows(df: DataFrame, order: list[str], n: int, *filters: Column) -> DataFrame:

@@ -15,7 +15,7 @@ def dashboard(fc: DataFrame, fires: DataFrame, obs: DataFrame, ledger: DataFrame
     summary = metrics.improvement_pct(fc, "yobs", "yhat", "lo").withColumns({
         "stations": fc.agg(F.countDistinct("city").alias("n")).scalar(), "raw_rmse": F.col("rmse_b"), "engine_rmse": F.col("rmse_a")})
     box = geo.in_box(F.col("lat"), F.col("lon"), **geo.NCR_BOX)
-    newest = series.recent_topk(fires.filter(box), "acq", "fire_id", n_fires)
+    newest = series.recent_topk(fires.filter(box), "acq", ["fire_id", "frp", "lat", "lon"], n_fires)
     last = series.latest_per_key(obs, ["station_id", "metric"], "observed_at_utc", "seq")
     return ag.union_all([
         ag.long_block(summary, "forecast", run, ["stations", "raw_rmse", "engine_rmse", "improvement_pct"]),

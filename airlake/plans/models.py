@@ -1 +1,33 @@
-"""Registered queries."""
+"""Model queries (rows are checked, values depend on the learner)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from airlake import fixtures as fx
+from airlake.operators import models
+from airlake.plans.registry import query
+from airlake.plans.windows import split_frame
+
+
+def model_frame(spark, sf):
+    """Observed, split, place and forcing columns of rows with a persistence base."""
+    base = fx.fc(spark, sf).select("city", "t", "yhat")
+    d = split_frame(spark, sf).filter("pm25 is not null").join(base, ["city", "t"])
+    return d.select("city", "t", "split", "lat", "lon", "pm25", F.col("yhat").alias("base"), "temp", "wd", F.coalesce("ws", F.lit(0.0)).alias("ws"),
+                    F.coalesce("aod", F.lit(0.0)).alias("fire"), F.col("inv").cast("double").alias("inv"))
+
+
+@query("gbt_direct")
+def gbt_direct(spark, sf):
+    return models.gbt_direct(model_frame(spark, sf), ["city"], "t", "pm25", context=6, rounds=5, depth=3)
+
+
+@query("gbt_residual")
+def gbt_residual(spark, sf):
+    return models.gbt_residual(model_frame(spark, sf), ["city"], "t", "pm25", "base", rounds=5, depth=3)
+
+
+@query("feature_ablation")
+def feature_ablation(spark, sf):
+    return models.ablation(model_frame(spark, sf), ["city"], "t", "pm25", "base", {"weather": ["temp", "wd", "ws"], "fire": ["fire"], "inversion": ["inv"]}, rounds=3, depth=3)

@@ -1 +1,77 @@
-"""Registered queries."""
+"""Streaming queries: file sources written from the given tables, sinks read back as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from airlake import fixtures as fx, schemas
+from airlake.plans.registry import query
+from airlake.plans.windows import _rt, rsql
+from airlake.session import new_dir
+from airlake.streaming import streams
+
+R = F.round
+FAR = "timestamp_ntz'2030-01-01 00:00:00'"
+
+
+def _land(df, base: str, name: str) -> str:
+    path = f"{base}/{name}"
+    df.write.mode("append").parquet(path)
+    return path
+
+
+def _sink(spark, df, base: str, schema: str):
+    streams.run(df, f"{base}/out", f"{base}/ckpt")
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query("stream_ingest_clean", "obs", "select seq, station_id, metric, value, date_trunc('hour', observed_at_utc) as hour from obs where value between 5 and 250")
+def stream_ingest_clean(spark, sf):
+    base = new_dir(spark, "k1")
+    src = _land(fx.obs(spark, sf).repartition(4, "seq"), base, "in")
+    d = streams.clean(streams.read_stream(spark, src, schemas.OBSERVATION, files_per_trigger=2), 5, 250).select("seq", "station_id", "metric", "value", "hour")
+    return _sink(spark, d, base, "seq BIGINT, station_id BIGINT, metric STRING, value DOUBLE, hour TIMESTAMP_NTZ")
+
+
+@query("stream_dedupe", "fire_t", "select distinct fire_id, acq from fire_t")
+def stream_dedupe(spark, sf):
+    base = new_dir(spark, "k2")
+    f = fx.fire_t(spark, sf).select("fire_id", "frp", "acq", "lat", "lon")
+    src = _land(f, base, "in")
+    _land(f.filter("frp > 100"), base, "in")  # a second poll repeats detections
+    d = streams.dedupe(streams.read_stream(spark, src, schemas.FIRE_EVENT)).select("fire_id", "acq")
+    return _sink(spark, d, base, "fire_id STRING, acq TIMESTAMP_NTZ")
+
+
+@query("stream_hourly_mean", "obs", f"select station_id, metric, date_trunc('hour', observed_at_utc) as t, {rsql('avg(value)')} as value, count(*) as n from obs group by 1,2,3")
+def stream_hourly_mean(spark, sf):
+    base = new_dir(spark, "k3")
+    o = fx.obs(spark, sf)
+    last = o.agg(F.lit(-1).cast("long").alias("seq"), F.lit(-1).cast("long").alias("station_id"), F.lit("end").alias("metric"), F.lit(0.0).alias("value"), F.expr(FAR).alias("observed_at_utc"))
+    src = _land(o.unionByName(last), base, "in")  # the far row closes all windows
+    d = streams.hourly_mean(streams.read_stream(spark, src, schemas.OBSERVATION))
+    out = _sink(spark, d, base, "station_id BIGINT, metric STRING, t TIMESTAMP_NTZ, value DOUBLE, n BIGINT").filter("station_id >= 0")
+    return out.select("station_id", "metric", "t", _rt("value").alias("value"), "n")
+
+
+@query("stream_rolling_sum", "fire_t", """with h as (select unnest(generate_series(date_trunc('hour', min(acq)) - interval 5 hour, date_trunc('hour', max(acq)), interval 1 hour)) as t from fire_t)
+    select h.t, round(sum(frp),2) as frp_6h, count(*) as n from h join fire_t on acq >= h.t and acq < h.t + interval 6 hour group by h.t""")
+def stream_rolling_sum(spark, sf):
+    base = new_dir(spark, "k4")
+    f = fx.fire_t(spark, sf).select("fire_id", "frp", "acq", "lat", "lon")
+    last = f.agg(F.lit("end").alias("fire_id"), F.lit(0.0).alias("frp"), F.expr(FAR).alias("acq"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    src = _land(f.unionByName(last), base, "in")
+    d = streams.rolling_power(streams.read_stream(spark, src, schemas.FIRE_EVENT))
+    out = _sink(spark, d, base, "t TIMESTAMP_NTZ, frp_6h DOUBLE, n BIGINT").filter("t < timestamp_ntz'2029-01-01 00:00:00'")
+    return out.select("t", R("frp_6h", 2).alias("frp_6h"), "n")
+
+
+@query("stream_stagnation", "chx", """with a as (select city as station_id, t, ws, coalesce(ws < 12, false) as f from chx where ws is not null), b as (select *, sum(case when f then 0 else 1 end) over (partition by station_id order by t) as g from a),
+    c as (select *, sum(case when f then 1 else 0 end) over (partition by station_id, g order by t) as n from b) select station_id, t, round(ws,5) as ws, cast(n as integer) as streak from c where f and n>=3""")
+def stream_stagnation(spark, sf):
+    base = new_dir(spark, "k5")
+    src = _land(fx.chx(spark, sf).filter("ws is not null").select(F.col("city").alias("station_id"), "t", "ws"), base, "in")
+    with streams.with_rocksdb(spark):
+        d = streams.stagnation(streams.read_stream(spark, src, "station_id BIGINT, t TIMESTAMP_NTZ, ws DOUBLE"), 12.0, 3)
+        out = _sink(spark, d, base, "station_id BIGINT, t TIMESTAMP_NTZ, ws DOUBLE, streak INT")
+    return out.select("station_id", "t", R("ws", 5).alias("ws"), "streak")

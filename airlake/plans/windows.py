@@ -99,12 +99,12 @@ def timeseries_tail(spark, sf):
                                   t >= F.expr("timestamp_ntz'2024-01-03 00:00:00'"), t <= F.expr("timestamp_ntz'2024-01-25 00:00:00'"))
 
 
-@query("recent_topk", "fire_t", """select fire_id, lat, lon, frp, acq from fire_t where lat between 28.4 and 29.1 and lon between 76.7 and 77.5 order by acq desc, fire_id limit 500""")
+@query("recent_topk", "fire_t", """select fire_id, lat, lon, frp, acq from fire_t where lat between 28.4 and 29.1 and lon between 76.7 and 77.5 order by acq desc, fire_id, frp, lat, lon limit 500""")
 def recent_topk(spark, sf):
     from airlake.functions.geo import NCR_BOX
     from airlake.operators.normalize import bbox
 
-    return series.recent_topk(bbox(fx.fire_t(spark, sf), "lat", "lon", **NCR_BOX), "acq", "fire_id", 500).select("fire_id", "lat", "lon", "frp", "acq")
+    return series.recent_topk(bbox(fx.fire_t(spark, sf), "lat", "lon", **NCR_BOX), "acq", ["fire_id", "frp", "lat", "lon"], 500).select("fire_id", "lat", "lon", "frp", "acq")
 
 
 @query("assets_query", "asset", "select * from asset where run_id=3 and variable='2-HIGH' order by seq limit 200")
