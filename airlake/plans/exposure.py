@@ -32,10 +32,11 @@ ACTIVE = """fa as (select lat, lon, hour, sum(frp) as frp from (select f.lat, f.
     from fire_t f where frp>=10) q group by 1,2,3)"""
 
 
-@query("fire_influence", "fire_t grid", f"""with {ACTIVE}, x as (select f.hour, g.i, g.j, f.frp, (g.lon-f.lon)*cos(radians(f.lat))*111.13e0 as ex, (g.lat-f.lat)*111.13e0 as ny,
-      radians((datediff('hour', timestamp '2024-01-01 00:00:00', f.hour)*15+g.i*11+g.j*3)%360+0.5e0) as wd from fa f cross join grid g),
-    y as (select *, sqrt(ex*ex+ny*ny) as d, (ex*cos(wd)+ny*sin(wd)) as dot from x),
-    z as (select hour, i, j, sum(exp(-power(d/40,2))*(1+1.6e0*least(greatest(dot/(d+1),0),1))*frp) as a, sum(least(greatest(-dot/(d+1),0),1)*frp) as b, sum(least(greatest(dot/(d+1),0),1)*frp) as c from y group by 1,2,3)
+@query("fire_influence", "fire_t grid", f"""with {ACTIVE}, fk as (select *, cos(radians(lat))*111.13e0 as kx from fa),
+    wv as (select hour, i, j, lat, lon, cos(radians(wd)) as e, sin(radians(wd)) as n from (select h.hour, g.*, (datediff('hour', timestamp '2024-01-01 00:00:00', h.hour)*15+g.i*11+g.j*3)%360+0.5e0 as wd from (select distinct hour from fa) h cross join grid g) q),
+    x as (select f.hour, w.i, w.j, f.frp, (w.lon-f.lon)*f.kx as ex, (w.lat-f.lat)*111.13e0 as ny, w.e, w.n from fk f join wv w on w.hour=f.hour),
+    y as (select hour, i, j, frp, ex*ex+ny*ny as d2, (ex*e+ny*n)/(sqrt(ex*ex+ny*ny)+1) as a from x),
+    z as materialized (select hour, i, j, sum(exp(-d2/1600)*(1+1.6e0*greatest(a,0))*frp) as a, sum(greatest(-a,0)*frp) as b, sum(greatest(a,0)*frp) as c from y group by 1,2,3)
     select hour, i, j, round(a/(select max(a) from z),6) as influence, round(b/(select max(b) from z),6) as upwind, round(c/(select max(c) from z),6) as downwind from z""")
 def fire_influence(spark, sf):
     cols = ["influence", "upwind", "downwind"]
@@ -44,7 +45,8 @@ def fire_influence(spark, sf):
 
 
 @query("kernel_emissions", "fire_t grid", f"""with fp as (select date_trunc('hour', acq) + case when date_trunc('hour', acq)=acq then interval 0 hour else interval 1 hour end as h0, lat, lon, sum(frp) as frp from fire_t where frp>=10 group by 1,2,3),
-    kk as (select f.h0, g.i, g.j, f.frp*exp(-power({KM}/40,2)) / sum(exp(-power({KM}/40,2))) over (partition by f.h0, f.lat, f.lon) as s from fp f cross join grid g),
+    pl as (select distinct lat, lon from fp), ks as (select f.lat, f.lon, sum(exp(-power({KM}/40,2))) as tot from pl f cross join grid g group by 1,2),
+    kk as (select f.h0, g.i, g.j, f.frp*exp(-power({KM}/40,2)) / ks.tot as s from fp f join ks on ks.lat=f.lat and ks.lon=f.lon cross join grid g),
     per as (select h0, i, j, sum(s) as s from kk group by 1,2,3), sp as (select i, j, s, unnest([h0 + to_hours(k) for k in range(0,6)]) as hour from per), tot as (select hour, i, j, sum(s) as s from sp group by 1,2,3)
     select hour, i, j, {', '.join(f"round(s*0.368e0*3600*1000*{EMISSION_FACTORS[k]}/1e6,3) as {k}" for k in ('pm25', 'co', 'bc'))} from tot""")
 def kernel_emissions(spark, sf):
