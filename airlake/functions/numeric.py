@@ -22,8 +22,7 @@ def div(a: Column, b: Column) -> Column:
 
 def to_double(c: Column) -> Column:
     """Text or number to double; unreadable text and NaN give null."""
-    d = c.try_cast("double")
-    return F.when(~F.isnan(d), d)
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def logistic(x: Column, x0: float = 0.0, k: float = 1.0) -> Column:

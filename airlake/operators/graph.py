@@ -127,7 +127,7 @@ def corr_edges(series: DataFrame, edges: DataFrame, key: str, t: str, value: str
 
 def normalize(edges: DataFrame) -> DataFrame:
     """w / sqrt(deg(src) deg(dst)) with deg = row sum."""
-    deg = edges.groupBy("src").agg(F.sum("w").alias("_d"))
+    deg = edges.groupBy("src").agg(F.sum("w").alias("_d"))  # one row per station
     d2 = deg.select(F.col("src").alias("dst"), F.col("_d").alias("_d2"))
     return edges.join(deg, "src").join(d2, "dst", "left").select(
         "src", "dst", F.coalesce(div(F.col("w"), F.sqrt(F.col("_d") * F.col("_d2"))), F.lit(0.0)).alias("w"))

@@ -69,9 +69,13 @@ def spike(value: Column, med: Column, mad: Column, n: Column, sigma: float = SPI
     return F.coalesce(hit, F.lit(False))
 
 
+def with_spike_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows with the count, median and median deviation (n, med, mad) of their key."""
+    return df.join(median_and_mad(df, keys, value), keys, "left")
+
+
 def mad_flag(df: DataFrame, keys: list[str], value: str, sigma: float = SPIKE_SIGMA, mode: str = "strict") -> DataFrame:
-    stats = median_and_mad(df, keys, value)
-    return df.join(stats, keys, "left").withColumn(
+    return with_spike_stats(df, keys, value).withColumn(
         "is_spike", spike(F.col(value), F.col("med"), F.col("mad"), F.col("n"), sigma, mode)).drop("n", "med", "mad")
 
 
@@ -109,16 +113,19 @@ def confidence_digits(c: Column) -> Column:
 def clean_fires(df: DataFrame, frp_range: tuple[float, float] = FRP_RANGE, conf_min: int = MIN_CONFIDENCE) -> DataFrame:
     """Valid detections with an hourly stamp; text confidence without digits is kept and set to the minimum."""
     hhmm = F.col("acq_time").cast("int")
-    day = timing.ntz(F.try_to_timestamp(F.col("acq_date"), F.lit("yyyy-MM-dd")))
-    t = day + F.make_dt_interval(F.lit(0), F.floor(hhmm / 100).cast("int"), (hhmm % 100).cast("int"))
+    day = F.when(F.length("acq_date") == 10, F.col("acq_date").try_cast("date"))
+    t = timing.ntz(day) + F.make_dt_interval(F.lit(0), F.floor(hhmm / 100).cast("int"), (hhmm % 100).cast("int"))
     conf = confidence_digits(F.col("confidence").cast("string"))
     d = df.withColumns({
         "observed_at_utc": timing.hour_floor(t), "latitude": to_double(F.col("latitude")),
         "longitude": to_double(F.col("longitude")), "frp": to_double(F.col("frp")), "confidence": conf,
     })
+    # each derived value is named once per test: filters are evaluated where the file is read
+    lo, hi = frp_range
+    mid, half = (lo + hi) / 2, (hi - lo) / 2
     ok = (
-        F.col("observed_at_utc").isNotNull() & F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180)
-        & F.col("frp").between(*frp_range) & (F.col("confidence").isNull() | (F.col("confidence") >= conf_min))
+        day.isNotNull() & hhmm.isNotNull() & (F.abs(F.col("latitude")) <= 90) & (F.abs(F.col("longitude")) <= 180)
+        & (F.abs(F.col("frp") - F.lit(mid)) <= half) & F.coalesce(F.col("confidence") >= conf_min, F.lit(True))
     )
     return d.filter(ok).withColumn("confidence", F.coalesce("confidence", F.lit(conf_min)))
 

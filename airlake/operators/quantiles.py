@@ -60,10 +60,10 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows (keys, n, med, mad): exact median and median absolute deviation."""
     vc = value_counts(df, keys, value)
     med = quantiles_of_counts(vc, keys, {"med": 0.5})
+    # the median travels as a key of the second pass, so the results need no further join
     dev = (
         vc.join(med.select(*keys, "med"), keys)
-        .groupBy(*keys, F.abs(F.col("v") - F.col("med")).alias("_d"))
+        .groupBy(*keys, "med", F.abs(F.col("v") - F.col("med")).alias("_d"))
         .agg(F.sum("n").alias("n")).withColumnRenamed("_d", "v")
     )
-    mad = quantiles_of_counts(dev, keys, {"mad": 0.5})
-    return med.join(mad.select(*keys, "mad"), keys)
+    return quantiles_of_counts(dev, [*keys, "med"], {"mad": 0.5}).select(*keys, "n", "med", "mad")

@@ -51,14 +51,15 @@ def anchor_offsets(ch: DataFrame, forecast: DataFrame, t: str, lead: str, now: C
     return d.select("data_as_of", F.round("age_days", 1).alias("age_days"), "mode", F.explode(cells).alias("e")).select("e.species", "e.offset", "data_as_of", "age_days", "mode")
 
 
-def offset_of(offsets: DataFrame, species: str) -> Column:
-    return offsets.filter(F.col("species") == species).select("offset").scalar()
+def offset_map(offsets: DataFrame) -> Column:
+    """All offsets (one row per species) as one scalar map, so they are computed once."""
+    return offsets.agg(F.map_from_entries(F.collect_list(F.struct("species", "offset"))).alias("m")).scalar()
 
 
-def anchored_series(forecast: DataFrame, offsets: dict[str, Column], halfwidth: dict[str, float], lead: str, species: tuple[str, ...] = SPECIES) -> DataFrame:
+def anchored_series(forecast: DataFrame, offsets: Column, halfwidth: dict[str, float], lead: str, species: tuple[str, ...] = SPECIES) -> DataFrame:
     """Per lead: anchored concentrations, their interval, index and category; bounds have their own columns."""
-    conc = {s: F.round(F.greatest(F.lit(0.0), F.col(s) + offsets[s]), 2) for s in species}
-    d = forecast.withColumns(conc)
+    conc = {s: F.round(F.greatest(F.lit(0.0), F.col(s) + F.col("_off")[s]), 2) for s in species}
+    d = forecast.withColumn("_off", offsets).withColumns(conc).drop("_off")
     d = d.withColumns({x: c for s in species for x, c in (
         (f"{s}_lo", F.round(F.greatest(F.lit(0.0), F.col(s) - F.lit(float(halfwidth[s]))), 2)), (f"{s}_hi", F.round(F.col(s) + F.lit(float(halfwidth[s])), 2)))})
     names = {"pm25": "PM2.5", "pm10": "PM10", "o3": "O3", "nox": "NO2", "so2": "SO2", "co": "CO"}

@@ -38,9 +38,9 @@ MAD_SQL = """m1 as (select *, median(value) over (partition by station_id, metri
     coalesce(case when mad=0 then value<>med else abs(value-med)/(1.4826e0*mad) > 5 end, false) as is_spike,
     n>=3 and abs(value-med)/(1.4826e0*(case when mad=0 then 1 else mad end)) > 3 as is_spike_lenient from m2""")
 def mad_spike_flag(spark, sf):
-    d = qc.mad_flag(fx.obs(spark, sf), ["station_id", "metric"], "value")
-    d2 = qc.mad_flag(d.withColumnRenamed("is_spike", "strict"), ["station_id", "metric"], "value", sigma=3.0, mode="lenient")
-    return d2.select("seq", "station_id", "metric", "value", F.col("strict").alias("is_spike"), F.col("is_spike").alias("is_spike_lenient"))
+    d = qc.with_spike_stats(fx.obs(spark, sf), ["station_id", "metric"], "value")
+    args = [F.col(c) for c in ("value", "med", "mad", "n")]
+    return d.select("seq", "station_id", "metric", "value", qc.spike(*args).alias("is_spike"), qc.spike(*args, sigma=3.0, mode="lenient").alias("is_spike_lenient"))
 
 
 def wide_obs(spark, sf):

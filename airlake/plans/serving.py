@@ -53,7 +53,7 @@ def live(spark, sf):
     c, f = fx.chx(spark, sf), forecast_means(spark, sf)
     top = c.agg(F.max("t").alias("m")).scalar()
     off = serve.anchor_offsets(c, f, "t", "lead", top + F.expr("interval 12 hour"))
-    return serve.anchored_series(f, {s: serve.offset_of(off, s) for s in serve.SPECIES}, {"pm25": 12.5, "pm10": 20.0, "o3": 9.0}, "lead")
+    return serve.anchored_series(f, serve.offset_map(off), {"pm25": 12.5, "pm10": 20.0, "o3": 9.0}, "lead")
 
 
 @query("anchored_series", "chx field", f"with {LIVE_SQL} select * from lv")
