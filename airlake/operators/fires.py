@@ -166,29 +166,26 @@ def fire_influence(fires: DataFrame, wind: DataFrame, acq: str = "acq", life_h:
     by_cell = F.map_from_entries(F.transform("_l", lambda e: F.struct(F.struct(e["i"].alias("i"), e["j"].alias("j")).alias("k"), e["wd"].alias("v"))))
     aligned = F.transform("_nodes", lambda c: F.try_element_at(by_cell, F.struct(c["i"].alias("i"), c["j"].alias("j"))))
     deg = F.when(F.size("_l") == F.size("_nodes"), F.transform("_l", lambda e: e["wd"])).otherwise(aligned)
-    if angle == "math":
-        unit = lambda a: F.struct(F.cos(F.radians(a)).alias("e"), F.sin(F.radians(a)).alias("n"))
-    else:
-        unit = lambda a: F.struct((-F.sin(F.radians(a))).alias("e"), (-F.cos(F.radians(a))).alias("n"))
-    seen = seen.select("hour", F.transform(deg, lambda a: F.when(a.isNotNull(), unit(a))).alias("_w"))
+    # plain numbers keep the copies per salt small; "met" turns the from-direction into the same angle convention
+    turn = (lambda a: F.radians(a)) if angle == "math" else (lambda a: F.radians(F.lit(270.0) - a))
+    seen = seen.select("hour", F.transform(deg, turn).alias("_w"))
     # the shuffle keeps the arrays from being rebuilt for every detection
     winds = spread(seen, "hour").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     km = F.lit(geo.KM_PER_DEGREE)
     d = spread(d.withColumn("_kx", F.cos(F.radians("lat")) * km), "hour", "_salt")
     x = d.join(winds, ["hour", "_salt"]).select("hour", "_salt", "lat", "lon", "frp", "_kx", F.posexplode("_w").alias("_pos", "_u")).filter("_u is not null")
     x = x.withColumn("c", F.get(nodes, F.col("_pos"))).select(
-        "hour", "_salt", "frp", "_pos", "_u.e", "_u.n", ((F.col("c.lo") - F.col("lon")) * F.col("_kx")).alias("_ex"), ((F.col("c.la") - F.col("lat")) * km).alias("_ny"))
+        "hour", "frp", "_pos", F.cos("_u").alias("e"), F.sin("_u").alias("n"), ((F.col("c.lo") - F.col("lon")) * F.col("_kx")).alias("_ex"), ((F.col("c.la") - F.col("lat")) * km).alias("_ny"))
     x = x.withColumn("_d2", F.col("_ex") * F.col("_ex") + F.col("_ny") * F.col("_ny"))
     # alignment of the fire-to-cell vector with the wind, -1..1
-    x = x.select("hour", "_salt", "frp", "_pos", "_d2", ((F.col("_ex") * F.col("e") + F.col("_ny") * F.col("n")) / (F.sqrt("_d2") + 1)).alias("_a"))
+    x = x.select("hour", "frp", "_pos", "_d2", ((F.col("_ex") * F.col("e") + F.col("_ny") * F.col("n")) / (F.sqrt("_d2") + 1)).alias("_a"))
     down, up = F.greatest(F.col("_a"), F.lit(0.0)), F.greatest(-F.col("_a"), F.lit(0.0))
     kernel = F.exp(F.col("_d2") * F.lit(-1.0 / (KERNEL_KM * KERNEL_KM)))
-    part = x.groupBy("hour", "_salt", "_pos").agg(
+    total = x.groupBy("hour", "_pos").agg(
         F.sum(kernel * (F.lit(1.0) + F.lit(1.6) * down) * F.col("frp")).alias("influence"), F.sum(up * F.col("frp")).alias("upwind"),
         F.sum(down * F.col("frp")).alias("downwind"))
     cols = ("influence", "upwind", "downwind")
-    total = part.groupBy("hour", "_pos").agg(*[F.sum(c).alias(c) for c in cols]).withColumn("c", F.get(nodes, F.col("_pos")))
-    return total.select("hour", F.col("c.i").alias("i"), F.col("c.j").alias("j"), *cols)
+    return total.withColumn("c", F.get(nodes, F.col("_pos"))).select("hour", F.col("c.i").alias("i"), F.col("c.j").alias("j"), *cols)
 
 
 def normalise_by_max(df: DataFrame, cols: list[str]) -> DataFrame:
