@@ -97,7 +97,7 @@ def availability_flag(available: Column) -> Column:
 def normalize_fires(df: DataFrame) -> DataFrame:
     """Satellite export rows to canonical detections; unknown satellites and unreadable times are dropped."""
     hhmm = F.coalesce(F.col("acq_time").cast("int"), F.lit(0))
-    day = F.try_to_timestamp(F.col("acq_date"), F.lit("yyyy-MM-dd"))
+    day = F.when(F.length("acq_date") == 10, F.col("acq_date").try_cast("date"))
     hh, mm = F.floor(hhmm / 100).cast("int"), (hhmm % 100).cast("int")
     acq = F.when((hh < 24) & (mm < 60), timing.ntz(day) + F.make_dt_interval(F.lit(0), hh, mm))
     sat = lookup(SATELLITES, F.upper(F.trim(F.col("satellite"))))
@@ -106,7 +106,7 @@ def normalize_fires(df: DataFrame) -> DataFrame:
     num = lambda c, d: F.coalesce(to_double(F.col(c)), F.lit(float(d)))
     extra = [c for c in df.columns if c not in (
         "latitude", "longitude", "acq_date", "acq_time", "satellite", "frp", "bright_ti4", "confidence", "scan", "track", "daynight")]
-    return df.filter(sat.isNotNull() & acq.isNotNull()).select(
+    return df.filter(sat.isNotNull() & day.isNotNull() & (hh < 24) & (mm < 60)).select(
         fid.alias("fire_id"), sat.alias("satellite"),
         to_double(F.col("latitude")).alias("lat"), to_double(F.col("longitude")).alias("lon"),
         acq.alias("acq"), F.greatest(F.lit(0.0), num("frp", 0.0)).alias("frp_mw"),
