@@ -5,16 +5,18 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_mod
+from airlake.plans import registry
 from tests.compare import differences
 from tests.conftest import SMALL
 
-QUERIES, ORACLES = entry_mod.queries(), entry_mod.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 ROWS_ONLY = {"file_inventory", "tier_sizes", "gbt_direct", "gbt_residual", "feature_ablation"}
 
 
 def test_only_expected_queries_lack_sql():
     assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLES) <= set(entry_mod.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
