@@ -4,7 +4,7 @@ from importlib import import_module
 
 from airlake.llm.registry import ORACLES, QUERIES
 
-MODULES = ("token_orc",)
+MODULES = ("token_orc", "mixing", "topk_nra")
 
 for _name in MODULES:
     import_module(f"airlake.llm.{_name}")
