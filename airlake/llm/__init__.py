@@ -4,7 +4,7 @@ from importlib import import_module
 
 from airlake.llm.registry import ORACLES, QUERIES
 
-MODULES = ("token_orc", "mixing", "topk_nra")
+MODULES = ("token_orc", "mixing", "ngram_jaccard", "topk_nra", "chat_format")
 
 for _name in MODULES:
     import_module(f"airlake.llm.{_name}")
