@@ -43,12 +43,17 @@ SCHEMA = "part int, file_start long, doc_id long, n_tokens int, ids array<int>"
 _WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Stretches that the pre-tokenizer never joins: a word with the one space before it, or white space.
 _STRETCH = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: White space other than single spaces between words and single line feeds between lines.
-_UNEVEN = re.compile(rf"^[{_WS}]|[{_WS}]$|[{_WS}][{_WS}]|[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: A word that ends in letters, and ASCII punctuation after it: two pieces to the pre-tokenizer.
-_TAIL = re.compile(r"(.*[A-Za-zÀ-ÖØ-öø-ÿ])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
-#: Distinct stretches that one worker remembers before it starts afresh.
-_REMEMBERED = 1_200_000
+#: White space other than spaces and line feeds.
+_RARE = re.compile(r"[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: ASCII punctuation but the apostrophe: after a letter it begins a piece of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Distinct stretches that one worker remembers; the first met stay, and frequent ones are met first.
+_REMEMBERED = 600_000
+
+
+def _even(text: str) -> bool:
+    """Words with single spaces or line feeds between them, and nothing else."""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or not text or text[0] in " \n" or text[-1] in " \n" or _RARE.search(text))
 
 
 class Encoder:
@@ -64,52 +69,60 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = array("I", [end_id]).tobytes()
-        #: by stretch as it stands, and by word for stretches with one space before it
-        self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.feed = self._library(["\n"])[0]
+        #: ids by stretch, and by word: one after a space stands alone, one after a line feed with the line feed
+        self.stretches: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, known: dict[str, bytes], parts: set[str], lead: str) -> None:
-        fresh = list(parts.difference(known))
-        tails = [_TAIL.fullmatch(p) for p in fresh]
-        words = list({m[1] if m else p for p, m in zip(fresh, tails)}.difference(known))
-        known.update(zip(words, self._library([lead + w for w in words])))
-        marks = {m[2] for m in tails if m}
-        ids = dict(zip(marks, self._library(list(marks))))
-        known.update((m[0], known[m[1]] + ids[m[2]]) for m in tails if m)
+    def _learn(self, fresh: list[str]) -> None:
+        """Words without the punctuation after their last letter go to the library, and so does the punctuation."""
+        ends = []
+        for word in fresh:
+            stem = word.rstrip(_MARKS)
+            ends.append(stem if len(stem) < len(word) and stem[-1:].isalpha() else word)
+        stems = list(set(ends).difference(self.words))
+        feeds = [s for s in stems if s[0] == "\n"]
+        plain = [s for s in stems if s[0] != "\n"]
+        self.words.update(zip(plain, self._library([" " + s for s in plain])))
+        self.words.update(zip(feeds, [self.feed + raw for raw in self._library([s[1:] for s in feeds])]))
+        tails = {w[len(s):] for w, s in zip(fresh, ends)} - {""}
+        ids = dict(zip(tails, self._library(list(tails))))
+        self.words.update((w, self.words[s] + ids[w[len(s):]]) for w, s in zip(fresh, ends) if len(s) < len(w))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For every text its ids, little-endian unsigned 32-bit, and the end id."""
         cut: list = []
-        plain, spaced = {"\n"}, set()
+        words: set[str] = set()
+        stretches: set[str] = set()
         for text in texts:
             if any(s in text for s in self.special):
                 cut.append(None)
-            elif not text or _UNEVEN.search(text):
-                cut.append(_STRETCH.findall(text))
-                plain.update(cut[-1])
+            elif _even(text):
+                # the line feed goes with the word after it; one is put before the first word and taken off later
+                cut.append((True, ("\n" + text.replace("\n", " \n")).split(" ")))
+                words.update(cut[-1][1])
             else:
-                cut.append([line.split(" ") for line in text.split("\n")])
-                plain.update(words[0] for words in cut[-1])
-                for words in cut[-1]:
-                    spaced.update(words[1:])
-        if len(self.spaced) + len(self.plain) > _REMEMBERED:
-            self.spaced.clear()
-            self.plain.clear()
-        self._learn(self.plain, plain, "")
-        self._learn(self.spaced, spaced, " ")
-        first, later = self.plain.__getitem__, self.spaced.__getitem__
+                cut.append((False, _STRETCH.findall(text)))
+                stretches.update(cut[-1][1])
+        self._learn(list(words.difference(self.words)))
+        fresh = list(stretches.difference(self.stretches))
+        self.stretches.update(zip(fresh, self._library(fresh)))
+        word, stretch, extra = self.words.__getitem__, self.stretches.__getitem__, len(self.feed)
         out = []
-        for text, parts in zip(texts, cut):
-            if parts is None:
+        for text, found in zip(texts, cut):
+            if found is None:
                 raw = self._library([text])[0]
-            elif parts and isinstance(parts[0], list):
-                raw = first("\n").join([first(words[0]) + b"".join(map(later, words[1:])) for words in parts])
+            elif found[0]:
+                raw = b"".join(map(word, found[1]))[extra:]
             else:
-                raw = b"".join(map(first, parts))
+                raw = b"".join(map(stretch, found[1]))
             out.append(raw + self.end)
+        for known in (self.stretches, self.words):
+            while len(known) > _REMEMBERED:
+                known.popitem()
         return out
 
 
@@ -158,9 +171,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """All documents with ``start``, the ids of all documents before them."""
     rows = spark.read.schema(SCHEMA).orc(path)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
-    # one row per range of the order: a few numbers, whatever the number of documents
+    # one row of two numbers per range of the order, so as many as files: small enough for every task
     before = sums.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("before"))
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"),
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("file_start")).alias("start"),
                                             F.col("n_tokens").cast("long").alias("n_tokens"), "ids")
 
 
