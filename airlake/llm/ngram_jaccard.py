@@ -12,10 +12,12 @@ a document has more of them than the spare fragments absorb.
 *Overlaps.*  For candidate pairs the n-grams in common are counted per fragment and the partial counts are summed
 per pair; the sum decides exactly.
 
-*Groups of copies.*  Equal sets are one node, wherever they are.  In a signature's group every node is first paired with the
-smallest only.  Linked pairs are contracted to components, and the pairs within a signature that still lie in
-different components follow in a second turn, so a group of n near copies costs about n pairs, and no link
-between components is lost.
+*Groups of copies.*  Equal sets are one node, wherever they are.  The n-grams that a node shares with no other candidate bound
+its overlap with all of them; nodes that can reach no partner leave.  A parity sketch of ``SKETCH`` bits bounds from below
+by how many n-grams two sets differ.  In a signature's group every node is then paired
+with one pivot only, the set with the fewest n-grams of its own.  Linked pairs are contracted to components, and the pairs within a
+signature that still lie in different components, and whose bounds allow a link, follow in a second turn: a group of
+n near copies costs about n pairs, and no link between components is lost.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; fewer words than n make one n-gram;
 a null id is a document like others but never names a component unless all its ids are null; repeated ids and
@@ -35,8 +37,8 @@ from airlake.llm.common import publish, slices, table, utf8
 from airlake.llm.registry import query
 from airlake.llm.shingles import U, mix64, shingle_sets
 
-#: Fragments that the overlaps are counted in.
-FRAGMENTS = 8
+#: Bits of a set's sketch: the parity of the n-grams that fall on each.
+SKETCH = 1024
 #: Sides of joins up to this many rows of at most four numbers are sent to all tasks (64 MB).
 SENT_ROWS = 500_000
 
@@ -92,16 +94,30 @@ def node_ids(size: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return mix64((total[cut[1:]] - total[cut[:-1]]) + size.astype(U) * U(0xE7037ED1A0B428DB)).view(np.int64)
 
 
-def document_nodes(docs: DataFrame, n: int, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, node, n_shingles) and the columns ``keep`` for every document."""
+def document_nodes(docs: DataFrame, n: int, id_col: str, text_col: str, keep: tuple[str, ...] = (), first: bool = False) -> DataFrame:
+    """(doc_id, node, n_shingles) and the columns ``keep`` for every document.
+
+    With ``first``, a row is left out where its partition has shown the same set with an id that is as small: what a choice of the
+    smallest id can't take, so large groups of copies shrink before any shuffle.
+    """
     d = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
     names = [*d.columns[1:], "node", "n_shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, float] = {}
         for batch in batches:
             for some in slices(batch, 0):
                 size, sets = shingle_sets(*utf8(some.column(0)), n)
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(node_ids(size, sets)), pa.array(size)], names=names)
+                node = node_ids(size, sets)
+                out = pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(node), pa.array(size)], names=names)
+                if first:
+                    new = size == 0
+                    for i, (x, doc) in enumerate(zip(node.tolist(), some.column(1).to_pylist())):
+                        doc = float("inf") if doc is None else doc
+                        if x not in least or doc < least[x]:
+                            least[x], new[i] = doc, True
+                    out = out.filter(pa.array(new))
+                yield out
 
     kinds = ", ".join(f"{c} {t}" for c, t in d.dtypes[1:])
     return d.mapInArrow(run, f"{kinds}, node long, n_shingles long").withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
@@ -133,7 +149,7 @@ def _signature_rows(docs: DataFrame, n: int, percent: int, text_col: str) -> Dat
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, fragment, grams) of the wanted nodes, from one document of each."""
+    """(node, n, fragment, grams, sketch) of the wanted nodes, from one document of each; the sketch is in the node's first row only."""
     reps = owners.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("rep"))
     reps = publish(reps.select("rep").distinct(), "jaccard-reps")
     if reps.count() <= SENT_ROWS:
@@ -153,17 +169,21 @@ def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_
                 edge = np.flatnonzero(new) if len(sets) else np.zeros(1, np.int64)
                 grams = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(sets.view(np.int64)))
                 at = edge[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(node[of[at]]), pa.array(size[of[at]]), pa.array(piece[at].astype(np.int32)), grams],
-                                                 names=["node", "n", "fragment", "grams"])
-
-    rows = some.mapInArrow(run, "node long, n long, fragment int, grams array<long>")
+                bits = np.bincount(of * SKETCH + (sets & U(SKETCH - 1)).astype(np.int64), minlength=len(size) * SKETCH) & 1
+                words = np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(size), SKETCH // 64)
+                head = np.ones(len(at), bool)
+                head[1:] = of[at[1:]] != of[at[:-1]]
+                upto = np.concatenate(([0], np.cumsum(head))) * (SKETCH // 64)
+                sketch = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(words[of[at[head]]].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(node[of[at]]), pa.array(size[of[at]]), pa.array(piece[at].astype(np.int32)), grams, sketch],
+                                                 names=["node", "n", "fragment", "grams", "sketch"])
+
+    rows = some.mapInArrow(run, "node long, n long, fragment int, grams array<long>, sketch array<long>")
     return rows.join(wanted, "node", "left_semi").dropDuplicates(["node", "fragment"])
 
 
-def linked(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets reach the similarity."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    seg = publish(_segments(docs, wanted, owners, n, id_col, text_col), "jaccard-segments")
+def linked(pairs: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets reach the similarity: n-grams in common, counted per fragment and summed."""
     left = seg.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("of_a"))
     right = seg.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("of_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
@@ -171,6 +191,22 @@ def linked(pairs: DataFrame, docs: DataFrame, owners: DataFrame, n: int, percent
     return publish(total.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b"), "jaccard-links")
 
 
+def _shared(met: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
+    """(sig, node, n, rare) of the rows of ``met`` that can still link, ``rare`` being the node's n-grams that no other node of ``met`` has.
+
+    A node has at most n - rare n-grams in common with any other, and a link with the smallest set of its signature's group needs
+    percent / (100 + percent) of both sizes.
+    """
+    grams = seg.select("node", F.explode("grams").alias("gram"))
+    alone = grams.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+    rare = alone.groupBy("node").agg(F.count("*").alias("rare"))
+    rows = met.select("sig", "node", "n").join(rare, "node", "left").select("sig", "node", "n", F.coalesce("rare", F.lit(0)).alias("rare"))
+    least = met.groupBy("sig").agg(F.min("n").alias("least"))
+    able = rows.join(least, "sig").where((F.col("n") - F.col("rare")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent).drop("least")
+    groups = able.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
+    return publish(able.join(groups, "sig", "left_semi"), "jaccard-able")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): for every node of an edge (a, b), the smallest node of its component.
 
@@ -199,24 +235,42 @@ def node_links(docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col:
     every = Window.partitionBy("sig")
     rows = _signature_rows(docs, n, percent, text_col)
     met = rows.select("sig", "node", "n", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high")).where("low < high")
-    met = publish(met.select("sig", "node", "n", "low").distinct(), "jaccard-met")
-
-    stars = publish(met.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), "jaccard-stars")
-    edges = linked(stars, docs, owners, n, percent, id_col, text_col)
+    met = publish(met.select("sig", "node", "n").distinct(), "jaccard-met")
+    seg = publish(_segments(docs, met.select("node").distinct(), owners, n, id_col, text_col), "jaccard-segments")
+    for _ in range(2):  # what the first turn takes away leaves other nodes with more n-grams of their own
+        met = _shared(met, seg, percent)
+        seg = publish(seg.join(met.select("node").distinct(), "node", "left_semi"), "jaccard-segments")
+
+    # what the two sets can have in common at most, against what a link needs
+    enough = F.least(F.col("n_a") - F.col("rare_a"), F.col("n_b") - F.col("rare_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+    # bits in which the sketches differ: the sets differ in as many n-grams at least
+    differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+    close = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
+    sketched = publish(seg.where(F.size("sketch") > 0).select("node", "sketch"), "jaccard-sketches")
+    met = met.join(sketched, "node")
+    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "rare", "sketch")]]
+
+    # the pivot of a signature's group is the set with the fewest n-grams of its own: what the others are copies of
+    pivot = met.groupBy("sig").agg(F.min(F.struct("rare", "node", "n", "sketch")).alias("p")).select("sig", "p.*").select("sig", *side("a"))
+    stars = met.select("sig", *side("b")).join(pivot, "sig").where("a <> b").where(enough & close)
+    stars = publish(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
+    edges = linked(stars, seg, percent)
     comp = components(edges)
 
-    # what a signature still holds in different components
-    placed = met.select("sig", "node", "n").join(comp, "node", "left").select("sig", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    groups = placed.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    near = lambda x, y: F.col(x) * 100 >= F.col(y) * percent
-    one = groups.select("sig", F.col("comp").alias("c1"), F.col("least").alias("l1"), F.col("most").alias("m1"))
-    two = groups.select("sig", F.col("comp").alias("c2"), F.col("least").alias("l2"), F.col("most").alias("m2"))
-    apart = one.join(two, "sig").where("c1 < c2").where(near("m1", "l2") & near("m2", "l1")).select("sig", "c1", "c2")
-    first = placed.select("sig", F.col("comp").alias("c1"), F.col("node").alias("a"), F.col("n").alias("n_a"))
-    second = placed.select("sig", F.col("comp").alias("c2"), F.col("node").alias("b"), F.col("n").alias("n_b"))
-    pairs = apart.join(first, ["sig", "c1"]).join(second, ["sig", "c2"]).where(near("n_a", "n_b") & near("n_b", "n_a"))
+    # what a signature still holds in different components: the smaller one's nodes against the larger one's
+    placed = met.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    groups = placed.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("rare")).alias("can"), F.count("*").alias("many"))
+    several = groups.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
+    groups = groups.join(several, "sig", "left_semi")
+    one = groups.select("sig", *[F.col(c).alias(f"{c}_1") for c in ("comp", "least", "can", "many")])
+    two = groups.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("comp", "least", "can", "many")])
+    able = F.least("can_1", "can_2") * (100 + percent) >= (F.col("least_1") + F.col("least_2")) * percent
+    first_smaller = (F.col("many_1") < F.col("many_2")) | ((F.col("many_1") == F.col("many_2")) & (F.col("comp_1") < F.col("comp_2")))
+    apart = one.join(two, "sig").where(first_smaller & (F.col("comp_1") != F.col("comp_2")) & able).select("sig", "comp_1", "comp_2")
+    few = apart.join(placed.select("sig", F.col("comp").alias("comp_1"), *side("a")), ["sig", "comp_1"])
+    pairs = few.join(placed.select("sig", F.col("comp").alias("comp_2"), *side("b")), ["sig", "comp_2"]).where(enough & close)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = linked(publish(pairs, "jaccard-rest"), docs, owners, n, percent, id_col, text_col)
+    more = linked(publish(pairs, "jaccard-rest"), seg, percent)
     return components(edges.unionByName(more))
 
 
