@@ -59,19 +59,28 @@ def targets(sizes: DataFrame, share: float, most: float, weights: tuple[float, .
     return leveled.select("source", "source_size", F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, weight: Column | None = None,
+def mark(id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> Column:
+    """The keyed hash of a document; with the id it finds the document's row again."""
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+
+
+def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, weights: DataFrame | None = None,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", rows_per_bucket: int = 50_000) -> DataFrame:
-    """(doc_id, size, source, source_size, target, epochs, taken): what a mix of ``share`` times all words takes.
+    """(doc_id, mark, size, source, source_size, target, epochs, taken): what a mix of ``share`` times all words takes.
 
-    ``taken`` is a whole multiple of ``size``: ``epochs`` times the document.
+    ``taken`` is a whole multiple of ``size``: ``epochs`` times the document.  ``weights`` is (w_id, weight), a row per id.
     """
-    w = F.lit(1.0) if weight is None else F.when(weight > 0, weight).otherwise(1.0).cast("double")
-    text = F.col(text_col)
-    # 53 bits of a keyed hash, in (0, 1]
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), text), 11).cast("double") + 1.0) / float(1 << 53)
-    key = -F.log(u) / F.least(F.greatest(w, F.lit(LIGHTEST)), F.lit(HEAVIEST))
     # the texts are read once; all that follows works on these few numbers per document
-    thin = publish(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(text).alias("size"), key.alias("key")), "mix")
+    thin = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), mark(id_col, text_col, seed).alias("mark"))
+    thin = publish(thin, "mix")
+    w = F.lit(1.0)
+    if weights is not None:
+        thin = thin.join(weights, F.col("doc_id") == F.col("w_id"), "left").drop("w_id")
+        w = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).cast("double")
+    # 53 bits of the hash, in (0, 1]
+    u = (F.shiftrightunsigned("mark", 11).cast("double") + 1.0) / float(1 << 53)
+    key = -F.log(u) / F.least(F.greatest(w, F.lit(LIGHTEST)), F.lit(HEAVIEST))
+    thin = thin.select("doc_id", "source", "size", "mark", key.alias("key"))
     buckets = max(1, -(-thin.count() // rows_per_bucket))
     # monotone in the key, and even over documents of weight 1
     bucket = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
@@ -106,23 +115,17 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, w
     inside = last.withColumn("more", F.when(nearer & (F.col("nth") == 1), 1).otherwise(F.col("more")).cast("long")).drop("left", "nth")
     outside = outside.withColumn("more", ((F.col("rest") > 0) & (F.col("before") + F.col("bucket_size") <= F.col("rest"))).cast("long"))
     epochs = F.least(F.col("whole") + F.col("more"), F.lit(int(-(-most // 1)))).cast("long")
-    return inside.unionByName(outside).select("doc_id", "size", "source", "source_size", "target", epochs.alias("epochs"),
+    return inside.unionByName(outside).select("doc_id", "mark", "size", "source", "source_size", "target", epochs.alias("epochs"),
                                               (epochs * F.col("size")).alias("taken"))
 
 
-def quality_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q_doc_id, quality_weight): labelled good documents lead, labelled bad ones trail."""
-    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    return labels.select(F.col("doc_id").alias("q_doc_id"), F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("quality_weight"))
-
-
-def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the quality weight of their label (null where there is none)."""
-    return docs.join(quality_weight(spark, sf_dir), F.col("doc_id") == F.col("q_doc_id"), "left").drop("q_doc_id")
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(w_id, weight): labelled good documents lead, labelled bad ones trail."""
+    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return labels.select(F.col("doc_id").alias("w_id"), F.when(F.col("quality") == 1, 2.0).when(F.col("quality") == 0, 0.5).alias("weight"))
 
 
 @query("op3_mixing")
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix all documents to 150 % of their words."""
-    docs = table(spark, sf_dir, "documents")
-    return mix(weighted(spark, docs, sf_dir), weight=F.col("quality_weight")).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(table(spark, sf_dir, "documents"), weights=quality_weights(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")

@@ -67,7 +67,7 @@ def test_many_ranges_agree_with_one(spark):
 
 def test_heavier_documents_lead(spark):
     docs = spark.createDataFrame([(i, "w", "a") for i in range(2000)] + [(i, "w " * 50, "b") for i in range(2000, 4000)], "doc_id long, text string, source string")
-    got = mix(docs, share=0.2, weight=F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0)).where("taken > 0 and source = 'b'").collect()
+    got = mix(docs, share=0.2, weights=docs.select(F.col("doc_id").alias("w_id"), F.when(F.col("doc_id") % 2 == 0, 4.0).otherwise(1.0).alias("weight"))).where("taken > 0 and source = 'b'").collect()
     even = sum(r.doc_id % 2 == 0 for r in got)
     assert even > 2.5 * (len(got) - even)
 
