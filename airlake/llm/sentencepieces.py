@@ -35,7 +35,7 @@ from airlake.llm.common import slices, table
 from airlake.llm.registry import query
 from airlake.llm.shingles import U, mix64
 
-STREAMS, LONG, REMEMBERED = 8, 64, 250_000
+STREAMS, LONG, REMEMBERED = 4, 64, 500_000
 SPACE_MARK = "▁"
 #: Stretches that no piece crosses: spaces with the characters after them, and line feeds.
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
@@ -116,43 +116,59 @@ def by_heap(p: Pieces, unit: str, stream: int, seed: int, dropout: float) -> lis
     return out
 
 
-def many(p: Pieces, units: list[str], streams: list[int], seed: int, dropout: float) -> list[list[int]]:
-    """As ``by_heap`` for many short words: in each round every word takes its best candidate."""
+def many(p: Pieces, units: list[str], streams: list[int], seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """As ``by_heap`` for many short words: (all ids one after the other, their offsets by word).
+
+    In each round every word takes its best candidate; only the pairs on either side of a merge are judged anew.
+    """
     code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-    size = np.array([len(u) for u in units])
+    size = np.array([len(u) for u in units], np.int64)
     unit = np.repeat(np.arange(len(units)), size)
     start = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-    end, stream = start + 1, np.array(streams)
+    end, stream = start + 1, np.array(streams, np.int64)
     sym = p.code[code].astype(np.int64)
     sym[sym < 0] = -1 - code[sym < 0].astype(np.int64)
-    done = []
-    while len(sym):
-        i = np.flatnonzero((unit[1:] == unit[:-1]) & (sym[1:] >= 0) & (sym[:-1] >= 0))
+    none = np.int64(1 << 40)
+    rank, made = np.full(len(sym), none), np.zeros(len(sym), np.int64)
+
+    def judge(i: np.ndarray) -> None:
+        """Rank and product of the pairs (i, i + 1)."""
+        i = i[(i >= 0) & (i + 1 < len(sym))]
+        rank[i] = none
+        i = i[(unit[i] == unit[i + 1]) & (sym[i] >= 0) & (sym[i + 1] >= 0)]
         key = (sym[i] << 32) | sym[i + 1]
         at = np.minimum(np.searchsorted(p.key, key), len(p.key) - 1)
-        hit = p.key[at] == key
-        i, at = i[hit], at[hit]
+        good = p.key[at] == key
+        i, at = i[good], at[good]
         if dropout > 0 and len(i):
             stay = ~dropped(seed, dropout, stream[unit[i]], start[i], end[i + 1], sym[i], sym[i + 1])
             i, at = i[stay], at[stay]
-        # first of the least rank in each word
-        order = np.lexsort((start[i], p.rank[at], unit[i]))
-        i, at = i[order], at[order]
-        best = np.ones(len(i), bool)
-        best[1:] = unit[i[1:]] != unit[i[:-1]]
-        i, at = i[best], at[best]
-        live = np.zeros(len(units), bool)
-        live[unit[i]] = True
-        over = ~live[unit]
-        done.append((unit[over], start[over], sym[over]))
-        sym[i], end[i] = p.made[at], end[i + 1]
+        rank[i], made[i] = p.rank[at], p.made[at]
+
+    judge(np.arange(len(sym) - 1))
+    done = []
+    while len(sym):
+        n = len(sym)
+        first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        # least rank, leftmost, of each word
+        best = np.minimum.reduceat(rank * n + np.arange(n), first)
+        live = best < none * n
+        over = np.repeat(~live, np.diff(np.append(first, n)))
+        if over.any():
+            done.append((unit[over], start[over], sym[over]))
+        i = best[live] % n
+        rank[np.append(first[1:], n) - 1] = none
+        sym[i], end[i] = made[i], end[i + 1]
         keep = ~over
         keep[i + 1] = False
-        sym, unit, start, end = sym[keep], unit[keep], start[keep], end[keep]
+        at = (np.cumsum(keep) - 1)[i]
+        sym, unit, start, end, rank, made = (x[keep] for x in (sym, unit, start, end, rank, made))
+        if len(at):
+            rank[at] = none
+            judge(np.concatenate((at, at - 1)))
     unit, start, sym = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
-    flat = sym[np.lexsort((start, unit))].tolist()
-    upto = np.cumsum(np.bincount(unit, minlength=len(units))).tolist()
-    return [flat[a:b] for a, b in zip([0, *upto[:-1]], upto)]
+    flat = sym[np.argsort(unit * (LONG + 1) + start)]
+    return flat, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(units)))))
 
 
 class Encoder:
@@ -170,7 +186,11 @@ class Encoder:
         short = [k for k in new if len(k[1]) <= LONG]
         for at in range(0, len(short), 100_000):
             some = short[at:at + 100_000]
-            self.known.update(zip(some, map(self._bytes, many(self.pieces, [k[1] for k in some], [k[0] for k in some], self.seed, self.dropout))))
+            flat, upto = many(self.pieces, [k[1] for k in some], [k[0] for k in some], self.seed, self.dropout)
+            raw, edge = flat.astype("<i4").tobytes(), (4 * upto).tolist()
+            self.known.update(zip(some, (raw[a:b] for a, b in zip(edge, edge[1:]))))
+            odd = np.unique(np.searchsorted(upto, np.flatnonzero(flat < 0), "right") - 1).tolist()
+            self.known.update((some[i], self._bytes(flat[upto[i]:upto[i + 1]].tolist())) for i in odd)
         self.known.update((k, self._bytes(by_heap(self.pieces, k[1], k[0], self.seed, self.dropout))) for k in new if len(k[1]) > LONG)
 
     def encode(self, keys: list[int], texts: list[str]) -> list[bytes]:
