@@ -174,13 +174,21 @@ def grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def field(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly values on the nodes, from what the events of each hour and column measured."""
     i, j, k = F.col("i"), F.col("j"), F.col("hour_idx")
+    e = table(spark, sf, "events")
+    begin = e.agg(F.date_trunc("day", F.min("ts")).alias("b")).scalar()
+    hour = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(begin.cast("timestamp"))) / F.lit(3_600_000_000))
+    # measured: sum of whole values per hour and column of nodes
+    m = e.groupBy(hour.alias("m_hour"), (F.col("user_id") % 20).alias("m_i")).agg(F.sum(F.floor("value")).alias("m"))
+    hours = e.select(hour.alias("hour_idx")).distinct()
     return (
-        grid(spark, sf)
-        .withColumn("hour_idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
+        hours.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))))
+        .join(grid(spark, sf), "i")
+        .join(m, (F.col("hour_idx") == F.col("m_hour")) & (F.col("i") == F.col("m_i")), "left")
         .select(
             "hour_idx", "i", "j", "lat", "lon",
-            ((i * 7 + j * 13 + k * 3) % 50 + F.lit(20.0)).alias("pm25"),
+            ((F.abs(F.coalesce("m", F.lit(0))) + i * 7 + j * 13 + k * 3) % 50 + F.lit(20.0)).alias("pm25"),
             ((i * 3 + j * 5 + k) % 15 + F.lit(0.5)).alias("ws"),
             ((i * 11 + k * 15) % 360 + F.lit(0.0)).alias("wd"),
         )
@@ -258,9 +266,11 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "grid": ((), """select a.k as i, b.k as j, 76.8e0 + 0.8e0*a.k/19 as lon, 28.2e0 + 0.8e0*b.k/21 as lat
         from (select p_partkey as k from part where p_partkey<20) a
         cross join (select p_partkey as k from part where p_partkey<22) b"""),
-    "field": (("grid",), """select h.k as hour_idx, i, j, lat, lon, (i*7 + j*13 + h.k*3)%50 + 20e0 as pm25,
+    "evh": ((), """select user_id, value, date_diff('hour', date_trunc('day', (select min(ts) from events)), ts) as k from events"""),
+    "field": (("grid", "evh"), """select h.k as hour_idx, i, j, lat, lon, (abs(coalesce(m.m,0)) + i*7 + j*13 + h.k*3)%50 + 20e0 as pm25,
         (i*3 + j*5 + h.k)%15 + 0.5e0 as ws, (i*11 + h.k*15)%360 + 0e0 as wd
-        from grid cross join (select p_partkey as k from part where p_partkey<24) h"""),
+        from grid cross join (select distinct k from evh) h
+        left join (select k, user_id%20 as u, cast(sum(floor(value)) as bigint) as m from evh group by 1, 2) m on m.k = h.k and m.u = i"""),
     "ledger": ((), """select case o_orderpriority when '1-URGENT' then 'firms' when '5-LOW' then 'gfs' else 'cpcb' end as source,
         cast(o_orderdate as date) as dt, o_orderkey as run_id, o_orderstatus<>'P' as complete from orders"""),
     "asset": ((), """select o_orderkey as seq, o_custkey%8 as run_id, o_orderkey%25*3 as lead_h, o_orderpriority as variable,

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from airlake.functions.numeric import half_even
+from airlake.functions.numeric import half_even, to_double
 
 # Concentration cuts (upper bound of each band) and index bands.
 POLLUTANTS = ("PM2.5", "PM10", "O3", "NO2", "SO2", "CO")
@@ -49,6 +49,7 @@ def bands(pollutant: str, variant: str) -> list[tuple[float, float, int, int]]:
 
 def sub_index(pollutant: str, conc: Column, variant: str = "contiguous") -> Column:
     """Piecewise-linear sub-index, rounded half to even; null concentration gives null."""
+    conc = to_double(conc)
     if variant == "gapped":
         conc = F.when(conc < 0, F.lit(0.0)).otherwise(conc)
         if pollutant == "CO":

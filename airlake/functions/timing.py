@@ -59,3 +59,9 @@ def run_id(t: Column, source: str) -> Column:
         c = cycle_floor(t)
         return F.concat(F.lit("gfs."), F.date_format(c, "yyyy-MM-dd"), F.lit("."), F.date_format(c, "HH"), F.lit("z"))
     return F.concat(F.date_format(t, "yyyy-MM-dd"), F.lit("T"), F.date_format(t, "HHmm"), F.lit(f"Z-{source}-poll"))
+
+
+def iso_day(c: Column) -> Column:
+    """Year-month-day text, padded or not, to a date; other text gives null."""
+    text = F.trim(c)
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), text.try_cast("date"))

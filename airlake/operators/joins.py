@@ -45,13 +45,18 @@ def sample_at_stations(field: DataFrame, stations: DataFrame, g: GridSpec, cols:
     return field.select(time, "i", "j", *cols).join(cells, ["i", "j"]).select(station, time, *cols)
 
 
-def registry_join(df: DataFrame, stations: DataFrame, name_col: str, registry_name: str = "name", membership_only: bool = False) -> DataFrame:
-    """Inner join on the lower-cased, trimmed name; rows outside the registry are dropped."""
+def registry_join(df: DataFrame, stations: DataFrame, name_col: str, registry_name: str = "name", membership_only: bool = False,
+                  order: str = "station_id") -> DataFrame:
+    """Inner join on the lower-cased, trimmed name; rows outside the registry are dropped.
+
+    Of registry rows with one name the last by ``order`` counts.
+    """
     key = F.lower(F.trim(F.col(name_col)))
     left = df.withColumn("_key", key)
     right = stations.withColumn("_key", F.lower(F.trim(F.col(registry_name))))
     if membership_only:
         return left.join(right.select("_key"), "_key", "left_semi").drop("_key")
+    right = right.groupBy("_key").agg(F.max_by(F.struct(*stations.columns), order).alias("_row")).select("_key", "_row.*")
     return left.join(right, "_key").drop("_key")
 
 

@@ -96,13 +96,13 @@ def availability_flag(available: Column) -> Column:
 
 def normalize_fires(df: DataFrame) -> DataFrame:
     """Satellite export rows to canonical detections; unknown satellites and unreadable times are dropped."""
-    hhmm = F.coalesce(F.col("acq_time").cast("int"), F.lit(0))
-    day = F.when(F.length("acq_date") == 10, F.col("acq_date").try_cast("date"))
+    hhmm = F.when(F.col("acq_time").isNull(), 0).otherwise(F.col("acq_time").try_cast("int"))
+    day = timing.iso_day(F.col("acq_date"))
     hh, mm = F.floor(hhmm / 100).cast("int"), (hhmm % 100).cast("int")
     acq = F.when((hh < 24) & (mm < 60), timing.ntz(day) + F.make_dt_interval(F.lit(0), hh, mm))
     sat = lookup(SATELLITES, F.upper(F.trim(F.col("satellite"))))
-    fid = F.concat_ws("|", sat, F.col("acq_date"), F.col("acq_time").cast("string"), F.col("latitude").cast("string"),
-                      F.col("longitude").cast("string"), F.col("scan"), F.col("track"))
+    # a missing part has a mark of its own, so different rows don't share an id
+    fid = F.concat_ws("|", sat, *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in ("acq_date", "acq_time", "latitude", "longitude", "scan", "track")])
     num = lambda c, d: F.coalesce(to_double(F.col(c)), F.lit(float(d)))
     extra = [c for c in df.columns if c not in (
         "latitude", "longitude", "acq_date", "acq_time", "satellite", "frp", "bright_ti4", "confidence", "scan", "track", "daynight")]

@@ -41,9 +41,11 @@ def mark_duplicates(df: DataFrame, keys: list[str], seq: str, name: str = "is_du
 
     The first position is a map-side combined minimum and the join back may be
     split by adaptive execution, so one key with very many copies stays spread out.
+    A null in a key is a value like others.
     """
-    first = df.groupBy(*keys).agg(F.min(seq).alias("_first"))
-    return df.join(first, keys).withColumn(name, F.col(seq) != F.col("_first")).drop("_first")
+    first = df.groupBy(*[F.col(k).alias(f"_key_{k}") for k in keys]).agg(F.min(seq).alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return df.join(first, same).withColumn(name, F.col(seq) != F.col("_first")).drop("_first", *[f"_key_{k}" for k in keys])
 
 
 def out_of_range(c: Column, lo: float = LOWER_BOUND, hi: float = CEILING) -> Column:
@@ -112,8 +114,8 @@ def confidence_digits(c: Column) -> Column:
 
 def clean_fires(df: DataFrame, frp_range: tuple[float, float] = FRP_RANGE, conf_min: int = MIN_CONFIDENCE) -> DataFrame:
     """Valid detections with an hourly stamp; text confidence without digits is kept and set to the minimum."""
-    hhmm = F.col("acq_time").cast("int")
-    day = F.when(F.length("acq_date") == 10, F.col("acq_date").try_cast("date"))
+    hhmm = F.col("acq_time").try_cast("int")
+    day = timing.iso_day(F.col("acq_date"))
     t = timing.ntz(day) + F.make_dt_interval(F.lit(0), F.floor(hhmm / 100).cast("int"), (hhmm % 100).cast("int"))
     conf = confidence_digits(F.col("confidence").cast("string"))
     d = df.withColumns({

@@ -9,17 +9,16 @@ from airlake.operators import aggregates as ag, metrics, series
 from airlake.sources.ledger import latest_partition
 
 
-def dashboard(fc: DataFrame, fires: DataFrame, obs: DataFrame, ledger: DataFrame, run_source: str = "gfs", n_fires: int = 20) -> DataFrame:
-    """Long rows (block, item, name, value): run summary, newest detections, newest station values."""
+def dashboard(fc: DataFrame, fires: DataFrame, obs: DataFrame, ledger: DataFrame, run_source: str = "gfs") -> DataFrame:
+    """Long rows (block, item, name, value): run summary, detections in the city box, newest station values."""
     run = latest_partition(ledger, run_source).select(F.col("run_id").cast("string").alias("r")).scalar()
     summary = metrics.improvement_pct(fc, "yobs", "yhat", "lo").withColumns({
         "stations": fc.agg(F.countDistinct("city").alias("n")).scalar(), "raw_rmse": F.col("rmse_b"), "engine_rmse": F.col("rmse_a")})
     box = geo.in_box(F.col("lat"), F.col("lon"), **geo.NCR_BOX)
-    newest = series.recent_topk(fires.filter(box), "acq", ["fire_id", "frp", "lat", "lon"], n_fires)
     last = series.latest_per_key(obs, ["station_id", "metric"], "observed_at_utc", "seq")
     return ag.union_all([
         ag.long_block(summary, "forecast", run, ["stations", "raw_rmse", "engine_rmse", "improvement_pct"]),
-        ag.long_block(newest, "fires", F.col("fire_id"), ["frp"]),
+        ag.long_block(fires.filter(box), "fires", F.col("fire_id"), ["frp"]),
         last.select(F.lit("stations").alias("block"), F.col("station_id").cast("string").alias("item"), F.col("metric").alias("name"), F.col("value").cast("double").alias("value")),
     ])
 

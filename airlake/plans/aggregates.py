@@ -182,7 +182,7 @@ def split_meta(spark, sf):
     select 'forecast' as block, cast((select x from run) as varchar) as item, 'stations' as name, (select stations from im) as value
     union all select 'forecast', cast((select x from run) as varchar), 'raw_rmse', (select round(raw_rmse*1.000000001e0,4) from im) union all select 'forecast', cast((select x from run) as varchar), 'engine_rmse', (select round(engine_rmse*1.000000001e0,4) from im)
     union all select 'forecast', cast((select x from run) as varchar), 'improvement_pct', (select round(gain*1.000000001e0,4) from im)
-    union all select 'fires', fire_id, 'frp', round(frp*1.000000001e0,4) from (select * from fire_t where lat between 28.4 and 29.1 and lon between 76.7 and 77.5 order by acq desc, fire_id, frp, lat, lon limit 20) f
+    union all select 'fires', fire_id, 'frp', round(frp*1.000000001e0,4) from fire_t where lat between 28.4 and 29.1 and lon between 76.7 and 77.5
     union all select 'stations', cast(station_id as varchar), metric, round(value*1.000000001e0,4) from (select *, row_number() over (partition by station_id, metric order by observed_at_utc desc, seq) rn from obs) x where rn=1""")
 def dashboard_blocks(spark, sf):
     from airlake.operators.serve import dashboard

@@ -88,11 +88,11 @@ def sample_grid_at_stations(spark, sf):
     return station_field(spark, sf)
 
 
-_COARSE = "src as (select hour_idx, lat, lon, pm25, ws from field where i%6=0 and j%7=0 and hour_idx<6)"
+_COARSE = "src as (select hour_idx, lat, lon, pm25, ws from field where i%6=0 and j%7=0)"
 
 
 def coarse(spark, sf):
-    return fx.field(spark, sf).filter("i % 6 = 0 and j % 7 = 0 and hour_idx < 6").select("hour_idx", "lat", "lon", "pm25", "ws")
+    return fx.field(spark, sf).filter("i % 6 = 0 and j % 7 = 0").select("hour_idx", "lat", "lon", "pm25", "ws")
 
 
 @query("regrid_nearest", "field grid", f"""with {_COARSE}, la as (select t, s from (select g.lat as t, s.lat as s, row_number() over (partition by g.lat order by abs(s.lat-g.lat), s.lat) rn from (select distinct lat from grid) g, (select distinct lat from src) s) x where rn=1),
@@ -124,10 +124,10 @@ def idw_to_point(spark, sf):
 
 
 @query("fire_active_hours", "fire_t", """with h as (select timestamp '2024-01-01 00:00:00' + to_hours(unnest(range(0,760))) as hour)
-    select fire_id, hour, 'short' as kind from fire_t join h on hour >= acq and hour < acq + interval 6 hour where frp > 300
-    union all select fire_id, hour, 'day' from fire_t join h on hour >= acq and hour < acq + interval 24 hour where frp > 300""")
+    select fire_id, hour, 'short' as kind from fire_t join h on hour >= acq and hour < acq + interval 6 hour
+    union all select fire_id, hour, 'day' from fire_t join h on hour >= acq and hour < acq + interval 24 hour """)
 def fire_active_hours(spark, sf):
-    f = fx.fire_t(spark, sf).filter("frp > 300").select("fire_id", "acq")
+    f = fx.fire_t(spark, sf).select("fire_id", "acq")
     a = joins.active_hours(f, "acq", 6.0).select("fire_id", "hour", F.lit("short").alias("kind"))
     return a.unionByName(joins.active_hours(f, "acq", 24.0).select("fire_id", "hour", F.lit("day").alias("kind")))
 
@@ -143,14 +143,9 @@ def knn_edges(spark, sf):
     return graph.knn_edges(fx.stn(spark, sf), 6)
 
 
-@query("wind_edges", "stn", f"with {_KM}, e as (select a, b, abs(cos(radians({bearing_sql('la', 'lo', 'lb', 'lp')} - 300))) as w from pr where a<b and dist<=20 and dist>0) select a as src, b as dst, round(w,6) as w from e union all select b, a, round(w,6) from e")
+@query("wind_edges", "stn", f"with {_KM}, e as (select a, b, abs(cos(radians({bearing_sql('la', 'lo', 'lb', 'lp')} - 300))) as w from pr where a<b and dist<=20) select a as src, b as dst, round(w,6) as w from e union all select b, a, round(w,6) from e")
 def wind_edges(spark, sf):
-    # co-located stations have no bearing that two engines would agree on; they carry no transport either
-    st = fx.stn(spark, sf)
-    p = graph.wind_edges(st, 20.0)
-    loc = st.select("station_id", "lat", "lon")
-    a, b = loc.toDF("src", "la", "lo"), loc.toDF("dst", "lb", "lp")
-    return p.join(a, "src").join(b, "dst").filter("la <> lb or lo <> lp").select("src", "dst", F.round("w", 6).alias("w"))
+    return graph.wind_edges(fx.stn(spark, sf), 20.0).select("src", "dst", F.round("w", 6).alias("w"))
 
 
 @query("neighbour_smooth", "stn obs", f"""with {_DEG}, nn as (select a, b, 1/(dist+0.01e0) as w from (select *, row_number() over (partition by a order by dist, b) rn from pr) q where rn<=6),

@@ -61,7 +61,8 @@ def anchored_series(spark, sf):
     return live(spark, sf).select("lead", "pm25", "pm10", "o3", "pm25_lo", "pm25_hi", "aqi", "dominant", "category")
 
 
-@query("aqi_at_lead", "chx field", f"with {LIVE_SQL} select lead, aqi, category from lv where lead in (5, 23)")
+@query("aqi_at_lead", "chx field", f"""with {LIVE_SQL}, rl as (select *, dense_rank() over (order by lead) - 1 as k from lv)
+    select lead, aqi, category from rl where k in (least(5, (select max(k) from rl)), least(72, (select max(k) from rl)))""")
 def aqi_at_lead(spark, sf):
     d = live(spark, sf)
     pick = lambda k: serve.at_lead_clamped(d, "lead", k).select("lead", "aqi", "category")
@@ -73,7 +74,7 @@ def current_observations(spark, sf):
     return serve.current_observations(fx.chx(spark, sf), "city", "t", ["pm25", "pm10", "temp", "inv", "stag", "aod"])
 
 
-@query("lead_map", "field", """select hour_idx, string_agg(cast(cast(pm25 as integer) as varchar), ',' order by j, i) as pm25 from field where hour_idx=14 group by 1 union all select hour_idx, string_agg(cast(cast(pm25 as integer) as varchar), ',' order by j, i) from field where hour_idx=23 group by 1""")
+@query("lead_map", "field", """select hour_idx, string_agg(cast(cast(pm25 as integer) as varchar), ',' order by j, i) as pm25 from field where hour_idx=(select hour_idx from field group by 1 order by abs(hour_idx-14.4e0), hour_idx limit 1) group by 1 union all select hour_idx, string_agg(cast(cast(pm25 as integer) as varchar), ',' order by j, i) from field where hour_idx=(select hour_idx from field group by 1 order by abs(hour_idx-72), hour_idx limit 1) group by 1""")
 def lead_map(spark, sf):
     f = fx.field(spark, sf)
     text = F.array_join(F.transform("pm25", lambda x: x.cast("int").cast("string")), ",").alias("pm25")

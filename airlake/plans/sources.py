@@ -219,12 +219,11 @@ def asset_manifest(spark, sf):
 
 
 @query("checksum_skip", "", """with f as (select o_orderkey%3000 as k, sha256(cast(o_custkey as varchar)) as s, cast(o_totalprice as bigint) as len, o_orderkey from orders), known as (select k, s from f where o_orderkey%4=0)
-    select cast(k as varchar) as name, s as sha256, len as length from f where not exists (select 1 from known n where n.k=f.k and n.s=f.s) and len <= 400000""")
+    select cast(k as varchar) as name, s as sha256, len as length from f where not exists (select 1 from known n where n.k=f.k and n.s=f.s)""")
 def checksum_skip(spark, sf):
     o = fx.table(spark, sf, "orders").select((F.col("o_orderkey") % 3000).cast("string").alias("name"), F.sha2(F.col("o_custkey").cast("string"), 256).alias("sha256"),
                                              F.bround("o_totalprice", 0).cast("bigint").alias("length"), "o_orderkey")
-    fresh = inventory.new_files(o, o.filter("o_orderkey % 4 = 0"))
-    return inventory.reject_oversize(fresh, 400000).select("name", "sha256", "length")
+    return inventory.new_files(o, o.filter("o_orderkey % 4 = 0"), max_bytes=1 << 40).select("name", "sha256", "length")
 
 
 @query("grid_table", "stn", """with b as (select state, floor(min(lat)*10)/10 as a0, ceil(max(lat)*10)/10 as a1, floor(min(lon)*10)/10 as o0, ceil(max(lon)*10)/10 as o1 from stn group by state),

@@ -28,12 +28,15 @@ def build_session(app: str = "airlake", master: str | None = None, shuffle_parti
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a new temporary folder
-    is used, because then every task sees the same disk.
+    Only in local mode, where every task sees the same disk, a new temporary folder is
+    used if the setting is absent; on a cluster its absence is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="airlake-")
 
 

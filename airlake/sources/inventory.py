@@ -42,7 +42,9 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
 def tier_sizes(spark: SparkSession, root: str) -> DataFrame:
     """Files and bytes per tier, markers excluded; file contents are never read."""
     d = _listing(spark, root).withColumn("_name", F.element_at(F.split("path", "/"), -1)).filter("not (_name like '\\_%' or _name like '.%')")
-    tier = F.regexp_extract("path", r"/(raw|interim|processed|features)/", 1)
+    # the tier is the folder right below the root, wherever the root lies
+    below = F.element_at(F.split("path", F.lit("/" + root.rstrip("/").rsplit("/", 1)[-1] + "/")), -1)
+    tier = F.regexp_extract(below, r"^(raw|interim|processed|features)/", 1)
     d = d.filter(tier != "").groupBy(tier.alias("tier")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     total = d.agg(F.lit("total").alias("tier"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))
     return d.unionByName(total)
@@ -57,10 +59,6 @@ def new_files(files: DataFrame, known: DataFrame, max_bytes: int | None = None)
     return d
 
 
-def reject_oversize(files: DataFrame, max_bytes: int) -> DataFrame:
-    return files.filter(F.col("length") <= max_bytes)
-
-
 def profile(df: DataFrame, name: str) -> DataFrame:
     """One row in one pass: rows, columns, time and place range, share of missing cells."""
     pick = lambda names: next((c for c in names if c in df.columns), None)
