@@ -206,5 +206,5 @@ def fire_state(fires: DataFrame, hours: DataFrame, influence: DataFrame | None =
                         [], ["n_active", "total_frp_mw"], None)
     out = hours.select("hour").join(per, "hour", "left").fillna(0, subset=["n_active", "total_frp_mw"]).withColumn("n_fires", known)
     if influence is not None:
-        out = out.join(influence.groupBy("hour").agg(F.avg("influence").alias("mean_influence")), "hour", "left")
+        out = out.join(influence.groupBy("hour").agg(F.avg("influence").alias("mean_influence")), "hour", "left").fillna(0.0, subset=["mean_influence"])
     return out

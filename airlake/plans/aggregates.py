@@ -209,12 +209,13 @@ def met_pivot(spark, sf):
                     R("t925_c", 6).alias("t925_c"), _rt("ws925_ms").alias("ws925_ms"), "t850_c")
 
 
-@query("hourly_fire_state", "fire_t", """with h as (select timestamp '2024-01-01 00:00:00' + to_hours(unnest(range(0,720))) as hour),
+@query("hourly_fire_state", "fire_t", """with h as (select unnest(generate_series(date_trunc('hour', (select min(acq) from fire_t)), date_trunc('hour', (select max(acq) from fire_t) + interval 6 hour), interval 1 hour)) as hour),
     f6 as (select hour, count(fire_id) as n_active, round(coalesce(sum(frp),0),2) as total_frp_mw from h left join fire_t on hour >= acq and hour < acq + interval 6 hour group by 1)
     select hour, (select count(*) from fire_t) as n_fires, n_active, total_frp_mw from f6""")
 def hourly_fire_state(spark, sf):
     f = fx.fire_t(spark, sf)
-    hours = f.agg(F.count("*")).select(F.explode(F.sequence(F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.expr("timestamp_ntz'2024-01-30 23:00:00'"), F.expr("interval 1 hour"))).alias("hour"))
+    ends = f.agg(F.date_trunc("hour", F.min("acq")).cast("timestamp_ntz").alias("a"), F.date_trunc("hour", F.max("acq") + F.expr("interval 6 hour")).cast("timestamp_ntz").alias("b"))
+    hours = ends.select(F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("hour"))
     return fires.fire_state(f, hours).select("hour", "n_fires", "n_active", R("total_frp_mw", 2).alias("total_frp_mw"))
 
 

@@ -39,9 +39,9 @@ FIRE_HOURS = """fh as (select acq_h, count(*) as n, sum(frp) as total, avg(frp)
         and frp between 0 and 5000 and (confidence='nominal' or cast(confidence as int) >= 20)) q) z group by acq_h),
     hf as (select timestamp '2024-01-01 00:00:00' + to_hours(hh.h) as t, coalesce(n,0) as fire_count, coalesce(total,0) as total_frp, coalesce(mean,0) as mean_frp, coalesce(mx,0) as max_frp,
       coalesce(upn,0) as upwind_fire_count, coalesce(upf,0) as upwind_frp, coalesce(cl,0) as close_frp_50km, md as min_distance_km
-    from (select unnest(range(0,720)) as h) hh left join fh on fh.acq_h=hh.h)"""
+    from (select unnest(range(0,(select max(acq_h)+1 from fire))) as h) hh left join fh on fh.acq_h=hh.h)"""
 FIRE_HOURS = FIRE_HOURS.replace("{dist}", hav_sql("lat", "lon", "28.6139e0", "77.2090e0")).replace("{br}", bearing_sql("lat", "lon", "28.6139e0", "77.2090e0"))
-FIRE_HOURS = "hw as (select h, (h*7)%360 + 0.25e0 as wd from (select unnest(range(0,720)) as h) q where h%5<>0), " + FIRE_HOURS
+FIRE_HOURS = "hw as (select h, (h*7)%360 + 0.25e0 as wd from (select unnest(range(0,(select max(acq_h)+1 from fire))) as h) q where h%5<>0), " + FIRE_HOURS
 ROLLS = ", ".join(f"sum(total_frp) over (order by t rows between {h - 1} preceding and current row) as frp_{h}h" for h in (6, 12, 24, 48))
 
 
@@ -50,8 +50,8 @@ def fire_hour_features(spark, sf):
 
     base = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
     f = fx.fire(spark, sf)
-    top = F.expr("timestamp_ntz'2024-01-30 23:00:00'")
-    hours = f.agg(F.count("*")).select(F.explode(F.sequence(base, top, F.expr("interval 1 hour"))).alias("t"))
+    top = base + F.make_dt_interval(F.lit(0), F.col("last").cast("int"))
+    hours = f.agg(F.max("acq_h").alias("last")).select(F.explode(F.sequence(base, top, F.expr("interval 1 hour"))).alias("t"))
     h = F.expr("timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', t)")
     wind = hours.filter(h % 5 != 0).select("t", ((h * 7) % 360 + F.lit(0.25)).alias("wd"))
     clean = f.filter("frp between 0 and 5000 and (confidence = 'nominal' or try_cast(confidence as int) >= 20)").withColumn(
