@@ -178,13 +178,15 @@ def file_inventory(spark, sf):
     return inventory.inventory(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
 
 
-@query("tier_sizes")
+@query("tier_sizes", "obs ch fc", """with c as (select 'raw' as tier, 1::bigint as tables, count(*) as n_rows from obs union all select 'processed', 1, count(*) from ch
+      union all select 'features', 1, count(*) from fc union all select 'interim', 0, 0)
+    select * from c union all select 'total', cast(sum(tables) as bigint), cast(sum(n_rows) as bigint) from c""")
 def tier_sizes(spark, sf):
     root = new_dir(spark, "lake")
     writers.write_tier(fx.obs(spark, sf), root, "raw", "obs")
     writers.write_tier(fx.ch(spark, sf), root, "processed", "city_hour")
     writers.write_tier(fx.fc(spark, sf), root, "features", "forecast")
-    return inventory.tier_sizes(spark, root)
+    return inventory.tier_tables(spark, root)
 
 
 @query("schema_probe", "chx", """with s as (select * from chx order by t, city limit 2000) select count(*) as sample_rows, round(min(lat),6) as lat_min, round(max(lat),6) as lat_max, round(min(lon),6) as lon_min, round(max(lon),6) as lon_max, min(t) as time_min, max(t) as time_max,

@@ -50,6 +50,14 @@ def tier_sizes(spark: SparkSession, root: str) -> DataFrame:
     return d.unionByName(total)
 
 
+def tier_tables(spark: SparkSession, root: str, tiers: tuple[str, ...] = ("raw", "interim", "processed", "features")) -> DataFrame:
+    """Tables and rows per tier, as their side-cars tell, with a zero row for an empty tier, and the total."""
+    meta = spark.read.schema("table string, tier string, rows long").json(f"{root}/*/_meta/*")
+    per = meta.groupBy("tier").agg(F.count("*").alias("tables"), F.sum("rows").alias("n_rows"))
+    every = spark.createDataFrame([(t,) for t in tiers], "tier string").join(per, "tier", "left").fillna(0)
+    return every.unionByName(every.agg(F.lit("total").alias("tier"), F.sum("tables").alias("tables"), F.sum("n_rows").alias("n_rows")))
+
+
 def new_files(files: DataFrame, known: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Files whose (name, checksum) is not known yet; a file above the limit fails the job."""
     d = files.join(known.select("name", "sha256"), ["name", "sha256"], "left_anti")
