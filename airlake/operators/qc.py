@@ -132,6 +132,29 @@ def clean_fires(df: DataFrame, frp_range: tuple[float, float] = FRP_RANGE, conf_
     return d.filter(ok).withColumn("confidence", F.coalesce("confidence", F.lit(conf_min)))
 
 
+def fire_report(df: DataFrame, source: str = "fires", frp_range: tuple[float, float] = FRP_RANGE, conf_min: int = MIN_CONFIDENCE) -> DataFrame:
+    """One row on raw detections: totals, coverage of the valid ones and status, in one pass.
+
+    Unreadable times, powers out of range and low confidence count as invalid, once for each; places off the globe make a
+    row invalid without counting.  ``missing_percentage`` is the share of those counts; there is no DEGRADED state.
+    """
+    hhmm = F.col("acq_time").try_cast("int")
+    t = timing.ntz(timing.iso_day(F.col("acq_date"))) + F.make_dt_interval(F.lit(0), F.floor(hhmm / 100).cast("int"), (hhmm % 100).cast("int"))
+    d = df.select(timing.hour_floor(t).alias("t"), to_double(F.col("latitude")).alias("lat"), to_double(F.col("longitude")).alias("lon"),
+                  to_double(F.col("frp")).alias("frp"), confidence_digits(F.col("confidence").cast("string")).alias("conf"))
+    off = lambda c: F.coalesce(~c, F.lit(True))
+    d = d.withColumns({"bad_time": F.col("t").isNull(), "bad_place": off((F.abs("lat") <= 90) & (F.abs("lon") <= 180)), "bad_frp": off(F.col("frp").between(*frp_range)),
+                       "low": F.coalesce(F.col("conf") < conf_min, F.lit(False))})
+    valid = ~(F.col("bad_time") | F.col("bad_place") | F.col("bad_frp") | F.col("low"))
+    only = lambda c: F.when(valid, F.col(c))
+    bad = F.count_if("bad_time") + F.count_if("bad_frp") + F.count_if("low")
+    total = F.count("*")
+    return d.agg(F.lit(source).alias("source"), total.alias("total_rows"), F.count_if(valid).alias("valid_rows"), bad.alias("invalid_rows"),
+                 F.round(F.lit(100.0) * bad / F.greatest(total, F.lit(1)), 3).alias("missing_percentage"), F.min(only("t")).alias("t_start"), F.max(only("t")).alias("t_end"),
+                 F.countDistinct(only("t")).alias("n_hours"), *[F.round(f(only(c)), 4).alias(f"{c}_{n}") for c in ("lat", "lon") for f, n in ((F.min, "min"), (F.max, "max"))],
+                 F.when(F.count_if(valid) == 0, "FAIL").otherwise("OK").alias("status"))
+
+
 def first_reason(rules: list[tuple[str, Column]]) -> Column:
     """Name of the first rule that holds, null when the record is kept."""
     out = F.when(rules[0][1], rules[0][0])

@@ -94,6 +94,15 @@ def fire_clean(spark, sf):
     return qc.clean_fires(fx.rawfire(spark, sf)).select("ok", "ln", "observed_at_utc", "latitude", "longitude", "frp", "confidence")
 
 
+@query("fire_report", "rawfire", f"""with {CLEAN_SQL}, k as (select *, hr is not null and coalesce(la between -90 and 90 and lo between -180 and 180, false) and coalesce(p between 0 and 5000, false) and coalesce(c >= 20, true) as good,
+      cast(hr is null as int) + cast(not coalesce(p between 0 and 5000, false) as int) + cast(coalesce(c < 20, false) as int) as bad from fcl)
+    select 'fires' as source, count(*) as total_rows, count(*) filter (where good) as valid_rows, cast(sum(bad) as bigint) as invalid_rows, round(100e0*sum(bad)/count(*),3) as missing_percentage,
+      min(hr) filter (where good) as t_start, max(hr) filter (where good) as t_end, count(distinct hr) filter (where good) as n_hours, round(min(la) filter (where good),4) as lat_min, round(max(la) filter (where good),4) as lat_max,
+      round(min(lo) filter (where good),4) as lon_min, round(max(lo) filter (where good),4) as lon_max, case when count(*) filter (where good)=0 then 'FAIL' else 'OK' end as status from k""")
+def fire_report(spark, sf):
+    return qc.fire_report(fx.rawfire(spark, sf))
+
+
 @query("drop_reasons", "obs rawfire asset", f"""with {NORM_SQL},
     a as (select case when value < 1 then 'below_lower_bound' when value > 250 then 'above_physical_ceiling' else 'kept' end as reason from obs),
     b as (select case when rn>1 then 'duplicate_fire_id' when not (frp_mw between 0 and 40) then 'frp_out_of_range' when confidence_percent < 20 then 'low_confidence' else 'kept' end as reason
