@@ -142,3 +142,25 @@ def missing_fraction_gate(spark, sf):
     count(o.station_id)/count(*)::double >= 0.6 as passed from stn left join (select distinct station_id from obs) o on o.station_id = stn.station_id""")
 def coverage_gate(spark, sf):
     return qc.coverage(fx.obs(spark, sf), fx.stn(spark, sf))
+
+
+@query("ingest_fires", "rawfire", f"""with {NORM_SQL},
+    b as (select lat, case when rn>1 then 'duplicate_fire_id' when not (frp_mw between 0 and 40) then 'frp_out_of_range' when confidence_percent < 20 then 'low_confidence' end as reason
+      from (select *, row_number() over (partition by fire_id order by ok*10+ln) rn from nf) x)
+    select 'dropped' as part, reason as name, count(*) as n from b where reason is not null group by reason union all select 'stored', 'rows', count(*) from b where reason is null
+    union all select 'ledger', 'kept', count(*) from b where reason is null union all select 'ledger', 'runs', 1 union all select 'again', 'skipped', 1""")
+def ingest_fires(spark, sf):
+    from airlake.session import new_dir
+    from airlake.sources.ingest import ingest_run, read_ledger
+
+    base, ledger = new_dir(spark, "ingest"), new_dir(spark, "ledger")
+    f = normalize_fires(fx.rawfire(spark, sf)).withColumn("seq", F.col("ok") * 10 + F.col("ln"))
+    f = qc.mark_duplicates(f, ["fire_id"], "seq")
+    rules = [("duplicate_fire_id", F.col("is_duplicate")), ("frp_out_of_range", ~F.col("frp_mw").between(0, 40)), ("low_confidence", F.col("confidence_percent") < 20)]
+    first, again = (ingest_run(f, rules, base, ledger, "fires", "2024-01-01", "r1") for _ in range(2))
+    one = lambda part, name, df: df.select(F.lit(part).alias("part"), F.lit(name).alias("name"), "n")
+    told = spark.createDataFrame([("dropped", k, n) for k, n in sorted(first.reasons.items())] + [("again", "skipped", int(again.skipped))], "part string, name string, n long")
+    stored = spark.read.schema("fire_id string").parquet(base).agg(F.count("*").alias("n"))
+    entered = read_ledger(spark, ledger)
+    return told.unionByName(one("stored", "rows", stored)).unionByName(one("ledger", "kept", entered.agg(F.sum("kept").alias("n")))).unionByName(
+        one("ledger", "runs", entered.agg(F.count("*").alias("n"))))

@@ -84,3 +84,20 @@ def test_no_silent_local_folder_on_a_cluster():
 
     with pytest.raises(RuntimeError):
         shared_dir(Session())
+
+
+def test_ingest_rules(spark, tmp_path):
+    from airlake.sources.ingest import ingest_run, read_ledger
+
+    base, ledger = str(tmp_path / "p"), str(tmp_path / "l")
+    df = spark.createDataFrame([(1, 5.0), (2, -1.0)], "seq long, value double")
+    rules = [("negative", F.col("value") < 0)]
+    assert ingest_run(df.where("1 = 0"), rules, base, ledger, "cpcb", "2024-01-01", "a").written == 0 and read_ledger(spark, ledger).count() == 0
+    with pytest.raises(ValueError, match="negative"):
+        ingest_run(df.where("value < 0"), rules, base, ledger, "cpcb", "2024-01-01", "a")
+    assert ingest_run(df.where("value < 0"), rules, base, ledger, "gfs", "2024-01-01", "a", may_lose_all=True).written == 0
+    got = ingest_run(df, rules, base, ledger, "cpcb", "2024-01-01", "a")
+    assert (got.written, got.reasons, got.skipped) == (1, {"negative": 1}, False)
+    assert ingest_run(df, rules, base, ledger, "cpcb", "2024-01-01", "a").skipped
+    assert [(r.run_id, r.kept, r.dropped) for r in read_ledger(spark, ledger).collect()] == [("a", 1, 1)]
+    assert spark.read.parquet(base).count() == 1
