@@ -51,6 +51,11 @@ def family(lang: str) -> str:
     return next((f for f, codes in FAMILIES.items() if lang in codes), lang)
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter; numbers of all kinds are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text or ""))
+
+
 def vectors(column: pa.Array) -> np.ndarray:
     """One row of ``DIMS`` features per text."""
     at, raw = utf8(pc.utf8_lower(pc.fill_null(column, "")))
@@ -126,7 +131,7 @@ class Model:
         if self.first is None:
             return lang, score
         x = vectors(column)
-        known = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+        known = np.array([has_letter(t) for t in texts], bool)
         fam, sure = self.first.decide(x)
         for i, f in enumerate(self.first.names):
             rows = np.flatnonzero(known & (fam == i))

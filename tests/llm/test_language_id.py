@@ -26,7 +26,7 @@ def test_more_families_and_edge_texts(spark):
     rows = [(f"{t} {i % 7} {t.upper()}", lang, 1.0) for i in range(30) for lang, t in say.items()] + [(None, "en", 0.0), ("???", "pl", 0.0), ("words", None, 0.0)]
     df = spark.createDataFrame(rows, "text string, lang string, score double")
     model = learn(df)
-    asked = [(1, None), (2, ""), (3, "12 !?"), (4, "UND das ist der fluss " * 20_000), (5, "the water"), (6, "les eaux"), (7, "las aguas y"), (8, "zq zzq"), (9, "é")]
+    asked = [(1, None), (2, ""), (3, "12 !? ² ½ Ⅷ"), (4, "UND das ist der fluss " * 20_000), (5, "the water"), (6, "les eaux"), (7, "las aguas y"), (8, "zq zzq"), (9, "é")]
     got = {r.doc_id: (r.lang_pred, r.score) for r in identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
     assert [got[i] for i in (1, 2, 3)] == [(UNKNOWN, 0.0)] * 3
     assert [got[i][0] for i in (4, 5, 6, 7, 8)] == ["de", "en", "fr", "es", "xx"] and got[9][0] != UNKNOWN
