@@ -247,13 +247,15 @@ def node_links(docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col:
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     close = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
     sketched = publish(seg.where(F.size("sketch") > 0).select("node", "sketch"), "jaccard-sketches")
-    met = met.join(sketched, "node")
-    side = lambda x: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "rare", "sketch")]]
+    side = lambda x, *more: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "rare", *more)]]
 
     # the pivot of a signature's group is the set with the fewest n-grams of its own: what the others are copies of
-    pivot = met.groupBy("sig").agg(F.min(F.struct("rare", "node", "n", "sketch")).alias("p")).select("sig", "p.*").select("sig", *side("a"))
-    stars = met.select("sig", *side("b")).join(pivot, "sig").where("a <> b").where(enough & close)
-    stars = publish(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
+    pivot = met.groupBy("sig").agg(F.min(F.struct("rare", "node", "n")).alias("p")).select("sig", "p.*").select("sig", *side("a"))
+    stars = met.select("sig", *side("b")).join(pivot, "sig").where("a <> b").where(enough)
+    stars = stars.select("a", "b", "n_a", "n_b").distinct()
+    for x in ("a", "b"):
+        stars = stars.join(sketched.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
+    stars = publish(stars.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
     edges = linked(stars, seg, percent)
     comp = components(edges)
 
@@ -262,13 +264,15 @@ def node_links(docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col:
     groups = placed.groupBy("sig", "comp").agg(F.min("n").alias("least"), F.max(F.col("n") - F.col("rare")).alias("can"), F.count("*").alias("many"))
     several = groups.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
     groups = groups.join(several, "sig", "left_semi")
+    # only here do the sketches go with the rows: what lies in one component has left
+    placed = placed.join(several, "sig", "left_semi").join(sketched, "node")
     one = groups.select("sig", *[F.col(c).alias(f"{c}_1") for c in ("comp", "least", "can", "many")])
     two = groups.select("sig", *[F.col(c).alias(f"{c}_2") for c in ("comp", "least", "can", "many")])
     able = F.least("can_1", "can_2") * (100 + percent) >= (F.col("least_1") + F.col("least_2")) * percent
     first_smaller = (F.col("many_1") < F.col("many_2")) | ((F.col("many_1") == F.col("many_2")) & (F.col("comp_1") < F.col("comp_2")))
     apart = one.join(two, "sig").where(first_smaller & (F.col("comp_1") != F.col("comp_2")) & able).select("sig", "comp_1", "comp_2")
-    few = apart.join(placed.select("sig", F.col("comp").alias("comp_1"), *side("a")), ["sig", "comp_1"])
-    pairs = few.join(placed.select("sig", F.col("comp").alias("comp_2"), *side("b")), ["sig", "comp_2"]).where(enough & close)
+    few = apart.join(placed.select("sig", F.col("comp").alias("comp_1"), *side("a", "sketch")), ["sig", "comp_1"])
+    pairs = few.join(placed.select("sig", F.col("comp").alias("comp_2"), *side("b", "sketch")), ["sig", "comp_2"]).where(enough & close)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = linked(publish(pairs, "jaccard-rest"), seg, percent)
     return components(edges.unionByName(more))
