@@ -230,7 +230,8 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model, seed, dropout)
         for batch in batches:
-            for part in slices(batch, 0):
+            # small slices: the words of one are held several times over
+            for part in slices(batch, 0, 1 << 20):
                 texts = [t or "" for t in part.column(0).to_pylist()]
                 keys = [((i or 0) * 0x9E3779B97F4A7C15 + zlib.crc32(t.encode())) % (1 << 64) for i, t in zip(part.column(1).to_pylist(), texts)]
                 raw = enc.encode(keys, texts)
