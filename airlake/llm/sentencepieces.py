@@ -1,13 +1,13 @@
 """Encoding with a SentencePiece BPE model under seeded merge-dropout, and decoding.
 
 The agenda of byte-pair merges is processed as the library does it: best score first, leftmost among equals.  Each
-candidate merge is skipped when a keyed hash of the seed, the stream, its place in the word and its two pieces falls under ``dropout``; the
-decision holds as long as the candidate exists.  Every word of a document draws one of ``STREAMS`` streams by a keyed hash of
-the document and the word's number, so one word is segmented in varied ways, and a run can be repeated.
+candidate merge is skipped with chance ``dropout`` when its turn comes, and stays skipped as long as the candidate exists.  Which turns
+are skipped is drawn by a keyed hash of the seed, the document and the word's number, for every occurrence of a word on
+its own, so a run can be repeated.
 
 No piece of such a model joins a space to what stands before it, so words are segmented one by one; many at a time
-in numpy, one merge per word and round, and words over ``LONG`` characters by a heap.  Each (stream, word) is done once
-and remembered up to ``REMEMBERED``.
+in numpy, one turn per word and round, and words over ``LONG`` characters by a heap.  A segmentation depends on the word and
+the skipped turns among those it has, so these two are its name when it is remembered, up to ``REMEMBERED``; nothing that is drawn is shared.
 
 Decoding concatenates the pieces and is lossless for every text: characters outside the vocabulary, and the model's own
 space mark, are spelled in byte pieces.
@@ -35,7 +35,8 @@ from airlake.llm.common import slices, table
 from airlake.llm.registry import query
 from airlake.llm.shingles import U, mix64
 
-STREAMS, LONG, REMEMBERED = 4, 64, 500_000
+LONG, REMEMBERED = 64, 500_000
+_NEVER = 1 << 40
 SPACE_MARK = "▁"
 #: Stretches that no piece crosses: spaces with the characters after them, and line feeds.
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
@@ -75,36 +76,46 @@ class Pieces:
         assert not any("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p in piece)
 
 
-def dropped(seed: int, dropout: float, stream: np.ndarray, start: np.ndarray, end: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Which candidate merges the keyed hash skips."""
-    h = mix64((stream.astype(U) << U(40)) ^ (start.astype(U) << U(20)) ^ end.astype(U) ^ (U(seed) << U(48)))
-    h = mix64(h ^ (left.astype(U) << U(32)) ^ right.astype(U))
-    return (h >> U(11)).astype(np.float64) < dropout * float(1 << 53)
+def gaps(stream: np.ndarray, seed: int, level: int | np.ndarray, dropout: float) -> np.ndarray:
+    """How many turns pass between skipped turn number ``level`` of a stream and the one before it: geometric, by a keyed hash."""
+    if dropout <= 0:
+        return np.full(np.broadcast(stream, level).shape, _NEVER)
+    h = mix64(mix64(stream.astype(U) ^ (U(seed % (1 << 16)) << U(48))) + np.asarray(level).astype(U) * U(0x9E3779B97F4A7C15))
+    if dropout >= 1:
+        return np.zeros(h.shape, np.int64)
+    u = ((h >> U(11)).astype(np.float64) + 1) / float(1 << 53)
+    return np.minimum(np.log(u) / np.log1p(-dropout), _NEVER).astype(np.int64)
+
+
+def skipped(streams: list[int], seed: int, dropout: float, turns: int) -> np.ndarray:
+    """The skipped turns of every stream, one row each, in order; those from ``turns`` on don't matter."""
+    some = gaps(np.array(streams, U)[:, None], seed, np.arange(max(1, turns) if dropout > 0 else 1)[None], dropout)
+    return np.minimum(np.cumsum(np.minimum(some, turns + 1) + 1, axis=1) - 1, _NEVER)
 
 
 def by_heap(p: Pieces, unit: str, stream: int, seed: int, dropout: float) -> list[int]:
     """The agenda of one word, in so many words; ids, or -1 - code point for characters without a piece."""
     sym = [int(p.code[ord(c)]) for c in unit]
-    end = list(range(1, len(unit) + 1))
     prev, after = list(range(-1, len(unit) - 1)), [*range(1, len(unit)), -1]
     agenda: list[tuple[int, int, int, int, int, int]] = []
 
     def offer(fresh: list[tuple[int, int]]) -> None:
-        fresh = [(a, b) for a, b in fresh if a >= 0 and b >= 0 and sym[a] >= 0 and sym[b] >= 0 and (sym[a] << 32 | sym[b]) in p.merges]
-        if fresh:
-            a, b = np.array(fresh).T
-            skip = dropped(seed, dropout, np.full(len(a), stream), a, np.array([end[i] for i in b]), np.array([sym[i] for i in a]), np.array([sym[i] for i in b]))
-            for (x, y), s in zip(fresh, skip.tolist()):
-                if not s:
-                    rank, made = p.merges[sym[x] << 32 | sym[y]]
-                    heapq.heappush(agenda, (rank, x, y, sym[x], sym[y], made))
+        for a, b in fresh:
+            if a >= 0 and b >= 0 and sym[a] >= 0 and sym[b] >= 0 and (sym[a] << 32 | sym[b]) in p.merges:
+                rank, made = p.merges[sym[a] << 32 | sym[b]]
+                heapq.heappush(agenda, (rank, a, b, sym[a], sym[b], made))
 
+    # every merge makes two candidates at most
+    skip, turn = set(skipped([stream], seed, dropout, 3 * len(unit))[0].tolist()), -1
     offer([(i, i + 1) for i in range(len(unit) - 1)])
     while agenda:
         _, a, b, left, right, made = heapq.heappop(agenda)
         if sym[a] != left or sym[b] != right or after[a] != b:
             continue
-        sym[a], end[a], sym[b] = made, end[b], -2
+        turn += 1
+        if turn in skip:
+            continue
+        sym[a], sym[b] = made, -2
         after[a] = after[b]
         if after[a] >= 0:
             prev[after[a]] = a
@@ -117,15 +128,21 @@ def by_heap(p: Pieces, unit: str, stream: int, seed: int, dropout: float) -> lis
 
 
 def many(p: Pieces, units: list[str], streams: list[int], seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """As ``by_heap`` for many short words: (all ids one after the other, their offsets by word).
+    """As ``by_heap`` for many short words: (all ids one after the other, their offsets by word)."""
+    return rounds(p, units, skipped(streams, seed, dropout, 3 * max(map(len, units), default=0)))[:2]
+
+
+def rounds(p: Pieces, units: list[str], skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all ids one after the other, their offsets by word, turns of every word), given the skipped turns, a row for each word.
 
-    In each round every word takes its best candidate; only the pairs on either side of a merge are judged anew.
+    In each round every word takes its best candidate, or skips it; only the pairs on either side of a merge are judged anew.
     """
     code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
     size = np.array([len(u) for u in units], np.int64)
     unit = np.repeat(np.arange(len(units)), size)
     start = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-    end, stream = start + 1, np.array(streams, np.int64)
+    skip = np.concatenate((skip, np.full((len(units), 1), _NEVER)), axis=1)
+    passed, turns, turn = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
     sym = p.code[code].astype(np.int64)
     sym[sym < 0] = -1 - code[sym < 0].astype(np.int64)
     none = np.int64(1 << 40)
@@ -140,9 +157,6 @@ def many(p: Pieces, units: list[str], streams: list[int], seed: int, dropout: fl
         at = np.minimum(np.searchsorted(p.key, key), len(p.key) - 1)
         good = p.key[at] == key
         i, at = i[good], at[good]
-        if dropout > 0 and len(i):
-            stay = ~dropped(seed, dropout, stream[unit[i]], start[i], end[i + 1], sym[i], sym[i + 1])
-            i, at = i[stay], at[stay]
         rank[i], made[i] = p.rank[at], p.made[at]
 
     judge(np.arange(len(sym) - 1))
@@ -156,25 +170,32 @@ def many(p: Pieces, units: list[str], streams: list[int], seed: int, dropout: fl
         over = np.repeat(~live, np.diff(np.append(first, n)))
         if over.any():
             done.append((unit[over], start[over], sym[over]))
+            turns[unit[first[~live]]] = turn
         i = best[live] % n
         rank[np.append(first[1:], n) - 1] = none
-        sym[i], end[i] = made[i], end[i + 1]
+        of = unit[i]
+        hit = skip[of, passed[of]] == turn
+        rank[i[hit]] = none
+        passed[of[hit]] += 1
+        i, turn = i[~hit], turn + 1
+        sym[i] = made[i]
         keep = ~over
         keep[i + 1] = False
         at = (np.cumsum(keep) - 1)[i]
-        sym, unit, start, end, rank, made = (x[keep] for x in (sym, unit, start, end, rank, made))
+        sym, unit, start, rank, made = (x[keep] for x in (sym, unit, start, rank, made))
         if len(at):
             rank[at] = none
             judge(np.concatenate((at, at - 1)))
     unit, start, sym = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
     flat = sym[np.argsort(unit * (LONG + 1) + start)]
-    return flat, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(units)))))
+    return flat, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(units))))), turns
 
 
 class Encoder:
     def __init__(self, path: str, seed: int, dropout: float):
         self.pieces, self.seed, self.dropout = Pieces(path), seed, dropout
-        self.known: dict[tuple[int, str], bytes] = {}
+        #: (skipped turns, word): its ids and how many turns it has
+        self.known: dict[tuple[tuple[int, ...], str], tuple[bytes, int]] = {}
 
     def _bytes(self, found: list[int]) -> bytes:
         if min(found) < 0:
@@ -182,29 +203,46 @@ class Encoder:
             found = [i for some in spelled for i in some]
         return array("i", found).tobytes()
 
-    def _learn(self, new: list[tuple[int, str]]) -> None:
-        short = [k for k in new if len(k[1]) <= LONG]
-        for at in range(0, len(short), 100_000):
-            some = short[at:at + 100_000]
-            flat, upto = many(self.pieces, [k[1] for k in some], [k[0] for k in some], self.seed, self.dropout)
-            raw, edge = flat.astype("<i4").tobytes(), (4 * upto).tolist()
-            self.known.update(zip(some, (raw[a:b] for a, b in zip(edge, edge[1:]))))
+    def _learn(self, new: list[tuple[tuple[int, ...], str]]) -> None:
+        for at in range(0, len(new), 100_000):
+            some = new[at:at + 100_000]
+            skip = np.full((len(some), max(len(k[0]) for k in some)), _NEVER)
+            for i, k in enumerate(some):
+                skip[i, :len(k[0])] = k[0]
+            flat, upto, turns = rounds(self.pieces, [k[1] for k in some], skip)
+            raw, edge, turns = flat.astype("<i4").tobytes(), (4 * upto).tolist(), turns.tolist()
+            self.known.update(zip(some, zip((raw[a:b] for a, b in zip(edge, edge[1:])), turns)))
             odd = np.unique(np.searchsorted(upto, np.flatnonzero(flat < 0), "right") - 1).tolist()
-            self.known.update((some[i], self._bytes(flat[upto[i]:upto[i + 1]].tolist())) for i in odd)
-        self.known.update((k, self._bytes(by_heap(self.pieces, k[1], k[0], self.seed, self.dropout))) for k in new if len(k[1]) > LONG)
+            self.known.update((some[i], (self._bytes(flat[upto[i]:upto[i + 1]].tolist()), turns[i])) for i in odd)
 
     def encode(self, keys: list[int], texts: list[str]) -> list[bytes]:
-        """32-bit ids of every text; the key picks the streams of its words."""
-        cut, need = [], set()
+        """32-bit ids of every text; the key and a word's number pick the turns that it skips."""
+        words, upto, streams = [], [0], []
         for key, text in zip(keys, texts):
-            words = _UNIT.findall(" " + text) if text else []
+            some = _UNIT.findall(" " + text) if text else []
+            words += some
+            upto.append(len(words))
             base = U((key ^ self.seed * 0x9E3779B97F4A7C15) % (1 << 64))
-            stream = (mix64(np.arange(len(words), dtype=U) * U(0xD1342543DE82EF95) + base) % U(STREAMS)).tolist() if self.dropout > 0 else [0] * len(words)
-            cut.append(list(zip(stream, words)))
-            need.update(cut[-1])
-        self._learn(list(need.difference(self.known)))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in cut]
+            streams.append(mix64(np.arange(len(some), dtype=U) * U(0xD1342543DE82EF95) + base))
+        stream = np.concatenate(streams) if streams else np.zeros(0, U)
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        lone = {i: self._bytes(by_heap(self.pieces, words[i], int(stream[i]), self.seed, self.dropout)) for i in long}
+        names = [((), w) for w in words]
+        live = np.ones(len(words), bool)
+        live[long] = False
+        live, level = np.flatnonzero(live), 0
+        position = gaps(stream, self.seed, level, self.dropout)
+        while len(live):
+            some = [names[i] for i in live.tolist()]
+            self._learn(list(set(some).difference(self.known)))
+            # who still has the turn that is to be skipped next
+            live = live[position[live] < np.fromiter((self.known[k][1] for k in some), np.int64, len(some))]
+            for i, turn in zip(live.tolist(), position[live].tolist()):
+                names[i] = ((*names[i][0], turn), names[i][1])
+            level += 1
+            position[live] += 1 + gaps(stream[live], self.seed, level, self.dropout)
+        parts = [lone[i] if i in lone else self.known[k][0] for i, k in enumerate(names)] if lone else [self.known[k][0] for k in names]
+        out = [b"".join(parts[a:b]) for a, b in zip(upto, upto[1:])]
         while len(self.known) > REMEMBERED:
             self.known.popitem()
         return out

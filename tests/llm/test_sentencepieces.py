@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -11,6 +12,7 @@ import sentencepiece
 from airlake.llm import QUERIES
 from airlake.llm.registry import reachable
 from airlake.llm.sentencepieces import Encoder, Pieces, by_heap, decode, encode, many
+from airlake.llm.shingles import mix64
 from tests.conftest import SMALL
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -52,6 +54,43 @@ def test_dropout_varies_and_is_repeatable(texts):
     assert len(cut(1)) > len(ids(Encoder(PATH, 1, 0.0).encode([1], words)[0]))
 
 
+def test_every_occurrence_draws_for_itself():
+    p, rng = Pieces(PATH), random.Random(5)
+    # words of one, two and more merges: in four shared draws many of them would never vary
+    words = [w for w in ("of", "it", "the", "and", "that", "from", "river", "ration") for _ in range(3000)]
+    rng.shuffle(words)
+    enc = Encoder(PATH, 0, 0.1)
+    coded = ids(enc.encode([7], [" ".join(words)])[0])
+    plain = {w: ids(Encoder(PATH, 0, 0.0).encode([0], [w])[0]) for w in set(words)}
+    seen, at = {w: [] for w in plain}, 0
+    for w in words:
+        said, size = "", at
+        while said != " " + w:
+            said, size = said + p.text[coded[size]].decode(), size + 1
+        seen[w].append(coded[at:size])
+        at = size
+    assert at == len(coded)
+    for w, cut in seen.items():
+        # every way of skipping turns has its chance; other ways may lead to the plain pieces too
+        ways = [(0.1 ** len(drops) * 0.9 ** (turns - len(drops)), ids(raw) == plain[w]) for (drops, v), (raw, turns) in enc.known.items() if v == " " + w]
+        want = sum(chance for chance, same in ways if same)
+        assert sum(chance for chance, _ in ways) > 0.97
+        assert abs(sum(c == plain[w] for c in cut) / 3000 - want) < 0.03 + 5 * (want * (1 - want) / 3000) ** 0.5, w
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.6, 1.0])
+def test_remembered_segmentations_are_those_of_the_agenda(dropout):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("thereandion漢😀") for _ in range(rng.randint(1, 12))) for _ in range(40)] + ["y" * 70]
+    text = " ".join(rng.choice(words) for _ in range(600))
+    enc, heard = Encoder(PATH, 2, dropout), []
+    got = enc.encode([5], [text])[0]
+    for i, w in enumerate(text.split(" ")):
+        stream = int(mix64(np.array([i], np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(5 ^ 2 * 0x9E3779B97F4A7C15 % (1 << 64)))[0])
+        heard.append(enc._bytes(by_heap(enc.pieces, " " + w, stream, 2, dropout)))
+    assert got == b"".join(heard)
+
+
 def test_query_decodes_losslessly(spark):
     want = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     rows = QUERIES["op4_sentencepiece"](spark, SMALL).collect()
