@@ -2,20 +2,21 @@
 
 *Patterns.*  E-mail addresses, IP addresses, card numbers and telephone numbers.  Their values are the protected entities.
 
-*Disclosure.*  A term that keeps company with an entity tells of it even when the entity itself is masked.  Over the whole corpus,
-``n_e`` counts the distinct contexts of an entity (the ``WINDOW`` words on either side; equal contexts, as in copies, count once),
-``n_te`` those that hold the term, ``n_t`` the documents that hold the term, N all documents.  The pointwise mutual
+*Disclosure.*  A term that keeps company with an entity tells of it even when the entity itself is masked.  All four counts are of distinct
+texts over the whole corpus, so copies change nothing: ``n_e`` those that hold the entity, ``n_te`` those that hold the term in a context of
+the entity (the ``WINDOW`` words on either side), ``n_t`` those that hold the term, N all.  The pointwise mutual
 information of term and entity as a share of the entity's own information content,
 
     log2(n_te N / (n_t n_e)) / log2(N / n_e),
 
 is 1 for a term found with the entity only.  From ``GENERALISE`` on, a term is generalised in documents that hold the entity, and
-from ``REMOVE`` on removed.  Terms need ``SUPPORT`` distinct contexts with the entity, so nothing is concluded from a single mention.
+from ``REMOVE`` on removed.  Terms need ``SUPPORT`` distinct contexts with the entity, so nothing is concluded from
+a single mention or from one passage that was copied into many texts.
 
 Sanitised text has ``[EMAIL]``, ``[IP]``, ``[CARD]``, ``[PHONE]`` for entities, ``[TERM]`` for generalised terms and nothing for removed ones.
 
 Defined cases: a null text counts as empty; added spans never touch a pattern's; repeated rows are documents of their
-own; an empty table gives an empty result.  Only the id, the text and the columns to keep are read.
+own but one text; an empty table gives an empty result.  Only the id, the text and the columns to keep are read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlake.llm.common import publish, slices, table
@@ -39,6 +40,8 @@ MARKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]",
 WINDOW, SUPPORT = 5, 3
 GENERALISE, REMOVE = 0.8, 0.95
 SHORTEST = 3
+#: Copied texts up to this number are taken out by their hashes; with more, all texts are reduced to distinct ones.
+SENT_COPIES = 500_000
 #: Candidate terms up to this number are looked for directly; more are counted with all words.
 SENT_TERMS = 200_000
 
@@ -98,7 +101,7 @@ def terms(text: str) -> list[str]:
 
 
 def contexts(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str]]:
-    """(entity, context, term) for the words around every protected value."""
+    """(entity, context, term) for the words around every protected value; the term is None where no word can tell."""
     hidden = list(text)
     for a, b, _ in base:
         hidden[a:b] = " " * (b - a)
@@ -106,13 +109,18 @@ def contexts(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int,
     for a, b, kind in base:
         around = terms(" ".join(blank[max(0, a - 40 * WINDOW):a].split()[-WINDOW:] + blank[b:b + 40 * WINDOW].split()[:WINDOW]))
         mark = int.from_bytes(hashlib.blake2b(" ".join(around).encode(), digest_size=8).digest(), "big", signed=True)
-        for t in set(around):
+        for t in set(around) or (None,):
             yield entity(text, (a, b, kind)), mark, t
 
 
+def _same(text_col: str) -> Column:
+    """Equal for equal texts; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def find_patterns(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """Kept columns, the text where it holds a protected value (else null), its spans, and the contexts as arrays."""
-    d = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+    """Kept columns, the hash of the text, the text where it holds a protected value (else null), its spans, and the contexts as arrays."""
+    d = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], _same(text_col).alias("same"))
     names = [*d.columns[1:], "held", "starts", "ends", "kinds", "entity", "context", "term"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +141,17 @@ def find_patterns(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> Data
     return d.mapInArrow(run, (own + ", " if own else "") + "held string, starts array<int>, ends array<int>, kinds array<string>, entity array<long>, context array<long>, term array<string>")
 
 
+def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """Every text once.  As a rule only texts that are there more than once move."""
+    d = docs.select(F.col(text_col).cast("string").alias("text"), _same(text_col).alias("same"))
+    copied = publish(d.groupBy("same").agg(F.count("*").alias("n")).where("n > 1").select("same"), "pii-copied")
+    if copied.count() > SENT_COPIES:
+        return d.dropDuplicates(["same"]).select("text")
+    return d.join(copied, "same", "left_anti").unionByName(d.join(copied, "same", "left_semi").dropDuplicates(["same"])).select("text")
+
+
 def document_counts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """(term, n_t): in how many documents each wanted term is."""
+    """(term, n_t): in how many distinct texts each wanted term is."""
     few = wanted.limit(SENT_TERMS + 1).collect()
     known = frozenset(r.term for r in few) if len(few) <= SENT_TERMS else None
 
@@ -158,20 +175,22 @@ def document_counts(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFr
 
     if known is not None and not known:
         return wanted.select("term", F.lit(0).cast("long").alias("n_t"))
-    counted = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
+    counted = distinct_texts(docs, text_col).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     return counted.join(wanted, "term", "left_semi")
 
 
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(entity, term, kind): the terms that give an entity away, over the whole corpus."""
-    rows = found.where("held is not null").select(F.explode(F.arrays_zip("entity", "context", "term")).alias("c")).select("c.entity", "c.context", "c.term").distinct()
+    around = F.explode(F.arrays_zip("entity", "context", "term")).alias("c")
+    rows = found.where("held is not null").select("same", around).select("same", "c.entity", "c.context", "c.term").distinct()
     rows = publish(rows, "pii-contexts")
-    together = publish(rows.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= support), "pii-together")
-    alone = rows.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    together = rows.where("term is not null").groupBy("entity", "term").agg(F.countDistinct("same").alias("n_te"), F.countDistinct("context").alias("n_c"))
+    together = publish(together.where(F.col("n_c") >= support).drop("n_c"), "pii-together")
+    alone = rows.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     n_t = document_counts(docs, together.select("term").distinct(), text_col)
-    total = float(docs.count())
+    total = float(found.select("same").distinct().count())
     share = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))) / F.log2(total / F.col("n_e"))
-    # an entity known to every document has no information to give
+    # an entity known to every text has no information to give
     told = together.join(alone, "entity").join(n_t, "term").where(F.col("n_e") < total).withColumn("share", share).where(F.col("share") >= generalise)
     return publish(told.select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("kind")), "pii-terms")
 

@@ -100,6 +100,32 @@ def test_disclosing_terms(spark, monkeypatch, sent):
     assert document_counts is not None
 
 
+@pytest.mark.parametrize("copies", [1, 20, 1000])
+@pytest.mark.parametrize("by_hash", [True, False])
+def test_copies_change_nothing(spark, monkeypatch, copies, by_hash):
+    reachable(spark)
+    if not by_hash:
+        monkeypatch.setattr("airlake.llm.pii.SENT_COPIES", -1)
+    rng = random.Random(8)
+    fill = lambda n: " ".join(f"word{rng.randrange(40)}" for _ in range(n))
+    told = [f"{fill(6)} Zebulon {fill(2)} zeb@firm.example {fill(9)}" for _ in range(3)]
+    once = [f"{fill(30)} {i}" for i in range(500)] + ["lone@mail.example", None, ""]
+    rows = list(enumerate(told * copies + once))
+    got = sanitise(spark.createDataFrame(rows, "doc_id long, text string"))
+    cut = {r.sanitised for r in got.where(f"doc_id < {3 * copies}").collect()}
+    assert len(cut) == 3 and not any("zebulon" in c.lower() for c in cut)
+    assert all("word" in c for c in cut)
+
+
+def test_one_passage_in_many_texts_is_no_support(spark):
+    reachable(spark)
+    rng = random.Random(9)
+    fill = lambda: " ".join(f"word{rng.randrange(40)}" for _ in range(30))
+    texts = [f"{fill()} one two Zebulon four five zeb@firm.example six seven eight nine ten {fill()}" for _ in range(20)] + [fill() for _ in range(200)]
+    got = sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_email > 0").collect()
+    assert len(got) == 20 and all("Zebulon" in r.sanitised for r in got)
+
+
 def test_empty_table(spark):
     reachable(spark)
     assert sanitise(spark.createDataFrame([], "doc_id long, text string")).count() == 0
