@@ -4,7 +4,7 @@
 
 *Disclosure.*  A term that keeps company with an entity tells of it even when the entity itself is masked.  All four counts are of distinct
 texts over the whole corpus, so copies change nothing: ``n_e`` those that hold the entity, ``n_te`` those that hold the term in a context of
-the entity (the ``WINDOW`` words on either side), ``n_t`` those that hold the term, N all.  The pointwise mutual
+the entity (the ``WINDOW`` words on either side, however far they reach), ``n_t`` those that hold the term, N all.  The pointwise mutual
 information of term and entity as a share of the entity's own information content,
 
     log2(n_te N / (n_t n_e)) / log2(N / n_e),
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -51,6 +52,7 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_FULL = re.compile(r"\S+")
 _NO_DIGIT = re.compile(r"[^0-9]+")
 _BREAK = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
@@ -106,10 +108,19 @@ def contexts(text: str, base: list[tuple[int, int, str]]) -> Iterator[tuple[int,
     for a, b, _ in base:
         hidden[a:b] = " " * (b - a)
     blank = "".join(hidden)
+    # words never cross a value, as it is blank; values between the same two words have one context
+    start, end, known = [], [], {}
+    for m in _FULL.finditer(blank):
+        start.append(m.start())
+        end.append(m.end())
     for a, b, kind in base:
-        around = terms(" ".join(blank[max(0, a - 40 * WINDOW):a].split()[-WINDOW:] + blank[b:b + 40 * WINDOW].split()[:WINDOW]))
-        mark = int.from_bytes(hashlib.blake2b(" ".join(around).encode(), digest_size=8).digest(), "big", signed=True)
-        for t in set(around) or (None,):
+        upto, after = bisect_right(end, a), bisect_left(start, b)
+        if (upto, after) not in known:
+            near = [*range(max(0, upto - WINDOW), upto), *range(after, min(after + WINDOW, len(start)))]
+            around = terms(" ".join(blank[start[i]:end[i]] for i in near))
+            known[upto, after] = int.from_bytes(hashlib.blake2b(" ".join(around).encode(), digest_size=8).digest(), "big", signed=True), set(around) or {None}
+        mark, told = known[upto, after]
+        for t in told:
             yield entity(text, (a, b, kind)), mark, t
 
 

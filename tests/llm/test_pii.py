@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 
 from airlake.llm import QUERIES
-from airlake.llm.pii import BASE, KINDS, document_counts, emails, entity, luhn, pattern_spans, sanitise, terms
+from airlake.llm.pii import BASE, KINDS, contexts, document_counts, emails, entity, luhn, pattern_spans, sanitise, terms
 from airlake.llm.registry import reachable
 from airlake.llm.spans import joined
 from tests.conftest import SMALL
@@ -117,6 +117,31 @@ def test_copies_change_nothing(spark, monkeypatch, copies, by_hash):
     assert all("word" in c for c in cut)
 
 
+def test_contexts_reach_whole_words_however_far():
+    rng = random.Random(10)
+    for _ in range(300):
+        words = [rng.choice(["a@b.cc", "x" * 250, "Ann", "漢" * 90, "+49 30 1234567", "one,two", "q"]) for _ in range(rng.randint(1, 14))]
+        text = "".join(w + " " * rng.choice([1, 2, 300]) for w in words)
+        base = pattern_spans(text)
+        blank = list(text)
+        for a, b, _ in base:
+            blank[a:b] = " " * (b - a)
+        want = []
+        for a, b, k in base:
+            near = terms(" ".join("".join(blank[:a]).split()[-5:] + "".join(blank[b:]).split()[:5]))
+            want += [(entity(text, (a, b, k)), t) for t in set(near) or {None}]
+        assert sorted(((e, t) for e, _, t in contexts(text, base)), key=str) == sorted(want, key=str)
+
+
+def test_far_terms_are_removed(spark):
+    reachable(spark)
+    rng = random.Random(11)
+    fill = lambda n: " ".join(f"word{rng.randrange(40)}" for _ in range(n))
+    texts = [f"{fill(9)} Zebulon{' ' * 300}{fill(1)} zeb@firm.example {fill(9)}" for _ in range(6)] + [fill(30) for _ in range(200)]
+    got = sanitise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("n_email > 0").collect()
+    assert len(got) == 6 and not any("Zebulon" in r.sanitised for r in got)
+
+
 def test_one_passage_in_many_texts_is_no_support(spark):
     reachable(spark)
     rng = random.Random(9)
