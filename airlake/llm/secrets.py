@@ -7,10 +7,16 @@ A chi-squared test of uniform use of the alphabet, a runs test about its middle
 give three p-values, combined by Fisher's method: large for what looks random.
 
 *Control.*  How often ordinary writing looks that random depends on encoding and length, so it is measured on the corpus
-itself: every document gives decoys, its own characters within each alphabet from a place that its hash picks, cut to
-the length class that its hash picks.  For each encoding and length class the cut-off is the loosest at which the rate of decoys, times
+itself: every document gives decoys, its own characters within each alphabet, from the whole text
+without the runs under test, in consecutive pieces.  Alphabets that at most
+a quarter of the text belongs to give pieces of every length class; of the others the pieces take the classes in turn, from one that the text's hash picks.
+For each encoding and length class the cut-off is the loosest at which the rate of decoys, times
 all candidates, is at most ``RATE`` of the candidates that pass.  Only that fixed-size histogram reaches the driver.
 
+*Few decoys.*  A class of fewer than ``FEW`` decoys uses, in this order, what first has as many: the same writing in capitals (for encodings of capitals),
+the shorter classes of its encoding, their writing in capitals.  If none has, the uniform null decides: from ``SURE_LENGTH`` characters on, where writing
+does not look random, runs with p of a thirtieth or more are told; shorter ones are not.
+
 Defined cases: a null text counts as empty; added spans never touch a pattern's; repeated rows count like others; an
 empty table gives an empty result.  Redaction puts ``[SECRET]`` in place of every span.
 """
@@ -43,8 +49,10 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 SHORTEST = 20
 LENGTHS = (20, 24, 32, 48, 64, 96)
 RATE = 0.05
-#: Characters of a document that its decoys are drawn from.
-DECOY_SPAN = 1024
+#: The least number of decoys at which any cut-off can exist, and some more.
+FEW = 40
+#: Without decoys: runs of this length on are told up to this class of the p-value.
+SURE_LENGTH, SURE_CLASS = 48, 2
 #: p-values below ten to the minus half of this are one class.
 WORST = 12
 _RUN = re.compile(rf"(?<![\w+/=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}(?![\w])")
@@ -64,7 +72,8 @@ ENCODINGS = {
 }
 _NAMED = list(ENCODINGS)
 _FITS = [re.compile(f"[{re.escape(a)}]+") for a in ENCODINGS.values()]
-_NOT = [re.compile(f"[^{re.escape(a)}]+") for a in ENCODINGS.values()]
+_NOT = [bytes(sorted({*range(256)} - {*a.encode()})) for a in ENCODINGS.values()]
+_CAPITALS = [i for i, a in enumerate(ENCODINGS.values()) if not re.search("[a-z]", a)]
 
 
 def _places(alphabet: str) -> np.ndarray:
@@ -139,17 +148,60 @@ def candidates(text: str) -> Iterator[tuple[int, int, int, int, int]]:
             yield m.start(), m.end(), kind, _length_class(len(body)), _class(randomness(body, kind))
 
 
-def decoys(text: str) -> Iterator[tuple[int, int, int]]:
-    """(encoding, length class, class of the p-value) of the document's own characters in every alphabet."""
-    mark = zlib.crc32(text.encode())
-    at = mark % max(1, len(text) - DECOY_SPAN + 1)
-    some = text[at:at + DECOY_SPAN]
-    size = (mark >> 20) % len(LENGTHS)
-    n = LENGTHS[size]
-    for kind, other in enumerate(_NOT):
-        body = other.sub("", some)[:n]
-        if len(body) == n:
-            yield kind, size, _class(randomness(body, kind))
+def classes(bodies: bytes, n: int, kind: int) -> np.ndarray:
+    """``_class(randomness(..))`` of many pieces of ``n`` characters, one after the other."""
+    k, out = _WIDTH[kind], []
+    every = _PLACE[kind][np.frombuffer(bodies, np.uint8)].reshape(-1, n)
+    tail = lambda z: np.array([math.erfc(x) for x in (np.abs(z) / math.sqrt(2)).tolist()])
+    for at in range(0, len(every), 10_000):
+        v = every[at:at + 10_000]
+        rows = len(v)
+        count = np.bincount((v + k * np.arange(rows)[:, None]).ravel(), minlength=rows * k).reshape(rows, k)
+        chi = (count * count).sum(1) * k / n - n
+        uniform = tail((chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n))
+        high = 2 * v >= k
+        many = high.sum(1)
+        mean = 1 + 2 * many * (n - many) / n
+        spread = (mean - 1) * (mean - 2) / (n - 1)
+        z = (1 + (high[:, 1:] != high[:, :-1]).sum(1) - mean) / np.sqrt(np.where(spread > 0, spread, 1))
+        turns = np.where((many == 0) | (many == n), 2.0 ** (1 - n), np.where(spread > 0, tail(z), 1.0))
+        d = v - v.mean(1, keepdims=True)
+        square = (d * d).sum(1)
+        serial = np.where(square > 0, tail(((d[:, 1:] * d[:, :-1]).sum(1) / np.where(square > 0, square, 1) + 1 / n) * math.sqrt(n)), 0.0)
+        x = -sum(np.log(np.maximum(p, 1e-30)) for p in (uniform, turns, serial))
+        p = np.exp(-x) * (1 + x + x * x / 2)
+        out.append(np.minimum(WORST, (-2 * np.log10(np.maximum(p, 1e-30))).astype(int)))
+    return np.concatenate(out) if out else np.zeros(0, int)
+
+
+def decoys(texts: list[str]) -> Counter:
+    """(1, or 2 for writing in capitals; encoding, length class, class of the p-value) of the documents' own characters in every alphabet."""
+    found: dict[tuple[int, int, int], list[bytes]] = {}
+    for text in texts:
+        raw = text.encode("ascii", "ignore")
+        first = zlib.crc32(raw) % len(LENGTHS)
+        shout = raw.upper()
+        for source, kind in [*((1, i) for i in range(len(_NOT))), *((2, i) for i in _CAPITALS)]:
+            body = (raw if source == 1 else shout).translate(None, _NOT[kind])
+            if len(body) < SHORTEST:
+                continue
+            if 4 * len(body) <= len(text):
+                for size, n in enumerate(LENGTHS):
+                    if len(body) >= n:
+                        found.setdefault((source, kind, size), []).append(body[:len(body) // n * n])
+                continue
+            at, turn = 0, first
+            while len(body) - at >= SHORTEST:
+                # the end of a text goes to the longest class that it can fill
+                size = min(turn % len(LENGTHS), _length_class(len(body) - at))
+                found.setdefault((source, kind, size), []).append(body[at:at + LENGTHS[size]])
+                at, turn = at + LENGTHS[size], turn + 1
+    seen: Counter = Counter()
+    for (source, kind, size), some in found.items():
+        for c, n in enumerate(np.bincount(classes(b"".join(some), LENGTHS[size], kind)).tolist()):
+            if n:
+                seen[source, kind, size, c] += n
+    return seen
 
 
 def calibrate(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> dict[tuple[int, int], int]:
@@ -159,22 +211,31 @@ def calibrate(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> di
         seen: Counter = Counter()
         for batch in batches:
             for part in slices(batch, 0):
+                rest = []
                 for text in part.column(0).to_pylist():
                     if text:
-                        seen.update((0, *c[2:]) for c in candidates(text))
-                        seen.update((1, *d) for d in decoys(text))
+                        judged = list(candidates(text))
+                        seen.update((0, *c[2:]) for c in judged)
+                        # a corpus with many keys must not take them for its writing
+                        edge = [0, *(i for c in judged for i in c[:2]), len(text)]
+                        rest.append(" ".join(text[a:b] for a, b in zip(edge[::2], edge[1::2])) if judged else text)
+                seen.update(decoys(rest))
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.int32()) for i in range(4)] + [pa.array(list(seen.values()), pa.int64())],
                                          names=["decoy", "kind", "size", "class", "n"])
 
     found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "decoy int, kind int, size int, class int, n long")
-    hist = np.zeros((2, len(ENCODINGS), len(LENGTHS), WORST + 1))
+    hist = np.zeros((3, len(ENCODINGS), len(LENGTHS), WORST + 1))
     for r in found.groupBy("decoy", "kind", "size", "class").agg(F.sum("n").alias("n")).collect():
         hist[r.decoy, r.kind, r["size"], r["class"]] = r.n
-    told, fake = np.cumsum(hist[0], -1), np.cumsum(hist[1], -1)
+    told, fake, loud = (np.cumsum(h, -1) for h in hist)
     cut = {}
     for kind, size in np.ndindex(*told.shape[:2]):
-        t, d = told[kind, size], fake[kind, size]
-        if t[-1] and d[-1]:
+        t = told[kind, size]
+        pools = [fake[kind, size], loud[kind, size], fake[kind, :size + 1].sum(0), loud[kind, :size + 1].sum(0)]
+        d = next((p for p in pools if p[-1] >= FEW), None)
+        if t[-1] and d is None and LENGTHS[size] >= SURE_LENGTH:
+            cut[int(kind), int(size)] = SURE_CLASS
+        elif t[-1] and d is not None:
             good = np.flatnonzero((t > 0) & ((d + 1) / d[-1] * t[-1] <= rate * t))
             good = good[good < WORST]
             if good.size:

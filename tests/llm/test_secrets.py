@@ -9,7 +9,7 @@ import pytest
 
 from airlake.llm import QUERIES
 from airlake.llm.registry import reachable
-from airlake.llm.secrets import _NAMED, KINDS, MARK, calibrate, encoding, pattern_spans, randomness, scan
+from airlake.llm.secrets import _NAMED, ENCODINGS, KINDS, MARK, _class, calibrate, classes, encoding, pattern_spans, randomness, scan
 from airlake.llm.spans import apart, joined, replaced
 from tests.conftest import SMALL
 
@@ -68,6 +68,27 @@ def test_unnamed_keys_are_found_and_writing_stays(spark):
     assert got[441].spans == got[442].spans == "" and got[443].redacted == MARK
 
 
+def test_many_pieces_as_one_by_one():
+    rng = random.Random(5)
+    for kind, alphabet in enumerate(ENCODINGS.values()):
+        for n in (20, 48, 96):
+            some = ["".join(rng.choice(alphabet[:rng.choice([1, 2, 9, 64])]) for _ in range(n)) for _ in range(60)]
+            assert classes("".join(some).encode(), n, kind).tolist() == [_class(randomness(b, kind)) for b in some]
+
+
+@pytest.mark.parametrize("name", list(ENCODINGS))
+def test_long_secrets_of_every_encoding_in_a_clean_corpus(spark, name):
+    """Ordinary writing, few capitals: each alphabet has decoys or its stated stand-in."""
+    reachable(spark)
+    rng = random.Random(7)
+    words = "the quick brown fox jumps over a lazy dog near some river bank while children play in autumn light".split()
+    texts = [" ".join(rng.choice(words) for _ in range(60)).capitalize() + f" {rng.randrange(1000)}." for _ in range(150)]
+    keys = ["".join(rng.choice(ENCODINGS[name]) for _ in range(64)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate([*texts, *(f"{t} {k} end" for t, k in zip(texts, keys))])), "doc_id long, text string").coalesce(1)
+    found = [r.doc_id for r in scan(df, calibrate(df)).collect() if r.spans]
+    assert len(found) >= 12 and min(found) >= 150
+
+
 def test_span_helpers():
     assert apart([(0, 3, "r"), (4, 6, "r"), (9, 12, "r")], [(0, 5, "a"), (1, 2, "a"), (12, 13, "a")]) == [(9, 12, "r")]
     assert replaced("0123456789", [(1, 3, "a"), (2, 5, "a"), (8, 9, "a")], {"a": "_"}) == "0_567_9"
