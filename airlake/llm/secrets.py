@@ -2,7 +2,8 @@
 
 *Patterns.*  Assignments to secret names, access keys, long hexadecimal runs.
 
-*Battery.*  Every run of at least ``SHORTEST`` characters of ``A-Za-z0-9+/_=-`` that holds a letter is read in the narrowest encoding that fits.
+*Battery.*  Every run of at least ``SHORTEST`` characters of ``A-Za-z0-9+/_=-`` that holds a letter, whatever stands beside it, is read in the narrowest encoding that fits.
+Runs are cut at ``=`` but for padding at their end; a part with both ``+/`` and ``_-`` is cut at the two that leave the longest piece.
 A chi-squared test of uniform use of the alphabet, a runs test about its middle and a lag-one serial correlation
 give three p-values, combined by Fisher's method: large for what looks random.
 
@@ -55,7 +56,10 @@ FEW = 40
 SURE_LENGTH, SURE_CLASS = 48, 2
 #: p-values below ten to the minus half of this are one class.
 WORST = 12
-_RUN = re.compile(rf"(?<![\w+/=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}(?![\w])")
+_RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
+#: A part of a run; padding belongs to the last one.
+_PART = re.compile(r"[^=]+(=+\Z)?")
+_MIXED = (re.compile(r"[^+/=]+(=+\Z)?"), re.compile(r"[^_=-]+(=+\Z)?"))
 #: Encodings, narrowest first.
 ENCODINGS = {
     "hex": "0123456789abcdef",
@@ -139,13 +143,26 @@ def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
+def parts(run: str) -> Iterator[tuple[int, str]]:
+    """(start, part) of a run: between signs of equality, each in characters of one encoding."""
+    for m in _PART.finditer(run):
+        body = m[0].rstrip("=")
+        if ("+" in body or "/" in body) and ("_" in body or "-" in body):
+            ways = [[(m.start() + c.start(), c[0]) for c in some.finditer(m[0])] for some in _MIXED]
+            yield from max(ways, key=lambda way: max((len(p.rstrip("=")) for _, p in way), default=0))
+        else:
+            yield m.start(), m[0]
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, int, int, int]]:
     """(start, end, encoding, length class, class of the p-value) of the runs that the battery judges."""
     for m in _RUN.finditer(text):
-        kind = encoding(m[0])
-        body = m[0].rstrip("=")
-        if kind is not None and len(body) >= SHORTEST:
-            yield m.start(), m.end(), kind, _length_class(len(body)), _class(randomness(body, kind))
+        for at, part in parts(m[0]):
+            body = part.rstrip("=")
+            if len(body) >= SHORTEST:
+                kind = encoding(body)
+                if kind is not None:
+                    yield m.start() + at, m.start() + at + len(part), kind, _length_class(len(body)), _class(randomness(body, kind))
 
 
 def classes(bodies: bytes, n: int, kind: int) -> np.ndarray:

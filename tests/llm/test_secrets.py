@@ -9,7 +9,7 @@ import pytest
 
 from airlake.llm import QUERIES
 from airlake.llm.registry import reachable
-from airlake.llm.secrets import _NAMED, ENCODINGS, KINDS, MARK, _class, calibrate, classes, encoding, pattern_spans, randomness, scan
+from airlake.llm.secrets import _NAMED, ENCODINGS, KINDS, MARK, _class, calibrate, candidates, classes, encoding, pattern_spans, randomness, scan
 from airlake.llm.spans import apart, joined, replaced
 from tests.conftest import SMALL
 
@@ -81,7 +81,8 @@ def test_long_secrets_of_every_encoding_in_a_clean_corpus(spark, name):
     """Ordinary writing, few capitals: each alphabet has decoys or its stated stand-in."""
     reachable(spark)
     rng = random.Random(7)
-    words = "the quick brown fox jumps over a lazy dog near some river bank while children play in autumn light".split()
+    # no pangram, whose letters look drawn
+    words = "the nation states that this interest in the estate is not a matter of the senate and the treaties are there to rest".split()
     texts = [" ".join(rng.choice(words) for _ in range(60)).capitalize() + f" {rng.randrange(1000)}." for _ in range(150)]
     keys = ["".join(rng.choice(ENCODINGS[name]) for _ in range(64)) for _ in range(20)]
     df = spark.createDataFrame(list(enumerate([*texts, *(f"{t} {k} end" for t, k in zip(texts, keys))])), "doc_id long, text string").coalesce(1)
@@ -89,6 +90,30 @@ def test_long_secrets_of_every_encoding_in_a_clean_corpus(spark, name):
     assert len(found) >= 12 and min(found) >= 150
 
 
+_KEY = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY"
+
+
+@pytest.mark.parametrize("before, key, after", [
+    ("AWS_SESSION=", _KEY, ""), ("https://a.b/c?sig=", _KEY, "&x=1"), ("NAME=", _KEY + "==", " end"), ("a=b=", _KEY, "=c"), ("密钥是", _KEY, "请保密"), ("é", _KEY, "é"),
+    ("prefix-with-hyphen-", "AbC+" + _KEY + "/x==", " end"), ("a/b+c/", "Ab-_" + _KEY, "")])
+def test_whole_frequent_forms_are_judged(before, key, after):
+    text = before + key + after
+    assert (len(before), len(before) + len(key)) in [c[:2] for c in candidates(text)]
+
+
+def test_keys_behind_names_are_told(spark):
+    reachable(spark)
+    rng = random.Random(12)
+    words = "the quick brown fox jumps over a lazy dog near some river bank while children play in autumn light".split()
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(300)]
+    keys = [base64.b64encode(rng.randbytes(36)).decode() for _ in range(60)]
+    forms = ["AWS_SESSION={}", "密钥是{}请保密", "my-prefix-with-hyphens-{}"]
+    texts += [f"{texts[i]} {forms[i % 3].format(k)} end" for i, k in enumerate(keys)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in scan(df, calibrate(df)).collect()}
+    assert all(sum(bool(got[300 + i]) for i in range(f, 60, 3)) >= 15 for f in range(3)) and not any(got[i] for i in range(300))
+
+
 def test_span_helpers():
     assert apart([(0, 3, "r"), (4, 6, "r"), (9, 12, "r")], [(0, 5, "a"), (1, 2, "a"), (12, 13, "a")]) == [(9, 12, "r")]
     assert replaced("0123456789", [(1, 3, "a"), (2, 5, "a"), (8, 9, "a")], {"a": "_"}) == "0_567_9"
