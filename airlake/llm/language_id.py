@@ -4,8 +4,8 @@ Features are hashed letter n-grams of the whole lower-case text (2, 3 and 4 byte
 as a gap), as square roots of counts, scaled to length 1.  One-versus-one machines separate every two families, and
 within a family every two languages; votes decide, then summed margins, then the name.
 
-Learning uses a bounded sample: at most ``PER_LANG`` labelled documents of each language, the smallest by a keyed hash of the
-text, so the sample is the same at every layout of the table.  Each machine is trained in a task of its own.
+Learning uses a bounded sample: at most ``PER_LANG`` distinct labelled texts with letters of each language, the smallest by a keyed hash of the
+text, so copies change nothing and the sample is the same at every layout of the table.  Each machine is trained in a task of its own.
 Prediction covers every whole text and reads nothing but the text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if there is nothing to learn
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlake.llm.common import slices, table, utf8
+from airlake.llm.common import publish, slices, table, utf8
 from airlake.llm.registry import query
 
 PER_LANG = 400
@@ -146,16 +146,16 @@ class Model:
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, seed: int = 11) -> Model:
     """Train on rows of texts and non-null languages."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r.lang: r.n for r in labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "text"))
+    # distinct hashes are ranked before any text moves
+    order = Window.partitionBy("lang").orderBy("key")
+    chosen = rows.select("lang", "key").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
+    chosen = publish(chosen, "language-sample")
+    langs = sorted(r.lang for r in chosen.select("lang").distinct().collect())
+    if not langs:
         return Model([], {})
-    # about four times the sample by hash, whatever the number of rows, before any text moves
-    share = F.create_map(*[c for k, n in counts.items() for c in (F.lit(k), F.lit(min(1.0, 4 * per_lang / n)))])
-    key = F.xxhash64(F.lit(seed), "text")
-    near = rows.withColumn("key", key).where(F.shiftrightunsigned("key", 11) / float(1 << 53) < share[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("key", "text")
-    sample = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
-    langs = sorted(counts)
+    # at most per_lang rows a language are sent
+    sample = rows.join(F.broadcast(chosen), ["lang", "key"]).groupBy("lang", "key", "nth").agg(F.min("text").alias("text"))
     members: dict[str, list[str]] = {}
     for lang in langs:
         members.setdefault(family(lang), []).append(lang)
@@ -175,9 +175,6 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
 
     fitted = dealt.groupBy("scope", "a", "b").applyInPandas(fit, "scope string, a string, b string, w binary").collect()
     weights = {(r.scope, r.a, r.b): np.frombuffer(r.w, np.float32) for r in fitted}
-    # a language all of whose texts lack letters has no machine
-    there = {n for k in weights for n in k[1:]} if weights else set()
-    langs = [x for x in langs if len(members[family(x)]) == 1 and (family(x) in there or len(members) == 1) or x in there]
     return Model(langs, weights)
 
 

@@ -32,6 +32,18 @@ def test_more_families_and_edge_texts(spark):
     assert [got[i][0] for i in (4, 5, 6, 7, 8)] == ["de", "en", "fr", "es", "xx"] and got[9][0] != UNKNOWN
 
 
+def test_a_language_of_few_heavily_copied_texts(spark):
+    reachable(spark)
+    say = {"en": "the house and the water of this", "de": "das haus und der fluss ist nicht"}
+    rows = [(f"{say['en']} {i} {i * 7}", "en") for i in range(60)] + [(f"{say['de']} nummer {i}", "de") for i in range(3) for _ in range(2000)]
+    rows += [(None, "de"), ("123", "de")] * 500
+    df = spark.createDataFrame(rows, "text string, lang string")
+    asked = spark.createDataFrame([(1, "der fluss und das haus"), (2, "the water and the house")], "doc_id long, text string")
+    for seed in range(4):
+        got = {r.doc_id: r.lang_pred for r in identify(asked, learn(df, per_lang=5, seed=seed)).collect()}
+        assert got == {1: "de", 2: "en"}, seed
+
+
 def test_nothing_or_one_language_to_learn(spark):
     reachable(spark)
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
