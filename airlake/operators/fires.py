@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from airlake.functions import geo, physics
@@ -48,60 +50,77 @@ def urban_base(cells: DataFrame, nx: int, ny: int, box: dict = geo.DOMAIN_BOX) -
 MIN_FRP = 10.0
 LIFETIME_H = 6.0
 KERNEL_KM = 40.0
-SALTS = 8
 CELL_EF_G_PER_MJ = 0.009
+#: Fires that one task adds up at a time for one key; a key with more is shared by as many tasks as it needs.
+GROUP_ROWS = 50_000
+#: Fire-cell terms that are held at a time, eight numbers each.
+TERMS = 1 << 18
+
+
+def _shared(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ``_salt``, rows (keys, _salts)): groups of about ``rows`` rows, as many per key as its measured size asks for."""
+    if not keys:
+        n = df.agg(F.count("*").alias("n")).scalar()
+        sized = df.withColumn("_salts", F.greatest(F.lit(1), F.ceil(n / rows)).cast("int"))
+        salts = None
+    else:
+        salts = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_salts"))
+        sized = df.join(salts, keys)
+    return sized.withColumn("_salt", F.pmod(F.xxhash64("lat", "lon"), F.col("_salts")).cast("int")).drop("_salts"), salts
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Shuffle compact rows over all tasks before they are multiplied.
-
-    A fixed partition number keeps adaptive execution from merging the small input of a
-    large expansion into one task, and the shuffle keeps per-row sums from being
-    evaluated again for every multiplied row.  Hashing the columns first stops the planner
-    from dropping the shuffle as equal to the one of a preceding aggregate.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*cols))
+def _lat_factor(fire_lat: np.ndarray, cell_lat: np.ndarray) -> np.ndarray:
+    x = (cell_lat[None] - fire_lat[:, None]) * (geo.KM_PER_DEGREE / KERNEL_KM)
+    return np.exp(-(x * x))
 
 
-def _lat_factor(fire_lat: Column, cell_lat: Column) -> Column:
-    x = (cell_lat - fire_lat) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM)
-    return F.exp(-(x * x))
+def _lon_factor(fire_lat: np.ndarray, fire_lon: np.ndarray, cell_lon: np.ndarray) -> np.ndarray:
+    x = (cell_lon[None] - fire_lon[:, None]) * np.cos(np.radians(fire_lat))[:, None] * (geo.KM_PER_DEGREE / KERNEL_KM)
+    return np.exp(-(x * x))
 
 
-def _lon_factor(fire_lat: Column, fire_lon: Column, cell_lon: Column) -> Column:
-    x = (cell_lon - fire_lon) * F.cos(F.radians(fire_lat)) * F.lit(geo.KM_PER_DEGREE / KERNEL_KM)
-    return F.exp(-(x * x))
+def _axis(grid: DataFrame, idx: str, coord: str) -> tuple[np.ndarray, np.ndarray]:
+    """One grid axis as (indices, coordinates): as many numbers as the grid is wide."""
+    rows = grid.select(F.col(idx).cast("long").alias("k"), F.col(coord).cast("double").alias("x")).distinct().orderBy("k", "x").collect()
+    return np.array([r.k for r in rows], np.int64), np.array([r.x for r in rows], np.float64)
 
 
-def _axis(grid: DataFrame, idx: str, coord: str) -> Column:
-    """One grid axis as a scalar array of (index, coordinate); its length is the grid width."""
-    return grid.select(idx, coord).distinct().agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("k"), F.col(coord).alias("x")))).alias("a")).scalar()
+def _numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [table[c].to_numpy() for c in columns]
 
 
 def _kernel_sums(places: DataFrame, keys: list[str], grid: DataFrame, normalised: bool) -> DataFrame:
     """Rows (keys, i, j, s): sum of power x Gaussian kernel over all fires of a key.
 
-    The kernel is a product of a latitude and a longitude factor, so the fires are first
-    summed per (fire latitude, cell column) and then spread over the cell rows: no fire
-    is ever paired with every cell.
+    The kernel is a product of a latitude and a longitude factor, so a group's sums on the whole grid are one matrix
+    product of the two factors.  No row is multiplied by cells before the sums: groups send a row per
+    grid column, with the column's values as an array.
     """
-    xi, yj = _axis(grid, "i", "lon"), _axis(grid, "j", "lat")
-    lat, lon = F.col("lat"), F.col("lon")
-    share = F.col("frp")
-    if normalised:
-        places = places.withColumns({"_xi": xi, "_yj": yj})
-        total = F.aggregate("_xi", F.lit(0.0), lambda a, e: a + _lon_factor(lat, lon, e["x"])) * F.aggregate("_yj", F.lit(0.0), lambda a, e: a + _lat_factor(lat, e["x"]))
-        share = share / F.when(total > 0, total).otherwise(F.lit(1.0))
-    col = (
-        spread(places.select(*keys, "lat", "lon", share.alias("_w")), *keys, "lat", "lon").withColumn("_e", F.explode(xi))
-        .select(*keys, "lat", F.col("_e.k").alias("i"), (F.col("_w") * _lon_factor(lat, lon, F.col("_e.x"))).alias("_w"))
-        .groupBy(*keys, "lat", "i").agg(F.sum("_w").alias("_w"))
-    )
-    return (
-        spread(col, *keys, "i").withColumn("_e", F.explode(yj))
-        .select(*keys, "i", F.col("_e.k").alias("j"), (F.col("_w") * _lat_factor(lat, F.col("_e.x"))).alias("_s"))
-        .groupBy(*keys, "i", "j").agg(F.sum("_s").alias("s"))
-    )
+    (i, x), (j, y) = _axis(grid, "i", "lon"), _axis(grid, "j", "lat")
+    kinds = [(c, t) for c, t in places.dtypes if c in keys]
+
+    def run(some: pa.Table) -> pa.Table:
+        total = np.zeros((len(x), len(y)))
+        lat, lon, frp = _numbers(some, "lat", "lon", "frp")
+        step = max(1, TERMS // max(1, len(x) + len(y)))
+        for at in range(0, len(lat), step):
+            part = slice(at, at + step)
+            up, along = _lat_factor(lat[part], y), _lon_factor(lat[part], lon[part], x)
+            share = frp[part]
+            if normalised:
+                whole = up.sum(axis=1) * along.sum(axis=1)
+                share = share / np.where(whole > 0, whole, 1.0)
+            total += (along * share[:, None]).T @ up
+        own = [pa.chunked_array([pa.repeat(some[c][0], len(x))]) for c in keys]
+        return pa.table([*own, pa.array(i), pa.array(total.tolist(), pa.list_(pa.float64()))], names=[*keys, "i", "_s"])
+
+    places = places.filter("lat is not null and lon is not null")
+    spread, _ = _shared(places.select(*keys, "lat", "lon", F.col("frp").cast("double").alias("frp")), keys, GROUP_ROWS)
+    made = "".join(f"{c} {t}, " for c, t in kinds) + "i long, _s array<double>"
+    sums = spread.groupBy(*keys, "_salt").applyInArrow(run, made)
+    at = F.element_at(F.lit(j.tolist()).cast("array<long>"), F.col("_at") + 1) if len(j) else F.lit(None).cast("long")
+    each = sums.select(*keys, "i", F.posexplode("_s").alias("_at", "_v")).groupBy(*keys, "i", "_at").agg(F.sum("_v").alias("s"))
+    return each.select(*keys, "i", at.alias("j"), "s")
 
 
 def fire_density(fires: DataFrame, grid: DataFrame, min_frp: float = MIN_FRP) -> DataFrame:
@@ -150,42 +169,48 @@ def fire_influence(fires: DataFrame, wind: DataFrame, acq: str = "acq", life_h:
                    angle: str = "math") -> DataFrame:
     """Rows (hour, i, j, influence, upwind, downwind), each scaled by its largest value over all hours and cells.
 
-    ``wind`` holds (hour, i, j, lat, lon, wd).  Fires at one place and hour are summed
-    first; each hour's wind field travels as one array of grid size and is joined on
-    (hour, salt), so a single busy hour is worked on by many tasks.  ``angle`` math
-    keeps the published projection (cos, sin) on (east, north); ``met`` uses the
-    direction the wind blows to.
+    ``wind`` holds (hour, i, j, lat, lon, wd).  Fires of an hour, in groups of a measured size, meet the hour's wind field in one task,
+    where their terms are summed as vectors over cells, a block of fires at a time; a group sends one row per cell, so nothing of
+    the size fires x cells is ever shuffled or sorted.  ``angle`` math keeps the published projection (cos, sin) on (east, north); ``met``
+    uses the direction the wind blows to.
     """
-    d = _spans(fires.filter(F.col("frp") >= min_frp), acq, life_h)
+    d = _spans(fires.filter((F.col("frp") >= min_frp) & F.col("lat").isNotNull() & F.col("lon").isNotNull()), acq, life_h)
     d = d.groupBy("_first", "_n", "lat", "lon").agg(F.sum("frp").alias("frp"))
     d = d.withColumn("hour", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.col("_first") + F.make_dt_interval(F.lit(0), k))))
-    d = d.groupBy("hour", "lat", "lon").agg(F.sum("frp").alias("frp")).withColumn("_salt", F.pmod(F.xxhash64("lat", "lon"), F.lit(SALTS)).cast("int"))
-    nodes = wind.select("i", "j", "lat", "lon").distinct().agg(F.sort_array(F.collect_list(F.struct("i", "j", F.col("lat").alias("la"), F.col("lon").alias("lo")))).alias("n")).scalar()
-    # one array of directions per hour, in node order; an incomplete hour is aligned by its cell keys
-    seen = wind.groupBy("hour").agg(F.sort_array(F.collect_list(F.struct("i", "j", "wd"))).alias("_l")).withColumn("_nodes", nodes)
-    by_cell = F.map_from_entries(F.transform("_l", lambda e: F.struct(F.struct(e["i"].alias("i"), e["j"].alias("j")).alias("k"), e["wd"].alias("v"))))
-    aligned = F.transform("_nodes", lambda c: F.try_element_at(by_cell, F.struct(c["i"].alias("i"), c["j"].alias("j"))))
-    deg = F.when(F.size("_l") == F.size("_nodes"), F.transform("_l", lambda e: e["wd"])).otherwise(aligned)
-    # plain numbers keep the copies per salt small; "met" turns the from-direction into the same angle convention
-    turn = (lambda a: F.radians(a)) if angle == "math" else (lambda a: F.radians(F.lit(270.0) - a))
-    seen = seen.select("hour", F.transform(deg, turn).alias("_w"))
-    # the shuffle keeps the arrays from being rebuilt for every detection
-    winds = spread(seen, "hour").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    km = F.lit(geo.KM_PER_DEGREE)
-    d = spread(d.withColumn("_kx", F.cos(F.radians("lat")) * km), "hour", "_salt")
-    x = d.join(winds, ["hour", "_salt"]).select("hour", "_salt", "lat", "lon", "frp", "_kx", F.posexplode("_w").alias("_pos", "_u")).filter("_u is not null")
-    x = x.withColumn("c", F.get(nodes, F.col("_pos"))).select(
-        "hour", "frp", "_pos", F.cos("_u").alias("e"), F.sin("_u").alias("n"), ((F.col("c.lo") - F.col("lon")) * F.col("_kx")).alias("_ex"), ((F.col("c.la") - F.col("lat")) * km).alias("_ny"))
-    x = x.withColumn("_d2", F.col("_ex") * F.col("_ex") + F.col("_ny") * F.col("_ny"))
-    # alignment of the fire-to-cell vector with the wind, -1..1
-    x = x.select("hour", "frp", "_pos", "_d2", ((F.col("_ex") * F.col("e") + F.col("_ny") * F.col("n")) / (F.sqrt("_d2") + 1)).alias("_a"))
-    down, up = F.greatest(F.col("_a"), F.lit(0.0)), F.greatest(-F.col("_a"), F.lit(0.0))
-    kernel = F.exp(F.col("_d2") * F.lit(-1.0 / (KERNEL_KM * KERNEL_KM)))
-    total = x.groupBy("hour", "_pos").agg(
-        F.sum(kernel * (F.lit(1.0) + F.lit(1.6) * down) * F.col("frp")).alias("influence"), F.sum(up * F.col("frp")).alias("upwind"),
-        F.sum(down * F.col("frp")).alias("downwind"))
+    d, salts = _shared(d.select("hour", "lat", "lon", F.col("frp").cast("double").alias("frp")), ["hour"], GROUP_ROWS)
+    winds = wind.filter("wd is not null and lat is not null and lon is not null").join(salts, "hour").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    turn = (lambda w: np.radians(w)) if angle == "math" else (lambda w: np.radians(270.0 - w))
     cols = ("influence", "upwind", "downwind")
-    return total.withColumn("c", F.get(nodes, F.col("_pos"))).select("hour", F.col("c.i").alias("i"), F.col("c.j").alias("j"), *cols)
+
+    def run(some: pa.Table, cells: pa.Table) -> pa.Table:
+        if not some.num_rows or not cells.num_rows:
+            return cells.slice(0, 0).select(["hour", "i", "j"]).append_column("influence", pa.array([], pa.float64())).append_column(
+                "upwind", pa.array([], pa.float64())).append_column("downwind", pa.array([], pa.float64()))
+        lat, lon, frp = _numbers(some, "lat", "lon", "frp")
+        la, lo, wd = _numbers(cells, "lat", "lon", "wd")
+        east, north = np.cos(turn(wd)), np.sin(turn(wd))
+        sums = np.zeros((3, len(wd)))
+        step = max(1, TERMS // len(wd))
+        for at in range(0, len(lat), step):
+            f_lat, f_lon, power = lat[at:at + step, None], lon[at:at + step, None], frp[at:at + step]
+            ex = (lo[None] - f_lon) * (np.cos(np.radians(f_lat)) * geo.KM_PER_DEGREE)
+            ny = (la[None] - f_lat) * geo.KM_PER_DEGREE
+            # alignment of the fire-to-cell vector with the wind, -1..1
+            a = ex * east + ny * north
+            ex *= ex
+            ny *= ny
+            ex += ny
+            a /= np.sqrt(ex) + 1
+            down = np.maximum(a, 0.0)
+            kernel = np.exp(ex * (-1.0 / (KERNEL_KM * KERNEL_KM)))
+            kernel *= 1.0 + 1.6 * down
+            sums += power @ kernel, power @ (down - a), power @ down
+        return pa.table([cells["hour"], cells["i"], cells["j"], *map(pa.array, sums)], names=["hour", "i", "j", *cols])
+
+    kinds = dict(winds.dtypes)
+    made = f"hour {kinds['hour']}, i {kinds['i']}, j {kinds['j']}, influence double, upwind double, downwind double"
+    groups = d.groupBy("hour", "_salt").cogroup(winds.select("hour", "_salt", "i", "j", *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "wd")]).groupBy("hour", "_salt"))
+    return groups.applyInArrow(run, made).groupBy("hour", "i", "j").agg(*[F.sum(c).alias(c) for c in cols])
 
 
 def normalise_by_max(df: DataFrame, cols: list[str]) -> DataFrame:
