@@ -8,6 +8,8 @@ appear in any answer, so a crowded place does not multiply.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from airlake.functions import geo
@@ -110,15 +112,74 @@ def wind_edges(stations: DataFrame, radius_km: float = 60.0, wind: float = 300.0
     return e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
 
 
+#: Stations of a block, and hours that one task holds of a pair of blocks.
+BLOCK_STATIONS, BLOCK_HOURS = 256, 1 << 14
+
+
+def pair_moments(series: DataFrame, key: str, t: str, value: str, block: int = BLOCK_STATIONS, hours: int = BLOCK_HOURS) -> DataFrame:
+    """Rows (a, b, n, x, y, xx, yy, xy): moments of every two stations over the times both have a value; a pair appears once.
+
+    A blocked Gram matrix: a row holds what a block of stations measured at one time, and a task sums the products of two blocks
+    as matrices, with matrices of counts for what is missing.  So as many rows move as there are times and pairs of blocks, not pairs of
+    stations.  Values are taken relative to their station's mean, which no result but the sums depends on.
+    """
+    s = series.select(F.col(key).alias("k"), F.col(t).alias("t"), F.col(value).cast("double").alias("v")).filter("k is not null and t is not null and v is not null")
+    s = s.join(s.groupBy("k").agg(F.avg("v").alias("_m")), "k").withColumn("v", F.col("v") - F.col("_m"))
+    size = s.agg(F.count_distinct("k").alias("k"), F.approx_count_distinct("t").alias("t")).first()
+    blocks, slices = max(1, -(-size.k // block)), max(1, -(-size.t // hours))
+    by_time = s.groupBy("t", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias("blk")).agg(F.collect_list(F.struct("k", "v")).alias("e"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = by_time.withColumn("_o", other).select(F.least("blk", "_o").alias("a"), F.greatest("blk", "_o").alias("b"), "blk", F.pmod(F.xxhash64("t"), F.lit(slices)).cast("int").alias("slice"), "t", "e")
+    kind = dict(s.dtypes)["k"]
+
+    def gram(some: pa.Table) -> pa.Table:
+        e = some["e"].combine_chunks()
+        flat = e.flatten()
+        row = np.repeat(np.arange(len(e)), np.diff(np.asarray(e.offsets)))
+        # the number of every row's time among the times of the group
+        time = np.unique(some["t"].cast(pa.int64()).to_numpy() if pa.types.is_temporal(some["t"].type) else np.asarray(some["t"].to_pylist()), return_inverse=True)[1]
+        names, at = np.unique(np.asarray(flat.field("k").to_pylist()), return_inverse=True)
+        v, blk = flat.field("v").to_numpy(), some["blk"].to_numpy()[row]
+        a, b = some["a"][0].as_py(), some["b"][0].as_py()
+        side = {}
+        for which in {a, b}:
+            own = blk == which
+            used, place = np.unique(at[own], return_inverse=True)
+            shape, cell = (time.max() + 1, len(used)), (time[row[own]], place)
+            held = [np.zeros(shape) for _ in range(3)]
+            for m, w in zip(held, (np.ones(own.sum()), v[own], v[own] ** 2)):
+                np.add.at(m, cell, w)
+            side[which] = (names[used], *held)
+        (left, an, ax, axx), (right, bn, bx, bxx) = side[a], side[b]
+        sums = [an.T @ bn, ax.T @ bn, an.T @ bx, axx.T @ bn, an.T @ bxx, ax.T @ bx]
+        i, j = np.nonzero(np.triu(sums[0], 1) if a == b else sums[0])
+        return pa.table([pa.array(left[i].tolist()), pa.array(right[j].tolist()), *[pa.array(m[i, j]) for m in sums]], names=["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    made = f"a {kind}, b {kind}, n double, x double, y double, xx double, yy double, xy double"
+    part = met.groupBy("a", "b", "slice").applyInArrow(_typed(gram, kind), made)
+    return part.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+
+def _typed(fn, kind: str):
+    """``fn`` with its station columns in the type of ``kind``."""
+    as_type = pa.string() if kind == "string" else {"int": pa.int32(), "bigint": pa.int64()}[kind]
+
+    def run(some: pa.Table) -> pa.Table:
+        out = fn(some)
+        return pa.table([out["a"].cast(as_type), out["b"].cast(as_type), *out.columns[2:]], names=out.column_names)
+
+    return run
+
+
 def corr_edges(series: DataFrame, edges: DataFrame, key: str, t: str, value: str) -> DataFrame:
     """Overlay: weight = max(weight, correlation clipped to 0..1).
 
-    The correlation matrix of the stations is the result itself; moments combine on
-    the map side, so each hour only adds to one running sum per pair.
+    The correlation matrix of the stations is the result itself (``pair_moments``); a series that doesn't vary while both are there has none.
     """
-    s = series.select(key, t, value).filter(F.col(value).isNotNull())
-    a, b = s.select(t, F.col(key).alias("a"), F.col(value).alias("x")), s.select(t, F.col(key).alias("b"), F.col(value).alias("y"))
-    r = a.join(b, t).filter("a < b").groupBy("a", "b").agg(div(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y"))).alias("r"))
+    mean = lambda c: F.col(c) / F.col("n")
+    # less than what rounding leaves of the squares is no variance
+    var = lambda s, q: F.when(mean(q) - mean(s) * mean(s) > mean(q) * 1e-13, mean(q) - mean(s) * mean(s)).otherwise(0.0)
+    r = pair_moments(series, key, t, value).select("a", "b", div(mean("xy") - mean("x") * mean("y"), F.sqrt(var("x", "xx") * var("y", "yy"))).alias("r"))
     r = r.select("a", "b", F.coalesce(clip(F.col("r"), 0, 1), F.lit(0.0)).alias("r"))
     both = r.select(F.col("a").alias("src"), F.col("b").alias("dst"), "r").unionByName(r.select(F.col("b").alias("src"), F.col("a").alias("dst"), "r"))
     w = F.greatest(F.coalesce("w", F.lit(0.0)), F.coalesce("r", F.lit(0.0)))
