@@ -161,3 +161,81 @@ def test_oversize_file_fails_the_job(spark):
     assert inventory.new_files(f, known).count() == 2
     with pytest.raises(Exception, match="size limit"):
         inventory.new_files(f, known, max_bytes=50).collect()
+
+
+def test_ordered_bits_follow_the_values(spark):
+    import struct
+
+    rnd = random.Random(8)
+    vals = [0.0, 5e-324, 2.2250738585072014e-308, 1.0, 2.0, math.nextafter(2.0, 0), 1.7976931348623157e308, math.inf, 1e9, 1e9 + 2.0**-23]
+    vals += [struct.unpack("<d", struct.pack("<Q", rnd.randrange(0, 2047 << 52)))[0] for _ in range(2000)] + [2.0**e for e in range(-1074, 1024)]
+    df = spark.createDataFrame([(v,) for v in vals + [-v for v in vals] + [math.nan]], "v double")
+    got = {(r.v, r.c) for r in df.select("v", quantiles.ordered_bits(F.col("v")).alias("c")).collect() if r.v == r.v}
+    want = {(v, s * struct.unpack("<Q", struct.pack("<d", abs(v)))[0]) for v in vals for v, s in ((v, 1), (-v, -1))}
+    assert got == want
+    assert df.filter("isnan(v)").select(quantiles.ordered_bits(F.col("v"))).first()[0] == (2047 << 52) + 1
+
+
+def test_quantiles_of_a_narrow_range_rank_few_values(spark, monkeypatch):
+    n, bound = 1_000_000, 4096
+    monkeypatch.setattr(quantiles, "DISTINCT", bound)
+    # 10**6 distinct values in [1e9, 1e9 + 1): equal upper bits; and a key that is spread
+    df = spark.range(n).select(F.lit("narrow").alias("k"), (F.lit(1e9) + F.pmod(F.col("id") * 7_919, F.lit(n)) / F.lit(float(n))).alias("v"))
+    df = df.union(spark.range(1001).select(F.lit("wide"), F.exp(F.col("id") / 100.0)))
+    sizes, keep = [], quantiles.cut_lineage
+    monkeypatch.setattr(quantiles, "cut_lineage", lambda d: sizes.append((x := keep(d)).groupBy("k", "_b").count().agg(F.max("count")).first()[0]) or x)
+    vc = quantiles.value_counts(df, ["k"], "v")
+    got = {r.k: r for r in quantiles.quantiles_of_counts(vc, ["k"], {"a": 0.25, "b": 0.5, "c": 0.999}).collect()}
+    exact = np.sort(1e9 + (np.arange(n) * 7_919 % n) / n)
+    wide = np.exp(np.arange(1001) / 100.0)
+    for name, p in (("a", 0.25), ("b", 0.5), ("c", 0.999)):
+        assert got["narrow"][name] == pytest.approx(float(np.quantile(exact, p)), rel=1e-15)
+        assert got["wide"][name] == pytest.approx(float(np.quantile(wide, p)), rel=1e-12)
+    # the first cut leaves them all in one bucket, the next no more than the bound
+    assert sizes[0] > 800_000 and sizes[-1] <= bound and len(sizes) <= 3
+
+
+def test_correlations_by_blocks_equal_pairs(spark):
+    rnd = random.Random(4)
+    rows = [(s, h, rnd.gauss(1e6, 1) + h * 0.1 * (s % 3 - 1)) for s in range(23) for h in range(60) if rnd.random() < 0.7]
+    rows += [(50, h, 3.25) for h in range(60)] + [(51, h, None) for h in range(60)] + [(None, 1, 1.0)]
+    df = spark.createDataFrame(rows, "s long, t int, v double")
+    held = {}
+    for s, h, v in rows:
+        if s is not None and v is not None:
+            held.setdefault(s, {})[h] = v
+    none = spark.createDataFrame([], "src long, dst long, w double")
+    want = {}
+    for a in held:
+        for b in held:
+            both = sorted(set(held[a]) & set(held[b]))
+            x, y = np.array([held[a][h] for h in both]), np.array([held[b][h] for h in both])
+            if a != b and len(both) > 1 and x.std() > 0 and y.std() > 0:
+                r = float(np.corrcoef(x, y)[0, 1])
+                if r > 0:
+                    want[a, b] = min(r, 1.0)
+    got = {(r.src, r.dst): r.w for r in graph.corr_edges(df, none, "s", "t", "v").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    small = graph.pair_moments(df, "s", "t", "v", block=4, hours=16)
+    one = {frozenset((r.a, r.b)): sorted(round(x, 6) for x in (r.n, r.xx, r.yy, r.xy)) for r in graph.pair_moments(df, "s", "t", "v").collect()}
+    many = {frozenset((r.a, r.b)): sorted(round(x, 6) for x in (r.n, r.xx, r.yy, r.xy)) for r in small.collect()}
+    assert one == many and len(one) == 24 * 23 // 2
+    text = df.withColumn("s", F.concat(F.lit("S"), "s"))
+    assert graph.corr_edges(text, spark.createDataFrame([], "src string, dst string, w double"), "s", "t", "v").count() == len(want)
+
+
+def test_a_hot_hour_is_shared_by_many_tasks(spark, monkeypatch):
+    _, df, cells, grid = make_fires(spark, 400)
+    wind = grid.select("*", F.lit(40.0).alias("wd"), F.explode(F.sequence(F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.expr("timestamp_ntz'2024-01-01 18:00:00'"), F.expr("interval 1 hour"))).alias("hour"))
+    ask = lambda: ({(r.hour, r.i, r.j): (r.influence, r.upwind, r.downwind) for r in fires.fire_influence(df, wind).collect()},
+                   {(r.i, r.j): r.density for r in fires.fire_density(df, grid).collect()})
+    once = ask()
+    monkeypatch.setattr(fires, "GROUP_ROWS", 7)
+    monkeypatch.setattr(fires, "TERMS", 50)
+    salted, salts = fires._shared(df.withColumn("hour", F.lit(1)), ["hour"], 7)
+    assert salted.select("_salt").distinct().count() > 30
+    again = ask()
+    assert again[1] == pytest.approx(once[1], rel=1e-12) and set(again[0]) == set(once[0])
+    assert all(again[0][k] == pytest.approx(v, rel=1e-12) for k, v in once[0].items())
+    nothing = df.filter("false")
+    assert fires.fire_density(nothing, grid).count() == fires.fire_influence(nothing, wind).count() == 0
