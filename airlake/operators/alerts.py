@@ -56,9 +56,12 @@ def _first(cond: Column, *more: Column) -> Column:
     return F.min(F.when(cond, row))
 
 
-def _alert(kind: str, severity: Column, idx: Column, t: Column, message: Column, data: dict[str, Column], with_idx: bool = True) -> Column:
+def _alert(kind: str, severity: Column, idx: Column, t: Column, data: dict[str, Column], with_idx: bool = True) -> Column:
+    """The alert; its message lists the data it rests on."""
     name = F.concat(F.lit(f"{kind}-"), idx.cast("string")) if with_idx else F.lit(kind)
     cells = [x for k, v in data.items() for x in (F.lit(k), v.cast("double"))]
+    said = F.concat_ws(", ", *[F.format_string(f"{k}=%.2f", v.cast("double")) for k, v in data.items()])
+    message = F.concat(F.lit(f"{kind} at row "), idx.cast("string"), F.lit(": "), said)
     return F.struct(name.alias("alert_id"), F.lit(kind).alias("alert_type"), severity.alias("severity"), idx.alias("idx"), t.alias("timestamp"),
                     message.alias("message"), F.create_map(*cells).alias("data"), F.lit(RULES.index(kind)).alias("rule_order"))
 
@@ -78,30 +81,30 @@ def alerts(df: DataFrame, keys: list[str], cols: Inputs = Inputs(), limits: Limi
         v = F.col("_pm.v")
         out["HIGH_PM"] = F.when(v > lm.pm25, _alert(
             "HIGH_PM", F.when(v < lm.pm25_critical, "warning").otherwise("critical"), F.col("_pm.i"), F.col("_pm.t"),
-            F.format_string(f"PM2.5 reached %.0f ug/m3 (> {lm.pm25}); health advisory.", v), {"pm25": v, "threshold": F.lit(lm.pm25)}))
+            {"pm25": v, "threshold": F.lit(lm.pm25)}))
     if "SEVERE_AQI" in rules:
         aggs["_aq"] = _peak(F.col(cols.aqi).cast("double"))
         v = F.col("_aq.v")
         out["SEVERE_AQI"] = F.when(v >= lm.aqi, _alert(
             "SEVERE_AQI", F.when(v >= lm.aqi_critical, "critical").otherwise("warning"), F.col("_aq.i"), F.col("_aq.t"),
-            F.format_string(f"AQI reached %.0f (threshold {lm.aqi}); restrict outdoor activity.", v), {"aqi": v, "threshold": F.lit(lm.aqi)}))
+            {"aqi": v, "threshold": F.lit(lm.aqi)}))
     if "INVERSION" in rules:
         aggs["_tr"] = _peak(F.col(cols.trapping))
         v = F.col("_tr.v")
         out["INVERSION"] = F.when(v > lm.trapping, _alert(
             "INVERSION", F.lit("warning"), F.col("_tr.i"), F.col("_tr.t"),
-            F.format_string(f"Trapping index %.2f (> {lm.trapping}); pollution trapped near the surface.", v), {"trapping_index": v, "threshold": F.lit(lm.trapping)}))
+            {"trapping_index": v, "threshold": F.lit(lm.trapping)}))
     if "STAGNANT_WIND" in rules:
         d = series.add_run_length(d.withColumn("_k", F.lit(0)) if not keys else d, keys or ["_k"], cols.time, F.col(cols.ws) < lm.wind, "_run")
         aggs["_st"] = _first(F.col("_run") >= lm.calm_rows, F.col(cols.ws), F.col("_run"))
         out["STAGNANT_WIND"] = F.when(F.col("_st").isNotNull(), _alert(
-            "STAGNANT_WIND", F.lit("warning"), F.col("_st.i"), F.col("_st.t"), F.lit(f"Wind < {lm.wind} m/s for {lm.calm_rows}+ h (stagnation)."),
+            "STAGNANT_WIND", F.lit("warning"), F.col("_st.i"), F.col("_st.t"),
             {"ws10_ms": F.col("_st.x0"), "consecutive_hours": F.col("_st.x1")}, with_idx=False))
     if "STUBBLE_PLUME" in rules:
         both = F.col(cols.plume) * (F.lit(1.0) + F.lit(1.2) * F.col(cols.fire))
         aggs["_pl"] = _peak(both, F.col(cols.plume), F.col(cols.fire))
         out["STUBBLE_PLUME"] = F.when(F.col("_pl.v") > lm.plume + lm.fire, _alert(
-            "STUBBLE_PLUME", F.lit("warning"), F.col("_pl.i"), F.col("_pl.t"), F.lit("Raised plume and fire influence; stubble smoke arriving."),
+            "STUBBLE_PLUME", F.lit("warning"), F.col("_pl.i"), F.col("_pl.t"),
             {"plume_conc": F.col("_pl.x0"), "fire_influence": F.col("_pl.x1")}))
     if "RAPID_PM_RISE" in rules:
         past = F.col("_past")
@@ -112,7 +115,6 @@ def alerts(df: DataFrame, keys: list[str], cols: Inputs = Inputs(), limits: Limi
         now, old = F.col("_ri.x0"), F.col("_ri.x1")
         out["RAPID_PM_RISE"] = F.when(F.col("_ri").isNotNull(), _alert(
             "RAPID_PM_RISE", F.lit("warning"), F.col("_ri.i"), F.col("_ri.t"),
-            F.format_string(f"PM2.5 rose %.0f ug/m3 over {lm.rise_rows} h (> {lm.rise}).", now - old),
             {"delta_6h": now - old, "pm25_now": now, "pm25_6h_ago": old}, with_idx=False))
     found = d.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
     rows = found.select(*keys, F.explode(F.filter(F.array(*[out[r] for r in RULES if r in rules]), lambda a: a.isNotNull())).alias("a")).select(*keys, "a.*")

@@ -10,7 +10,7 @@ from airlake.plans.windows import STATION_SQL, station_field
 
 SERIES_SQL = f"""{STATION_SQL}, se as (select station_id, hour_idx as t, pm25*4-60 as pm25, 180e0+(station_id*13+hour_idx*31)%260 as aqi, ((station_id*7+hour_idx*11)%100)/120e0 as trapping, ws/4 as ws,
     ((station_id*5+hour_idx*3)%40)/60e0 as plume, ((station_id+hour_idx*7)%30)/60e0 as fire from sf),
-    si as (select *, row_number() over (partition by station_id order by t)-1 as i from se)"""
+    si as materialized (select *, row_number() over (partition by station_id order by t)-1 as i from se)"""
 
 
 def alert_series(spark, sf):
