@@ -5,9 +5,11 @@ candidate merge is skipped with chance ``dropout`` when its turn comes, and stay
 are skipped is drawn by a keyed hash of the seed, the document and the word's number, for every occurrence of a word on
 its own, so a run can be repeated.
 
-No piece of such a model joins a space to what stands before it, so words are segmented one by one; many at a time
-in numpy, one turn per word and round, and words over ``LONG`` characters by a heap.  A segmentation depends on the word and
-the skipped turns among those it has, so these two are its name when it is remembered, up to ``REMEMBERED``; nothing that is drawn is shared.
+No piece of such a model joins a space to what stands before it, so words are segmented one by one.  The words of a slice of text are
+numbered by a dictionary, and the skipped turns of an occurrence are the bits of a 64-bit mask, found one after the other: a segmentation is worked out
+once for each word and mask that occur, many at a time in numpy with one turn per word and round, and kept in flat arrays; one gather puts the ids of all
+occurrences in order.  Nothing is kept from slice to slice, and long texts are worked off in slices too, so memory has a bound that follows from the slice.  Words over
+``LONG`` characters, whose turns may pass 64, are segmented by a heap, each occurrence by itself.
 
 Decoding concatenates the pieces and is lossless for every text: characters outside the vocabulary, and the model's own
 space mark, are spelled in byte pieces.
@@ -20,26 +22,26 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlake.llm.common import slices, table
+from airlake.llm.common import slices, table, utf8
 from airlake.llm.registry import query
 from airlake.llm.shingles import U, mix64
 
-LONG, REMEMBERED = 64, 500_000
+#: A word of so many characters has at most 60 turns: a merge makes two candidates at most.
+LONG = 21
+#: Words of text, and pairs of a word and a mask, that are worked on at a time.
+UNITS, PAIRS = 200_000, 50_000
 _NEVER = 1 << 40
 SPACE_MARK = "▁"
-#: Stretches that no piece crosses: spaces with the characters after them, and line feeds.
-_UNIT = re.compile(r" *[^ \n]+| +|\n")
 
 
 class Pieces:
@@ -68,14 +70,45 @@ class Pieces:
         places = {s: k for k, s in enumerate(sorted({m.get_score(i) for i in piece.values()}, reverse=True))}
         merges = {(piece[p[:k]] << 32) | piece[p[k:]]: (places[m.get_score(i)], i)
                   for p, i in piece.items() for k in range(1, len(p)) if p[:k] in piece and p[k:] in piece}
-        self.key = np.array(sorted(merges), np.int64)
-        self.rank = np.array([merges[k][0] for k in self.key.tolist()], np.int64)
-        self.made = np.array([merges[k][1] for k in self.key.tolist()], np.int32)
+        keys = sorted(merges)
+        self.rank = np.array([merges[k][0] for k in keys], np.int64)
+        self.made = np.array([merges[k][1] for k in keys], np.int32)
+        # an open table of the pairs, at most a quarter full; a key without a place goes on to the next
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.slots, self.entry = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int32)
+        key, row = np.array(keys, np.int64), np.arange(len(keys))
+        slot = self._slot(key)
+        while len(key):
+            free = self.slots[slot] == -1
+            some, first = np.unique(slot[free], return_index=True)
+            self.slots[some], self.entry[some] = key[free][first], row[free][first]
+            out = self.slots[slot] != key
+            key, row, slot = key[out], row[out], (slot[out] + 1) & ((1 << self.bits) - 1)
         self.merges = merges
         #: a line feed in a piece would make lines depend on each other
         assert not any("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p in piece)
 
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(U) * U(0x9E3779B97F4A7C15)) >> U(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Row of every pair among ``rank`` and ``made``, -1 for pairs that don't merge."""
+        slot = self._slot(key)
+        held, out = self.slots[slot], self.entry[slot]
+        off = np.flatnonzero((held != key) & (held != -1))
+        out[held != key] = -1
+        slot = slot[off]
+        while len(off):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            held = self.slots[slot]
+            hit = held == key[off]
+            out[off[hit]] = self.entry[slot[hit]]
+            on = ~hit & (held != -1)
+            off, slot = off[on], slot[on]
+        return out
+
+
 def gaps(stream: np.ndarray, seed: int, level: int | np.ndarray, dropout: float) -> np.ndarray:
     """How many turns pass between skipped turn number ``level`` of a stream and the one before it: geometric, by a keyed hash."""
     if dropout <= 0:
@@ -127,22 +160,30 @@ def by_heap(p: Pieces, unit: str, stream: int, seed: int, dropout: float) -> lis
     return out
 
 
+def _mask(streams: np.ndarray, seed: int, dropout: float) -> np.ndarray:
+    """The skipped turns among the first 64 of every stream, as bits."""
+    out = np.zeros(len(streams), U)
+    for row, turns in enumerate(skipped(streams.tolist(), seed, dropout, 64) if len(streams) else ()):
+        for t in turns[turns < 64].tolist():
+            out[row] |= U(1 << t)
+    return out
+
+
 def many(p: Pieces, units: list[str], streams: list[int], seed: int, dropout: float) -> tuple[np.ndarray, np.ndarray]:
     """As ``by_heap`` for many short words: (all ids one after the other, their offsets by word)."""
-    return rounds(p, units, skipped(streams, seed, dropout, 3 * max(map(len, units), default=0)))[:2]
+    code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
+    return rounds(p, code, np.array([len(u) for u in units], np.int64), _mask(np.array(streams, U), seed, dropout))[:2]
 
 
-def rounds(p: Pieces, units: list[str], skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(all ids one after the other, their offsets by word, turns of every word), given the skipped turns, a row for each word.
+def rounds(p: Pieces, code: np.ndarray, size: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all ids one after the other, their offsets by word, turns of every word), given code points, words' sizes and the bits of skipped turns.
 
     In each round every word takes its best candidate, or skips it; only the pairs on either side of a merge are judged anew.
     """
-    code = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
-    size = np.array([len(u) for u in units], np.int64)
-    unit = np.repeat(np.arange(len(units)), size)
+    words = len(size)
+    unit = np.repeat(np.arange(words), size)
     start = np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
-    skip = np.concatenate((skip, np.full((len(units), 1), _NEVER)), axis=1)
-    passed, turns, turn = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), 0
+    turns, turn = np.zeros(words, np.int64), 0
     sym = p.code[code].astype(np.int64)
     sym[sym < 0] = -1 - code[sym < 0].astype(np.int64)
     none = np.int64(1 << 40)
@@ -153,9 +194,8 @@ def rounds(p: Pieces, units: list[str], skip: np.ndarray) -> tuple[np.ndarray, n
         i = i[(i >= 0) & (i + 1 < len(sym))]
         rank[i] = none
         i = i[(unit[i] == unit[i + 1]) & (sym[i] >= 0) & (sym[i + 1] >= 0)]
-        key = (sym[i] << 32) | sym[i + 1]
-        at = np.minimum(np.searchsorted(p.key, key), len(p.key) - 1)
-        good = p.key[at] == key
+        at = p.find((sym[i] << 32) | sym[i + 1])
+        good = at >= 0
         i, at = i[good], at[good]
         rank[i], made[i] = p.rank[at], p.made[at]
 
@@ -173,10 +213,8 @@ def rounds(p: Pieces, units: list[str], skip: np.ndarray) -> tuple[np.ndarray, n
             turns[unit[first[~live]]] = turn
         i = best[live] % n
         rank[np.append(first[1:], n) - 1] = none
-        of = unit[i]
-        hit = skip[of, passed[of]] == turn
+        hit = (mask[unit[i]] >> U(turn)) & U(1) > 0 if turn < 64 else np.zeros(len(i), bool)
         rank[i[hit]] = none
-        passed[of[hit]] += 1
         i, turn = i[~hit], turn + 1
         sym[i] = made[i]
         keep = ~over
@@ -187,72 +225,151 @@ def rounds(p: Pieces, units: list[str], skip: np.ndarray) -> tuple[np.ndarray, n
             rank[at] = none
             judge(np.concatenate((at, at - 1)))
     unit, start, sym = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
-    flat = sym[np.argsort(unit * (LONG + 1) + start)]
-    return flat, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=len(units))))), turns
+    flat = sym[np.argsort(unit * (start.max(initial=0) + 1) + start, kind="stable")]
+    return flat, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=words)))), turns
+
+
+def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``start``, one run after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
+class Segments:
+    """Segmentations of the words of a slice: ids in one run each, with the word, the skipped turns and the number of turns."""
+
+    def __init__(self, encoder: Encoder, words: pa.Array):
+        self.encoder, self.words = encoder, words
+        self.code = np.frombuffer(utf8(words)[1].tobytes().decode().encode("utf-32-le"), np.uint32)
+        self.size = np.asarray(pa.compute.utf8_length(words)).astype(np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.word, self.mask, self.turns = np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, np.int64)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids: list[np.ndarray] = []
+        self.held = 0
+
+    def keep(self, ids: np.ndarray, upto: np.ndarray, word: np.ndarray, mask: np.ndarray, turns: np.ndarray) -> None:
+        """More segmentations, numbered on."""
+        ids, upto = self.encoder.spelled(ids, upto)
+        self.start = np.concatenate((self.start, upto[:-1] + self.held))
+        self.length = np.concatenate((self.length, np.diff(upto)))
+        self.word, self.mask, self.turns = (np.concatenate(x) for x in ((self.word, word), (self.mask, mask), (self.turns, turns)))
+        self.ids.append(ids)
+        self.held += len(ids)
+
+    def learn(self, word: np.ndarray, mask: np.ndarray) -> None:
+        """Segment words under masks, many at a time."""
+        for lo in range(0, len(word), PAIRS):
+            w, m = word[lo:lo + PAIRS], mask[lo:lo + PAIRS]
+            ids, upto, turns = rounds(self.encoder.pieces, self.code[_gather(self.begin[w], self.size[w])], self.size[w], m)
+            self.keep(ids, upto, w, m, turns)
+
+    def known(self) -> dict[tuple[tuple[int, ...], str], tuple[bytes, int]]:
+        """(skipped turns, word): its ids and how many turns it has."""
+        flat, words = np.concatenate([*self.ids, np.zeros(0, np.int32)]), self.words.to_pylist()
+        bits = ((tuple(t for t in range(64) if m >> t & 1)) for m in self.mask.tolist())
+        return {(b, words[w]): (flat[s:s + n].tobytes(), t) for b, w, s, n, t in zip(bits, self.word.tolist(), self.start.tolist(), self.length.tolist(), self.turns.tolist())}
 
 
 class Encoder:
     def __init__(self, path: str, seed: int, dropout: float):
         self.pieces, self.seed, self.dropout = Pieces(path), seed, dropout
-        #: (skipped turns, word): its ids and how many turns it has
-        self.known: dict[tuple[tuple[int, ...], str], tuple[bytes, int]] = {}
+        self._bytes_of = np.array(self.pieces.byte, np.int64)
+        self.last: Segments | None = None
+
+    @property
+    def known(self) -> dict[tuple[tuple[int, ...], str], tuple[bytes, int]]:
+        """The segmentations of the slice that was worked on last."""
+        return self.last.known() if self.last else {}
+
+    def spelled(self, ids: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters without a piece (-1 - code point) as the pieces of their bytes; 32-bit ids and their offsets."""
+        odd = np.flatnonzero(ids < 0)
+        if not len(odd):
+            return ids.astype("<i4"), upto
+        raw = [chr(c).encode() for c in (-1 - ids[odd]).tolist()]
+        more = np.ones(len(ids), np.int64)
+        more[odd] = [len(r) for r in raw]
+        at = np.concatenate(([0], np.cumsum(more)))
+        out = np.repeat(ids, more)
+        out[_gather(at[odd], more[odd])] = self._bytes_of[np.frombuffer(b"".join(raw), np.uint8)]
+        return out.astype("<i4"), at[upto]
 
     def _bytes(self, found: list[int]) -> bytes:
-        if min(found) < 0:
-            spelled = ([self.pieces.byte[b] for b in chr(-1 - s).encode()] if s < 0 else [s] for s in found)
-            found = [i for some in spelled for i in some]
-        return array("i", found).tobytes()
-
-    def _learn(self, new: list[tuple[tuple[int, ...], str]]) -> None:
-        for at in range(0, len(new), 100_000):
-            some = new[at:at + 100_000]
-            skip = np.full((len(some), max(len(k[0]) for k in some)), _NEVER)
-            for i, k in enumerate(some):
-                skip[i, :len(k[0])] = k[0]
-            flat, upto, turns = rounds(self.pieces, [k[1] for k in some], skip)
-            raw, edge, turns = flat.astype("<i4").tobytes(), (4 * upto).tolist(), turns.tolist()
-            self.known.update(zip(some, zip((raw[a:b] for a, b in zip(edge, edge[1:])), turns)))
-            odd = np.unique(np.searchsorted(upto, np.flatnonzero(flat < 0), "right") - 1).tolist()
-            self.known.update((some[i], (self._bytes(flat[upto[i]:upto[i + 1]].tolist()), turns[i])) for i in odd)
-
-    def encode(self, keys: list[int], texts: list[str]) -> list[bytes]:
-        """32-bit ids of every text; the key and a word's number pick the turns that it skips."""
-        words, upto, streams = [], [0], []
-        for key, text in zip(keys, texts):
-            some = _UNIT.findall(" " + text) if text else []
-            words += some
-            upto.append(len(words))
-            base = U((key ^ self.seed * 0x9E3779B97F4A7C15) % (1 << 64))
-            streams.append(mix64(np.arange(len(some), dtype=U) * U(0xD1342543DE82EF95) + base))
-        stream = np.concatenate(streams) if streams else np.zeros(0, U)
-        long = [i for i, w in enumerate(words) if len(w) > LONG]
-        lone = {i: self._bytes(by_heap(self.pieces, words[i], int(stream[i]), self.seed, self.dropout)) for i in long}
-        names = [((), w) for w in words]
-        live = np.ones(len(words), bool)
-        live[long] = False
-        live, level = np.flatnonzero(live), 0
-        position = gaps(stream, self.seed, level, self.dropout)
-        while len(live):
-            some = [names[i] for i in live.tolist()]
-            self._learn(list(set(some).difference(self.known)))
+        return self.spelled(np.array(found, np.int64), np.array([0, len(found)]))[0].tobytes()
+
+    def _slice(self, units: pa.Array, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, their number by unit)."""
+        coded = units.dictionary_encode()
+        of = np.asarray(coded.indices).astype(np.int64)
+        known = self.last = Segments(self, coded.dictionary)
+        short = known.size <= LONG
+        # one segmentation without skipped turns of every short word; its number is that of the word among them
+        first = np.flatnonzero(short)
+        known.learn(first, np.zeros(len(first), U))
+        place = np.cumsum(short) - 1
+        segment = place[of]
+        live = np.flatnonzero(short[of])
+        position, level = gaps(stream[live], self.seed, 0, self.dropout), 0
+        while True:
             # who still has the turn that is to be skipped next
-            live = live[position[live] < np.fromiter((self.known[k][1] for k in some), np.int64, len(some))]
-            for i, turn in zip(live.tolist(), position[live].tolist()):
-                names[i] = ((*names[i][0], turn), names[i][1])
+            still = position < known.turns[segment[live]]
+            live, position = live[still], position[still]
+            if not len(live):
+                break
+            pair, which = np.unique(segment[live] * 64 + position, return_inverse=True)
+            parent, number = pair // 64, len(known.word)
+            known.learn(known.word[parent], known.mask[parent] | (U(1) << (pair % 64).astype(U)))
+            segment[live] = number + which
             level += 1
-            position[live] += 1 + gaps(stream[live], self.seed, level, self.dropout)
-        parts = [lone[i] if i in lone else self.known[k][0] for i, k in enumerate(names)] if lone else [self.known[k][0] for k in names]
-        out = [b"".join(parts[a:b]) for a, b in zip(upto, upto[1:])]
-        while len(self.known) > REMEMBERED:
-            self.known.popitem()
-        return out
+            position = position + 1 + gaps(stream[live], self.seed, level, self.dropout)
+        for i in np.flatnonzero(~short[of]).tolist():
+            found = by_heap(self.pieces, units[i].as_py(), int(stream[i]), self.seed, self.dropout)
+            segment[i] = len(known.word)
+            known.keep(np.array(found, np.int64), np.array([0, len(found)]), of[i:i + 1], np.zeros(1, U), np.full(1, _NEVER))
+        flat, size = np.concatenate([*known.ids, np.zeros(0, "<i4")]), known.length[segment]
+        return flat[_gather(known.start[segment], size)], size
+
+    def encode_all(self, keys: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(32-bit ids of all texts, their offsets by text); the key and a word's number pick the turns that it skips."""
+        raw = [b" " + t.encode() if t else b"" for t in texts]
+        edge = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+        data = pa.py_buffer(b"".join(raw))
+        del raw
+        b = np.frombuffer(data, np.uint8)
+        # stretches that no piece crosses: spaces with the characters after them, and line feeds
+        begins = np.zeros(len(b) + 1, bool)
+        begins[edge] = True
+        feed, space = b == 10, b == 32
+        begins[:-1] |= feed
+        begins[1:] |= feed
+        begins[1:-1] |= space[1:] & ~space[:-1]
+        at = np.flatnonzero(begins)
+        first = np.searchsorted(at, edge)
+        number = len(at) - 1
+        out, upto = [], np.zeros(number + 1, np.int64)
+        for lo in range(0, number, UNITS):
+            hi = min(number, lo + UNITS)
+            units = pa.LargeStringArray.from_buffers(hi - lo, pa.py_buffer(at[lo:hi + 1].astype(np.int64)), data)
+            text = np.searchsorted(first, np.arange(lo, hi), "right") - 1
+            base = np.array([(k ^ self.seed * 0x9E3779B97F4A7C15) % (1 << 64) for k in keys[text[0]:text[-1] + 1]], U)
+            stream = mix64((np.arange(lo, hi) - first[text]).astype(U) * U(0xD1342543DE82EF95) + base[text - text[0]])
+            ids, size = self._slice(units, stream)
+            out.append(ids)
+            upto[lo + 1:hi + 1] = size
+        return np.concatenate([*out, np.zeros(0, "<i4")]), np.cumsum(upto)[first]
+
+    def encode(self, keys: list[int], texts: list[str]) -> list[bytes]:
+        """32-bit ids of every text."""
+        ids, at = self.encode_all(keys, texts)
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
 _ENCODERS: dict[tuple[str, int, float], Encoder] = {}
 
 
 def _encoder(path: str, seed: int, dropout: float) -> Encoder:
-    """One encoder for all tasks of a worker process."""
+    """One encoder, which is a model's pieces, for all tasks of a worker process."""
     key = (path, seed, dropout)
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(path, seed, dropout)
@@ -268,14 +385,12 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(model, seed, dropout)
         for batch in batches:
-            # small slices: the words of one are held several times over
             for part in slices(batch, 0, 1 << 20):
                 texts = [t or "" for t in part.column(0).to_pylist()]
                 keys = [((i or 0) * 0x9E3779B97F4A7C15 + zlib.crc32(t.encode())) % (1 << 64) for i, t in zip(part.column(1).to_pylist(), texts)]
-                raw = enc.encode(keys, texts)
-                at = np.concatenate(([0], np.cumsum([len(r) // 4 for r in raw]))).astype(np.int32)
-                flat = pa.Array.from_buffers(pa.int32(), int(at[-1]), [None, pa.py_buffer(b"".join(raw))])
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.ListArray.from_arrays(pa.array(at), flat)], names=names)
+                ids, at = enc.encode_all(keys, texts)
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=names)
+            enc.last = None
 
     own = ", ".join(f"{c} {t}" for c, t in d.dtypes[2:])
     return d.mapInArrow(run, (own + ", " if own else "") + "ids array<int>").withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
