@@ -200,7 +200,10 @@ def station_uptime(df: DataFrame, station: str, ts: str) -> DataFrame:
 
 
 def assert_min_rows(df: DataFrame, n: int, source: str = "source") -> DataFrame:
-    """The same rows; the job fails when there are fewer than ``n``."""
+    """The same rows; the job fails when there are fewer than ``n``.
+
+    For a lazy result, which is counted in a pass of its own; a job that writes its rows counts them on the way (``writers.write_gated``).
+    """
     rows = df.agg(F.count("*").alias("c")).scalar()
     ok = F.assert_true(rows >= n, F.lit(f"CRITICAL: '{source}' has fewer than {n} valid rows"))
     spark = df.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from airlake import fixtures as fx
 from airlake.functions.timing import hour_floor
@@ -130,7 +130,12 @@ def station_uptime(spark, sf):
 
 @query("critical_gate", "ch", "select city, t from ch where pm25 is not null")
 def critical_gate(spark, sf):
-    return qc.assert_min_rows(fx.ch(spark, sf).filter("pm25 is not null").select("city", "t"), 1, "stations")
+    from airlake.session import new_dir
+    from airlake.sources.writers import write_gated
+
+    d, path = fx.ch(spark, sf).filter("pm25 is not null").select("city", "t"), new_dir(spark, "gate")
+    write_gated(d, path, 1, "stations")
+    return spark.read.schema(d.schema).parquet(path)
 
 
 @query("missing_fraction_gate", "asset", "select seq, run_id, missing_fraction from asset where missing_fraction <= 0.05")
@@ -150,17 +155,42 @@ def coverage_gate(spark, sf):
     select 'dropped' as part, reason as name, count(*) as n from b where reason is not null group by reason union all select 'stored', 'rows', count(*) from b where reason is null
     union all select 'ledger', 'kept', count(*) from b where reason is null union all select 'ledger', 'runs', 1 union all select 'again', 'skipped', 1""")
 def ingest_fires(spark, sf):
+    f = normalize_fires(fx.rawfire(spark, sf)).withColumn("seq", F.col("ok") * 10 + F.col("ln"))
+    f = qc.mark_duplicates(f, ["fire_id"], "seq")
+    return _run_twice(spark, f, "fires", "2024-01-01T0000Z-firms-poll", [
+        ("duplicate_fire_id", F.col("is_duplicate")), ("frp_out_of_range", ~F.col("frp_mw").between(0, 40)), ("low_confidence", F.col("confidence_percent") < 20)])
+
+
+def _run_twice(spark, records, source: str, run_id: str, rules) -> DataFrame:
+    """What a run dropped, stored and entered, and that its repetition is skipped."""
     from airlake.session import new_dir
     from airlake.sources.ingest import ingest_run, read_ledger
 
     base, ledger = new_dir(spark, "ingest"), new_dir(spark, "ledger")
-    f = normalize_fires(fx.rawfire(spark, sf)).withColumn("seq", F.col("ok") * 10 + F.col("ln"))
-    f = qc.mark_duplicates(f, ["fire_id"], "seq")
-    rules = [("duplicate_fire_id", F.col("is_duplicate")), ("frp_out_of_range", ~F.col("frp_mw").between(0, 40)), ("low_confidence", F.col("confidence_percent") < 20)]
-    first, again = (ingest_run(f, rules, base, ledger, "fires", "2024-01-01", "r1") for _ in range(2))
+    first, again = (ingest_run(records, rules, base, ledger, source, "2024-01-01", run_id) for _ in range(2))
     one = lambda part, name, df: df.select(F.lit(part).alias("part"), F.lit(name).alias("name"), "n")
     told = spark.createDataFrame([("dropped", k, n) for k, n in sorted(first.reasons.items())] + [("again", "skipped", int(again.skipped))], "part string, name string, n long")
-    stored = spark.read.schema("fire_id string").parquet(base).agg(F.count("*").alias("n"))
+    stored = spark.read.schema("source string, dt date, run_id string").parquet(base).filter((F.col("source") == source) & (F.col("run_id") == run_id)).agg(F.count("*").alias("n"))
     entered = read_ledger(spark, ledger)
     return told.unionByName(one("stored", "rows", stored)).unionByName(one("ledger", "kept", entered.agg(F.sum("kept").alias("n")))).unionByName(
         one("ledger", "runs", entered.agg(F.count("*").alias("n"))))
+
+
+_RUN_SQL = """select 'dropped' as part, reason as name, count(*) as n from b where reason is not null group by reason union all select 'stored', 'rows', count(*) from b where reason is null
+    union all select 'ledger', 'kept', count(*) from b where reason is null union all select 'ledger', 'runs', 1 union all select 'again', 'skipped', 1"""
+
+
+@query("ingest_stations", "obs", f"""with b as (select case when value < 1 then 'below_lower_bound' when value > 250 then 'above_physical_ceiling'
+    when seq % 50 = 0 then 'marked_missing' end as reason from obs) {_RUN_SQL}""")
+def ingest_stations(spark, sf):
+    o = fx.obs(spark, sf).withColumn("quality_flag", F.when(F.col("seq") % 50 == 0, "MISSING").otherwise("OK"))
+    return _run_twice(spark, o, "cpcb", "2024-01-01T0000Z-cpcb-poll", [
+        ("below_lower_bound", F.col("value") < 1), ("above_physical_ceiling", F.col("value") > 250), ("marked_missing", F.col("quality_flag") == "MISSING")])
+
+
+@query("ingest_assets", "asset", f"""with b as (select case when rn>1 then 'duplicate_asset' when missing_fraction > 0.05 then 'excessive_missing_data' end as reason
+    from (select *, row_number() over (partition by run_id, lead_h, variable, level_str order by seq) rn from asset) x) {_RUN_SQL}""")
+def ingest_assets(spark, sf):
+    a = qc.mark_duplicates(fx.asset(spark, sf).withColumnRenamed("run_id", "cycle"), ["cycle", "lead_h", "variable", "level_str"], "seq")
+    return _run_twice(spark, a, "gfs", "gfs.2024-01-01.00z", [
+        ("duplicate_asset", F.col("is_duplicate")), ("excessive_missing_data", F.col("missing_fraction") > qc.MAX_MISSING)])

@@ -173,9 +173,20 @@ def table_profile(spark, sf):
     return inventory.profile(fx.chx(spark, sf), "city_hour").select(F.col("table").alias("tbl"), "n_rows", "date_min", "date_max", "lat_min", "lat_max", "lon_min", "lon_max", "missing_percentage")
 
 
-@query("file_inventory")
+@query("file_inventory", "obs", """with c as (select cast(observed_at_utc as date) as d, station_id, metric, count(*) as n, cast(min(seq) as varchar) as a, cast(max(seq) as varchar) as b from obs group by 1, 2, 3),
+    f as (select strftime(d, '%Y-%m-%d') as file, string_agg(concat(station_id, '|', metric, '|', n, '|', a, '|', b), chr(10) order by concat(station_id, '|', metric, '|', n, '|', a, '|', b)) || chr(10) as text from c group by d)
+    select file, cast(strlen(text) as bigint) as length, sha256(text) as sha256 from f""")
 def file_inventory(spark, sf):
-    return inventory.inventory(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256")
+    """Inventory of the daily station digests, one text file a day, which the query writes from the observations."""
+    root = new_dir(spark, "digests")
+    o = fx.obs(spark, sf)
+    per = o.groupBy(F.to_date("observed_at_utc").alias("day"), "station_id", "metric").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b"))
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in ("station_id", "metric", "n", "a", "b")])
+    # a day has as many lines as stations and metrics, so its file is one task's work
+    rows = per.select("day", line.alias("line")).repartition("day").sortWithinPartitions("day", "line")
+    rows.write.partitionBy("day").text(root)
+    files = inventory.inventory(spark, root).filter("path like '%/day=%'")
+    return files.select(F.regexp_extract("path", "/day=([0-9-]+)/", 1).alias("file"), "length", "sha256")
 
 
 @query("tier_sizes", "obs ch fc", """with c as (select 'raw' as tier, 1::bigint as tables, count(*) as n_rows from obs union all select 'processed', 1, count(*) from ch

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 TIERS = ("raw", "interim", "processed", "features")
 
@@ -35,3 +35,16 @@ def write_tier(df: DataFrame, root: str, tier: str, name: str) -> None:
     meta = spark.read.schema(df.schema).parquet(path).agg(F.count("*").alias("rows")).select(
         F.lit(name).alias("table"), F.lit(tier).alias("tier"), "rows", F.lit(",".join(df.columns)).alias("columns"), F.current_timestamp().alias("written_at"))
     meta.coalesce(1).write.mode("overwrite").json(f"{root}/{tier}/_meta/{name}")
+
+
+def write_gated(df: DataFrame, path: str, minimum: int, source: str = "source") -> int:
+    """Write a table whose rows are counted on their way; the job stops when there are fewer than ``minimum``.
+
+    One pass over ``df``.  A table that failed stays without its entry in a ledger, and a repeated write replaces it.
+    """
+    seen = Observation()
+    df.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows = seen.get["rows"]
+    if rows < minimum:
+        raise ValueError(f"CRITICAL: '{source}' has {rows} valid rows, fewer than {minimum}")
+    return rows

@@ -239,3 +239,18 @@ def test_a_hot_hour_is_shared_by_many_tasks(spark, monkeypatch):
     assert all(again[0][k] == pytest.approx(v, rel=1e-12) for k, v in once[0].items())
     nothing = df.filter("false")
     assert fires.fire_density(nothing, grid).count() == fires.fire_influence(nothing, wind).count() == 0
+
+
+def test_gated_write_reads_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    df, path = spark.range(500).mapInPandas(count, "id long"), new_dir(spark, "gated")
+    assert writers.write_gated(df, path, 500) == 500 and seen.value == 500
+    with pytest.raises(ValueError, match="CRITICAL: 'stations' has 500"):
+        writers.write_gated(df, path, 501, "stations")
+    assert writers.write_gated(df.filter("id < 3"), path, 3) == 3 and spark.read.parquet(path).count() == 3
