@@ -2,18 +2,19 @@
 
 Every document draws the exponential key ``-ln(u) / weight``, where ``u`` is a keyed hash of the
 document and ``weight`` its quality; within a source, small keys come first, so a document's chance to
-lead is proportional to its weight.  A source's word budget is spent on complete epochs first and then on
-the documents with the smallest keys while their sizes, summed in key order, fit in what is left.  Where the
-next document is too long for the rest, later ones that fit are taken in key order, in ``FILLS`` turns; at last
-one more is taken if that brings the sum nearer to the budget.
+lead is proportional to its weight.  A source's word budget is spent on complete epochs first, then on
+the documents with the smallest keys as long as their sizes, summed in key order, fit in what is left, and at last on the one of the others whose
+size comes nearest to the remaining gap, if taking it leaves less than not taking it.
 
 The prefix sum is hierarchical: keys are cut into ``buckets`` value ranges per source, the ranges' sums
-locate the range that the budget ends in, and only the documents of that range are ordered.  No source,
-however large, is sorted or gathered in one task.
+locate the range that the budget ends in, and only the documents of that range are ordered.  The ranges follow the distribution that keys have under the
+weights that occur (counted by powers of two), so they are about even whatever the weights are; which documents are taken depends on the keys alone,
+not on the ranges.  No source, however large, is sorted or gathered in one task; the sources themselves are put in order in one, as one row each.
 
 Defined cases: a null text has size 0 and is never taken; null sources form one source, the last; null or
-non-positive weights count as 1; an empty table gives an empty result; repeated rows are separate
-documents whose order among themselves doesn't change the rows of the result; when all sizes are 0,
+non-positive weights count as 1; an empty table gives an empty result; a null id is an id like others; repeated rows are separate
+documents with one key, whose order among themselves doesn't change the rows of the result (many equal rows meet in one range); equal keys
+of different documents follow the id and the size; a text of any length is one document, read for its number of words only; when all sizes are 0,
 targets are 0.  Only the named columns are read, so others can't clash.
 """
 
@@ -26,9 +27,6 @@ from airlake.llm.common import SPACE, publish, table
 from airlake.llm.registry import query
 
 WEIGHTS = (3.0, 1.0, 2.0)
-#: Weights outside these bounds count as the nearer bound, so that keys spread over the value ranges.
-LIGHTEST, HEAVIEST = 1 / 64, 64.0
-FILLS = 3
 
 
 def words(text: Column) -> Column:
@@ -72,19 +70,22 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, w
     """
     # the texts are read once; all that follows works on these few numbers per document
     thin = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), mark(id_col, text_col, seed).alias("mark"))
-    thin = publish(thin, "mix")
+    thin = publish(thin.withColumn("row", F.monotonically_increasing_id()), "mix")
     w = F.lit(1.0)
     if weights is not None:
         thin = thin.join(weights, F.col("doc_id") == F.col("w_id"), "left").drop("w_id")
-        w = F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0).cast("double")
+        w = F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight")).otherwise(1.0).cast("double")
     # 53 bits of the hash, in (0, 1]
     u = (F.shiftrightunsigned("mark", 11).cast("double") + 1.0) / float(1 << 53)
-    key = -F.log(u) / F.least(F.greatest(w, F.lit(LIGHTEST)), F.lit(HEAVIEST))
-    thin = thin.select("doc_id", "source", "size", "mark", key.alias("key"))
-    buckets = max(1, -(-thin.count() // rows_per_bucket))
-    # monotone in the key, and even over documents of weight 1
-    bucket = F.least(F.floor((1.0 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).cast("int")
-    thin = thin.withColumn("bucket", bucket)
+    power = F.floor(F.log2(w)).cast("int")
+    # a row per power of two among the weights, two thousand at most
+    counted = {r.power: r.n for r in thin.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
+    total = max(1, sum(counted.values()))
+    thin = thin.select("row", "doc_id", "source", "size", "mark", (-F.log(u) / w).alias("key"))
+    buckets = max(1, -(-total // rows_per_bucket))
+    # how many keys are expected below: rises with the key
+    below = sum((F.lit(n / total) * (1.0 - F.exp(-F.col("key") * float(2.0**p))) for p, n in sorted(counted.items())), F.lit(0.0))
+    thin = thin.withColumn("bucket", F.least(F.floor(below * buckets), F.lit(buckets - 1)).cast("int"))
     same = F.col("source").eqNullSafe(F.col("s_source"))
 
     per_bucket = thin.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -99,24 +100,21 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, seed: int = 7, w
         (F.sum("bucket_size").over(Window.partitionBy("s_source").orderBy("bucket")) - F.col("bucket_size")).alias("before"))
     ranged = ranged.withColumnRenamed("bucket", "s_bucket")
     placed = thin.join(ranged, same & (F.col("bucket") == F.col("s_bucket"))).drop("s_source", "s_bucket")
-    inside = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest")))
-    outside = placed.where(~((F.col("before") < F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest"))))
-    group = Window.partitionBy("source", "bucket")
-    order = group.orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = inside.withColumns({"left": F.col("rest") - F.col("before"), "more": F.lit(0).cast("long")})
-    for turn in range(1 + FILLS):
-        fits = (F.col("more") == 0) & (F.col("size") > 0) & (F.lit(turn == 0) | (F.col("size") <= F.col("left")))
-        summed = inside.withColumn("upto", F.sum(F.when(fits, F.col("size"))).over(order))
-        inside = summed.withColumn("now", (fits & (F.col("upto") <= F.col("left"))).cast("long")).withColumns({
-            "more": F.col("more") + F.col("now"),
-            "left": F.col("left") - F.coalesce(F.sum(F.when(F.col("now") == 1, F.col("size"))).over(group), F.lit(0))}).drop("upto", "now")
-    nearer = (F.col("more") == 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left"))
-    last = inside.withColumn("nth", F.sum(F.when(nearer, 1)).over(order))
-    inside = last.withColumn("more", F.when(nearer & (F.col("nth") == 1), 1).otherwise(F.col("more")).cast("long")).drop("left", "nth")
-    outside = outside.withColumn("more", ((F.col("rest") > 0) & (F.col("before") + F.col("bucket_size") <= F.col("rest"))).cast("long"))
-    epochs = F.least(F.col("whole") + F.col("more"), F.lit(int(-(-most // 1)))).cast("long")
-    return inside.unionByName(outside).select("doc_id", "mark", "size", "source", "source_size", "target", epochs.alias("epochs"),
-                                              (epochs * F.col("size")).alias("taken"))
+    ends = (F.col("before") < F.col("rest")) & (F.col("before") + F.col("bucket_size") > F.col("rest"))
+    order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = placed.where(ends).withColumn("first", F.col("before") + F.sum("size").over(order) <= F.col("rest"))
+    outside = placed.where(~ends).withColumn("first", F.col("before") + F.col("bucket_size") <= F.col("rest"))
+    columns = ["row", "doc_id", "mark", "size", "key", "source", "source_size", "target", "whole", "rest", "first"]
+    placed = publish(inside.select(*columns).unionByName(outside.select(*columns)), "mix-placed")
+
+    left = placed.groupBy(F.col("source").alias("l_source")).agg((F.first("rest") - F.coalesce(F.sum(F.when(F.col("first"), F.col("size"))), F.lit(0))).alias("left"))
+    gap = F.abs(F.col("size") - F.col("left"))
+    others = placed.where(~F.col("first") & (F.col("size") > 0)).join(left, F.col("source").eqNullSafe(F.col("l_source"))).where(gap < F.col("left"))
+    last = others.groupBy("source").agg(F.min_by("row", F.struct(gap, "key", F.col("doc_id").isNull(), "doc_id", "row")).alias("last")).select("last")
+    more = F.coalesce((F.col("first") & (F.col("size") > 0)) | F.col("last").isNotNull(), F.lit(False)).cast("long")
+    epochs = F.least(F.col("whole") + more, F.lit(int(-(-most // 1)))).cast("long")
+    taken = placed.join(last, F.col("row") == F.col("last"), "left")
+    return taken.select("doc_id", "mark", "size", "source", "source_size", "target", epochs.alias("epochs"), (epochs * F.col("size")).alias("taken"))
 
 
 def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

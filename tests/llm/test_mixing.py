@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 from collections import defaultdict
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airlake.llm import QUERIES
-from airlake.llm.mixing import WEIGHTS, mix, targets
+from airlake.llm.mixing import WEIGHTS, mark, mix, targets
 from tests.conftest import SMALL
 
 
@@ -62,7 +63,57 @@ def test_many_ranges_agree_with_one(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     one = {(r.doc_id, r.taken) for r in mix(docs).collect()}
     many = {(r.doc_id, r.taken) for r in mix(docs, rows_per_bucket=100).collect()}
-    assert len(one ^ many) < 60 and len(one) == len(many)
+    assert one == many
+
+
+def expected(rows: list[tuple], weight: dict, share: float = 1.5, most: float = 2.0) -> dict:
+    """doc_id -> words taken, in so many words; rows are (doc_id, size, source, mark)."""
+    sizes = defaultdict(int)
+    for _, n, source, _ in rows:
+        sizes[source] += n
+    goal, out = levels(dict(sizes), share, most), {}
+    for source in sizes:
+        whole = int(goal[source] // sizes[source]) if sizes[source] else 0
+        rest = goal[source] - whole * sizes[source]
+        key = lambda r: -math.log((((r[3] % (1 << 64)) >> 11) + 1) / (1 << 53)) / weight.get(r[0], 1.0)
+        line, more, spent = sorted((r for r in rows if r[2] == source), key=lambda r: (key(r), r[0])), set(), 0
+        for r in line:
+            if spent + r[1] > rest:
+                break
+            spent += r[1]
+            more.add(r[0])
+        left = rest - spent
+        late = [(abs(r[1] - left), key(r), r[0]) for r in line if r[0] not in more and r[1] and abs(r[1] - left) < left]
+        if late:
+            more.add(min(late)[2])
+        out |= {r[0]: min(whole + (r[0] in more), int(-(-most // 1))) * r[1] for r in line}
+    return out
+
+
+@pytest.mark.parametrize("share", [0.3, 1.5])
+def test_order_prefix_and_last_document_against_brute_force(spark, share):
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 300]), rng.choice(["a", "a", "a", "b", "c"])) for i in range(900)]
+    # weights over sixteen powers of ten: none is cut off
+    weight = {i: 10.0 ** rng.randint(-8, 8) for i in range(0, 900, 2)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    weights = spark.createDataFrame(list(weight.items()), "w_id long, weight double")
+    marks = [tuple(r) for r in docs.select("doc_id", F.size(F.split(F.trim("text"), " ")).alias("n"), "source", mark().alias("m")).collect()]
+    size = {i: t.count("w") for i, t, _ in rows}
+    want = expected([(i, size[i], s, m) for i, _, s, m in marks], weight, share)
+    for rows_per_bucket in (50_000, 40, 7):
+        got = {r.doc_id: r.taken for r in mix(docs, share=share, weights=weights, rows_per_bucket=rows_per_bucket).collect()}
+        assert got == want, rows_per_bucket
+
+
+def test_ranges_are_even_under_any_weights(spark):
+    docs = spark.createDataFrame([(i, "w " * 9, "a") for i in range(4000)], "doc_id long, text string, source string")
+    weights = docs.select(F.col("doc_id").alias("w_id"), F.pow(F.lit(10.0), F.col("doc_id") % 12 - 6).alias("weight"))
+    a = {r.doc_id: r.taken for r in mix(docs, share=0.5, weights=weights, rows_per_bucket=10).collect()}
+    b = {r.doc_id: r.taken for r in mix(docs, share=0.5, weights=weights).collect()}
+    assert a == b and sum(a.values()) == 18_000
+    heavy = [i for i, n in a.items() if n and i % 12 >= 6]
+    assert len(heavy) > 0.9 * sum(n > 0 for n in a.values())
 
 
 def test_heavier_documents_lead(spark):
