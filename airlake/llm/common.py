@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +26,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def publish(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    return published(df, label)[0]
+
+
+def published(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``publish``, with the path, for a step that is to be discarded before the run ends."""
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a published step that no frame reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now.
+
+    It does so when the driver's JVM collects what refers to them, and asks for that by itself only every half hour.  Frames that Python
+    has dropped are known to the JVM a second later.
+    """
+    gc.collect()
+    time.sleep(1.2)
+    spark.sparkContext._jvm.System.gc()
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; after the last one the worker gives back the memory that Arrow keeps for later."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -45,6 +75,12 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         yield batch.slice(start)
 
 
+def gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of runs that begin at ``start``, one run after the other."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets (rows + 1) and bytes of a string column; null counts as empty."""
     column = pa.compute.fill_null(column, "").cast(pa.large_string())

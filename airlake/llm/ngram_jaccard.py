@@ -21,28 +21,35 @@ n near copies costs about n pairs, and no link between components is lost.
 
 Defined cases: a null or wordless text has an empty set and links with nothing; fewer words than n make one n-gram;
 a null id is a document like others but never names a component unless all its ids are null; repeated ids and
-rows are separate documents; an empty table gives an empty result.  Only the id and the text are read.
+rows are separate documents; a text of any length is one set, made in one piece; an empty table gives an empty result.  Only the id and the text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlake.llm.common import publish, slices, table, utf8
+from airlake.llm.common import discard, publish, published, slices, table, tidy, utf8
 from airlake.llm.registry import query
 from airlake.llm.shingles import U, mix64, shingle_sets
 
 #: Bits of a set's sketch: the parity of the n-grams that fall on each.
 SKETCH = 1024
+#: Bytes of text that a task works on at a time: its arrays take some fifty times as much.
+SLICE = 1 << 20
 #: Sides of joins up to this many rows of at most four numbers are sent to all tasks (64 MB).
 SENT_ROWS = 500_000
 
 
+#: Parts of the fragments that are counted one after the other.
+TURNS = 2
+
+
 class Sizes:
     """Classes of set sizes and their numbers of fragments for a similarity of ``percent`` / 100."""
 
@@ -106,7 +113,7 @@ def document_nodes(docs: DataFrame, n: int, id_col: str, text_col: str, keep: tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, float] = {}
         for batch in batches:
-            for some in slices(batch, 0):
+            for some in slices(batch, 0, SLICE):
                 size, sets = shingle_sets(*utf8(some.column(0)), n)
                 node = node_ids(size, sets)
                 out = pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(node), pa.array(size)], names=names)
@@ -129,7 +136,7 @@ def _signature_rows(docs: DataFrame, n: int, percent: int, text_col: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for some in slices(batch, 0):
+            for some in slices(batch, 0, SLICE):
                 size, sets = shingle_sets(*utf8(some.column(0)), n)
                 node = node_ids(size, sets)
                 row, sig = signatures(size, sets, percent)
@@ -148,8 +155,11 @@ def _signature_rows(docs: DataFrame, n: int, percent: int, text_col: str) -> Dat
     return docs.select(F.col(text_col).cast("string")).mapInArrow(run, "sig long, node long, n int")
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, n, fragment, grams, sketch) of the wanted nodes, from one document of each; the sketch is in the node's first row only."""
+def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    """(node, n, fragment, grams, sketch) of the wanted nodes, from one document of each; the sketch is in the node's first row only.
+
+    And the path that they are read from.
+    """
     reps = owners.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("rep"))
     reps = publish(reps.select("rep").distinct(), "jaccard-reps")
     if reps.count() <= SENT_ROWS:
@@ -159,7 +169,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 size, sets = shingle_sets(*utf8(part.column(0)), n)
                 node = node_ids(size, sets)
                 of = np.repeat(np.arange(len(size)), size)
@@ -179,7 +189,24 @@ def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_
                                                  names=["node", "n", "fragment", "grams", "sketch"])
 
     rows = some.mapInArrow(run, "node long, n long, fragment int, grams array<long>, sketch array<long>")
-    return rows.join(wanted, "node", "left_semi").dropDuplicates(["node", "fragment"])
+    rows, path = published(rows, "jaccard-segments")
+    # an id that several rows have brings a node's segments several times, or other nodes: where there are such, and only then, segments are shuffled
+    seen = rows.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct("fragment").alias("fragments"))
+    again = publish(seen.where("n > fragments").select("node"), "jaccard-again")
+    other = publish(seen.select("node").join(wanted, "node", "left_anti"), "jaccard-other")
+    if not other.isEmpty():
+        rows = rows.join(other, "node", "left_anti")
+    if not again.isEmpty():
+        rows = rows.join(again, "node", "left_anti").unionByName(rows.join(again, "node", "left_semi").dropDuplicates(["node", "fragment"]))
+    return rows, path
+
+
+def _step(df: DataFrame, label: str) -> DataFrame:
+    """A published step whose shuffle files go at once, so that those of several steps don't add up."""
+    spark, out = df.sparkSession, publish(df, label)
+    del df
+    tidy(spark)
+    return out
 
 
 def linked(pairs: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
@@ -197,9 +224,13 @@ def _shared(met: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
     A node has at most n - rare n-grams in common with any other, and a link with the smallest set of its signature's group needs
     percent / (100 + percent) of both sizes.
     """
-    grams = seg.select("node", F.explode("grams").alias("gram"))
-    alone = grams.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-    rare = alone.groupBy("node").agg(F.count("*").alias("rare"))
+    counted = []
+    for turn in range(TURNS):
+        # fragments are counted apart from each other, so that the n-grams of some of them only are on disk at a time
+        grams = seg.where(F.col("fragment") % TURNS == turn).select("node", F.explode("grams").alias("gram"))
+        alone = grams.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
+        counted.append(_step(alone.groupBy("node").agg(F.count("*").alias("rare")), "jaccard-rare"))
+    rare = reduce(DataFrame.unionByName, counted).groupBy("node").agg(F.sum("rare").alias("rare"))
     rows = met.select("sig", "node", "n").join(rare, "node", "left").select("sig", "node", "n", F.coalesce("rare", F.lit(0)).alias("rare"))
     least = met.groupBy("sig").agg(F.min("n").alias("least"))
     able = rows.join(least, "sig").where((F.col("n") - F.col("rare")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent).drop("least")
@@ -232,14 +263,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def node_links(docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(node, comp) of the nodes that link with another node; ``owners`` is (doc_id, node, ..) of all documents."""
+    # what earlier jobs left is out of the way before the largest step
+    tidy(docs.sparkSession)
     every = Window.partitionBy("sig")
     rows = _signature_rows(docs, n, percent, text_col)
     met = rows.select("sig", "node", "n", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high")).where("low < high")
-    met = publish(met.select("sig", "node", "n").distinct(), "jaccard-met")
-    seg = publish(_segments(docs, met.select("node").distinct(), owners, n, id_col, text_col), "jaccard-segments")
+    met = _step(met.select("sig", "node", "n").distinct(), "jaccard-met")
+    seg, path = _segments(docs, met.select("node").distinct(), owners, n, id_col, text_col)
     for _ in range(2):  # what the first turn takes away leaves other nodes with more n-grams of their own
         met = _shared(met, seg, percent)
-        seg = publish(seg.join(met.select("node").distinct(), "node", "left_semi"), "jaccard-segments")
+        before, (seg, path) = path, published(seg.join(met.select("node").distinct(), "node", "left_semi"), "jaccard-segments")
+        discard(docs.sparkSession, before)
 
     # what the two sets can have in common at most, against what a link needs
     enough = F.least(F.col("n_a") - F.col("rare_a"), F.col("n_b") - F.col("rare_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
