@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlake.llm.common import slices, table, utf8
+from airlake.llm.common import gather, released, slices, table, utf8
 from airlake.llm.registry import query
 from airlake.llm.shingles import U, mix64
 
@@ -229,12 +229,6 @@ def rounds(p: Pieces, code: np.ndarray, size: np.ndarray, mask: np.ndarray) -> t
     return flat, np.concatenate(([0], np.cumsum(np.bincount(unit, minlength=words)))), turns
 
 
-def _gather(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Places of runs that begin at ``start``, one run after the other."""
-    before = np.cumsum(size) - size
-    return np.repeat(start - before, size) + np.arange(int(size.sum()))
-
-
 class Segments:
     """Segmentations of the words of a slice: ids in one run each, with the word, the skipped turns and the number of turns."""
 
@@ -261,7 +255,7 @@ class Segments:
         """Segment words under masks, many at a time."""
         for lo in range(0, len(word), PAIRS):
             w, m = word[lo:lo + PAIRS], mask[lo:lo + PAIRS]
-            ids, upto, turns = rounds(self.encoder.pieces, self.code[_gather(self.begin[w], self.size[w])], self.size[w], m)
+            ids, upto, turns = rounds(self.encoder.pieces, self.code[gather(self.begin[w], self.size[w])], self.size[w], m)
             self.keep(ids, upto, w, m, turns)
 
     def known(self) -> dict[tuple[tuple[int, ...], str], tuple[bytes, int]]:
@@ -292,7 +286,7 @@ class Encoder:
         more[odd] = [len(r) for r in raw]
         at = np.concatenate(([0], np.cumsum(more)))
         out = np.repeat(ids, more)
-        out[_gather(at[odd], more[odd])] = self._bytes_of[np.frombuffer(b"".join(raw), np.uint8)]
+        out[gather(at[odd], more[odd])] = self._bytes_of[np.frombuffer(b"".join(raw), np.uint8)]
         return out.astype("<i4"), at[upto]
 
     def _bytes(self, found: list[int]) -> bytes:
@@ -328,7 +322,7 @@ class Encoder:
             segment[i] = len(known.word)
             known.keep(np.array(found, np.int64), np.array([0, len(found)]), of[i:i + 1], np.zeros(1, U), np.full(1, _NEVER))
         flat, size = np.concatenate([*known.ids, np.zeros(0, "<i4")]), known.length[segment]
-        return flat[_gather(known.start[segment], size)], size
+        return flat[gather(known.start[segment], size)], size
 
     def encode_all(self, keys: list[int], texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(32-bit ids of all texts, their offsets by text); the key and a word's number pick the turns that it skips."""
@@ -376,53 +370,73 @@ def _encoder(path: str, seed: int, dropout: float) -> Encoder:
     return _ENCODERS[key]
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _coded(batches: Batches, model: str, dropout: float, seed: int) -> Batches:
+    """Batches of (text, id, others) as (others, ids)."""
+    enc = _encoder(model, seed, dropout)
+    for batch in batches:
+        names = [*batch.schema.names[2:], "ids"]
+        for part in slices(batch, 0, 1 << 20):
+            texts = [t or "" for t in part.column(0).to_pylist()]
+            keys = [((i or 0) * 0x9E3779B97F4A7C15 + zlib.crc32(t.encode())) % (1 << 64) for i, t in zip(part.column(1).to_pylist(), texts)]
+            ids, at = enc.encode_all(keys, texts)
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=names)
+    enc.last = None
+
+
+def _decoded(batches: Batches, model: str, digest: bool, with_ids: bool = False) -> Batches:
+    """Batches of (others, ids) as (others, ids if asked for, text or digests)."""
+    text = _encoder(model, 0, 0.0).pieces.text.__getitem__
+    for batch in batches:
+        names = [*batch.schema.names[:None if with_ids else -1], *(["n_pieces", "ids_crc32", "text_sha256"] if digest else ["text"])]
+        ids = batch.column(batch.num_columns - 1)
+        at, flat = np.asarray(ids.offsets).tolist(), np.asarray(ids.values).astype("<i4", copy=False)
+        parts = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+        # the first byte is the space that encoding puts before a text
+        raw = (b"".join(map(text, p.tolist()))[1:] for p in parts)
+        if digest:
+            made = [pa.array([len(p) for p in parts], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+                    pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())]
+        else:
+            made = [pa.array([r.decode() for r in raw], pa.string())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:None if with_ids else -1], *made], names=names)
+
+
+_DIGEST = "n_pieces long, ids_crc32 long, text_sha256 string"
+
+
+def _mapped(d: DataFrame, run, keep: tuple[str, ...], made: str) -> DataFrame:
+    own = ", ".join(f"_{i} {t}" for i, t in enumerate(dict(d.dtypes)[f"_{i}"] for i in range(len(keep))))
+    return d.mapInArrow(run, (own + ", " if own else "") + made).withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    return docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
+
+
 def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
            keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and ``ids`` (array<int>) of every document."""
-    d = docs.select(F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    names = [*d.columns[2:], "ids"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoder(model, seed, dropout)
-        for batch in batches:
-            for part in slices(batch, 0, 1 << 20):
-                texts = [t or "" for t in part.column(0).to_pylist()]
-                keys = [((i or 0) * 0x9E3779B97F4A7C15 + zlib.crc32(t.encode())) % (1 << 64) for i, t in zip(part.column(1).to_pylist(), texts)]
-                ids, at = enc.encode_all(keys, texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))], names=names)
-            enc.last = None
-
-    own = ", ".join(f"{c} {t}" for c, t in d.dtypes[2:])
-    return d.mapInArrow(run, (own + ", " if own else "") + "ids array<int>").withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
+    return _mapped(_texts(docs, id_col, text_col, keep), lambda b: released(_coded(b, model, dropout, seed)), keep, "ids array<int>")
 
 
 def decode(coded: DataFrame, model: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
     """The columns ``keep`` and ``text``, or with ``digest`` n_pieces, ids_crc32 and text_sha256, of encoded documents."""
-    d = coded.select(F.col(ids_col).alias("_ids"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)])
-    names = [*d.columns[1:], *(["n_pieces", "ids_crc32", "text_sha256"] if digest else ["text"])]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = _encoder(model, 0, 0.0).pieces.text.__getitem__
-        for batch in batches:
-            ids = batch.column(0)
-            at, flat = np.asarray(ids.offsets).tolist(), np.asarray(ids.values).astype("<i4", copy=False)
-            parts = [flat[a:b] for a, b in zip(at[:-1], at[1:])]
-            # the first byte is the space that encoding puts before a text
-            raw = (b"".join(map(text, p.tolist()))[1:] for p in parts)
-            if digest:
-                made = [pa.array([len(p) for p in parts], pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
-                        pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string())]
-            else:
-                made = [pa.array([r.decode() for r in raw], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *made], names=names)
-
-    own = ", ".join(f"{c} {t}" for c, t in d.dtypes[1:])
-    made = "n_pieces long, ids_crc32 long, text_sha256 string" if digest else "text string"
-    return d.mapInArrow(run, (own + ", " if own else "") + made).withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
+    d = coded.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(ids_col).alias("_ids"))
+    return _mapped(d, lambda b: released(_decoded(b, model, digest)), keep, _DIGEST if digest else "text string")
+
+
+def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text",
+               keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, ``ids`` and what ``decode`` tells of them with ``digest``: both halves in one pass through one worker."""
+    run = lambda b: released(_decoded(_coded(b, model, dropout, seed), model, True, with_ids=True))
+    return _mapped(_texts(docs, id_col, text_col, keep), run, keep, "ids array<int>, " + _DIGEST)
 
 
 @query("op4_sentencepiece")
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents with merge-dropout and decode them: pieces, and the digest of the decoded text."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return decode(encode(table(spark, sf_dir, "documents"), model), model, digest=True)
+    return round_trip(table(spark, sf_dir, "documents"), model).drop("ids")
