@@ -9,7 +9,8 @@ text, so copies change nothing and the sample is the same at every layout of the
 Prediction covers every whole text and reads nothing but the text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is every text if there is nothing to learn
-from; null labels are not learned; repeated rows are predicted like any other; an empty table gives an empty result.
+from; null labels are not learned; repeated rows are predicted like any other; texts of any length are read whole; votes and margins that tie
+follow the name; only the text and the columns to keep are read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlake.llm.common import publish, slices, table, utf8
+from airlake.llm.common import publish, released, slices, table, utf8
 from airlake.llm.registry import query
 
 PER_LANG = 400
 #: Sampled documents of a family that a machine between families sees.
 PER_FAMILY = 800
+#: Bytes of text that a task works on at a time: its arrays take some fifty times as much.
+SLICE = 1 << 20
 DIMS = 1 << 13
 UNKNOWN = "und"
 #: Families of common language codes.  A code that isn't listed is a family of its own.
@@ -147,9 +150,15 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     """Train on rows of texts and non-null languages."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "text"))
-    # distinct hashes are ranked before any text moves
-    order = Window.partitionBy("lang").orderBy("key")
-    chosen = rows.select("lang", "key").distinct().withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
+    # distinct hashes are ranked before any text moves; of a language only those that can be among the first, whose number doesn't grow
+    keys = publish(rows.select("lang", "key").distinct(), "language-keys")
+    number = keys.groupBy("lang").agg(F.count("*").alias("n"))
+    place = F.shiftrightunsigned("key", 1).cast("double") / float(1 << 63)
+    # keys are as good as random: of 4 per_lang + 100 expected ones fewer than per_lang are as good as impossible
+    able = keys.join(number, "lang").where(place * F.col("n") <= 4.0 * per_lang + 100)
+    # in the order of ``place``, which shares its sign-free bits with the key
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("key", 1), "key")
+    chosen = able.select("lang", "key", F.row_number().over(order).alias("nth")).where(F.col("nth") <= per_lang)
     chosen = publish(chosen, "language-sample")
     langs = sorted(r.lang for r in chosen.select("lang").distinct().collect())
     if not langs:
@@ -185,14 +194,14 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 for at in range(0, part.num_rows, 1000):
                     some = part.slice(at, 1000)
                     lang, score = model.predict(some.column(0))
                     yield pa.RecordBatch.from_arrays([*some.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=names)
 
     kinds = ", ".join(f"{c} {t}" for c, t in d.dtypes[1:])
-    return d.mapInArrow(run, f"{kinds}, lang_pred string, score double").withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
+    return d.mapInArrow(lambda b: released(run(b)), f"{kinds}, lang_pred string, score double").withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
