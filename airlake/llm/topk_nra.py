@@ -10,7 +10,7 @@ resolved exactly.  Blocks return k rows per query, and a second ranking joins th
 Queries are dealt into blocks too, so each task holds one block of either side, whatever their numbers.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; queries meet only
-candidates with the same number of components; all rows with the query's own id are left out; repeated rows of a candidate
+candidates with the same number of components (empty vectors meet empty ones, with score 0); all rows with the query's own id are left out; repeated rows of a candidate
 appear as often as they are there; ties go to the smaller id; fewer than k candidates give fewer rows.
 """
 
