@@ -18,8 +18,8 @@ all candidates, is at most ``RATE`` of the candidates that pass.  Only that fixe
 the shorter classes of its encoding, their writing in capitals.  If none has, the uniform null decides: from ``SURE_LENGTH`` characters on, where writing
 does not look random, runs with p of a thirtieth or more are told; shorter ones are not.
 
-Defined cases: a null text counts as empty; added spans never touch a pattern's; repeated rows count like others; an
-empty table gives an empty result.  Redaction puts ``[SECRET]`` in place of every span.
+Defined cases: a null text counts as empty; added spans never touch a pattern's; repeated rows count like others; ids
+are only kept, null or not; texts of any length are scanned whole; only the text and the columns to keep are read; an empty table gives an empty result.  Redaction puts ``[SECRET]`` in place of every span.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airlake.llm.common import slices, table
+from airlake.llm.common import released, slices, table
 from airlake.llm.registry import query
 from airlake.llm.spans import apart, joined, replaced
 
@@ -54,6 +54,8 @@ RATE = 0.05
 FEW = 40
 #: Without decoys: runs of this length on are told up to this class of the p-value.
 SURE_LENGTH, SURE_CLASS = 48, 2
+#: Bytes of text that a task works on at a time: decoys of all alphabets take some forty times as much.
+SLICE = 1 << 20
 #: p-values below ten to the minus half of this are one class.
 WORST = 12
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
@@ -227,7 +229,7 @@ def calibrate(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 rest = []
                 for text in part.column(0).to_pylist():
                     if text:
@@ -240,7 +242,7 @@ def calibrate(docs: DataFrame, text_col: str = "text", rate: float = RATE) -> di
         yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in seen], pa.int32()) for i in range(4)] + [pa.array(list(seen.values()), pa.int64())],
                                          names=["decoy", "kind", "size", "class", "n"])
 
-    found = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "decoy int, kind int, size int, class int, n long")
+    found = docs.select(F.col(text_col).cast("string")).mapInArrow(lambda b: released(run(b)), "decoy int, kind int, size int, class int, n long")
     hist = np.zeros((3, len(ENCODINGS), len(LENGTHS), WORST + 1))
     for r in found.groupBy("decoy", "kind", "size", "class").agg(F.sum("n").alias("n")).collect():
         hist[r.decoy, r.kind, r["size"], r["class"]] = r.n
@@ -268,7 +270,7 @@ def scan(docs: DataFrame, cut: dict[tuple[int, int], int], text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = dict.fromkeys(KINDS, MARK)
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, SLICE):
                 counts, base_out, spans_out, texts = [], [], [], []
                 for text in part.column(0).to_pylist():
                     text = text or ""
@@ -284,7 +286,7 @@ def scan(docs: DataFrame, cut: dict[tuple[int, int], int], text_col: str = "text
                      pa.array(spans_out, pa.string()), pa.array(texts, pa.string())], names=names)
 
     kinds = ", ".join(f"{c} {t}" for c, t in d.dtypes[1:])
-    out = d.mapInArrow(run, f"{kinds}, n_assign long, n_access long, n_hex long, base string, spans string, redacted string")
+    out = d.mapInArrow(lambda b: released(run(b)), f"{kinds}, n_assign long, n_access long, n_hex long, base string, spans string, redacted string")
     return out.withColumnsRenamed({f"_{i}": c for i, c in enumerate(keep)})
 
 
