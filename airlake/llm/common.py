@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +22,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def publish(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    return published(df, label)[0]
+#: Spark's own setting: shuffle files of a job go when it ends, not when the driver's JVM collects what refers to them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def published(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def publish(df: DataFrame, label: str, clean: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    With ``clean`` the shuffle files of the write go at once, so that those of several steps don't add up; ``df`` itself is not to be run again.
+    """
+    return published(df, label, clean)[0]
+
+
+def published(df: DataFrame, label: str, clean: bool = False) -> tuple[DataFrame, str]:
     """As ``publish``, with the path, for a step that is to be discarded before the run ends."""
-    path = new_dir(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark, path = df.sparkSession, new_dir(df.sparkSession, label)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true" if clean else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -42,17 +52,6 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now.
-
-    It does so when the driver's JVM collects what refers to them, and asks for that by itself only every half hour.  Frames that Python
-    has dropped are known to the JVM a second later.
-    """
-    gc.collect()
-    time.sleep(1.2)
-    spark.sparkContext._jvm.System.gc()
-
-
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same batches; after the last one the worker gives back the memory that Arrow keeps for later."""
     yield from batches

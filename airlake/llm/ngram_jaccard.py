@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airlake.llm.common import discard, publish, published, slices, table, tidy, utf8
+from airlake.llm.common import discard, publish, published, slices, table, utf8
 from airlake.llm.registry import query
 from airlake.llm.shingles import U, mix64, shingle_sets
 
@@ -161,7 +161,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_
     And the path that they are read from.
     """
     reps = owners.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    reps = publish(reps.select("rep").distinct(), "jaccard-reps")
+    reps = publish(reps.select("rep").distinct(), "jaccard-reps", clean=True)
     if reps.count() <= SENT_ROWS:
         reps = F.broadcast(reps)
     some = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
@@ -189,11 +189,11 @@ def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_
                                                  names=["node", "n", "fragment", "grams", "sketch"])
 
     rows = some.mapInArrow(run, "node long, n long, fragment int, grams array<long>, sketch array<long>")
-    rows, path = published(rows, "jaccard-segments")
+    rows, path = published(rows, "jaccard-segments", clean=True)
     # an id that several rows have brings a node's segments several times, or other nodes: where there are such, and only then, segments are shuffled
     seen = rows.groupBy("node").agg(F.count("*").alias("n"), F.countDistinct("fragment").alias("fragments"))
-    again = publish(seen.where("n > fragments").select("node"), "jaccard-again")
-    other = publish(seen.select("node").join(wanted, "node", "left_anti"), "jaccard-other")
+    again = publish(seen.where("n > fragments").select("node"), "jaccard-again", clean=True)
+    other = publish(seen.select("node").join(wanted, "node", "left_anti"), "jaccard-other", clean=True)
     if not other.isEmpty():
         rows = rows.join(other, "node", "left_anti")
     if not again.isEmpty():
@@ -201,21 +201,13 @@ def _segments(docs: DataFrame, wanted: DataFrame, owners: DataFrame, n: int, id_
     return rows, path
 
 
-def _step(df: DataFrame, label: str) -> DataFrame:
-    """A published step whose shuffle files go at once, so that those of several steps don't add up."""
-    spark, out = df.sparkSession, publish(df, label)
-    del df
-    tidy(spark)
-    return out
-
-
 def linked(pairs: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets reach the similarity: n-grams in common, counted per fragment and summed."""
     left = seg.select(F.col("node").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("of_a"))
     right = seg.select(F.col("node").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("of_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("common"))
     total = partial.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("common").alias("common"))
-    return publish(total.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b"), "jaccard-links")
+    return publish(total.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b"), "jaccard-links", clean=True)
 
 
 def _shared(met: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
@@ -229,13 +221,13 @@ def _shared(met: DataFrame, seg: DataFrame, percent: int) -> DataFrame:
         # fragments are counted apart from each other, so that the n-grams of some of them only are on disk at a time
         grams = seg.where(F.col("fragment") % TURNS == turn).select("node", F.explode("grams").alias("gram"))
         alone = grams.groupBy("gram").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other")
-        counted.append(_step(alone.groupBy("node").agg(F.count("*").alias("rare")), "jaccard-rare"))
+        counted.append(publish(alone.groupBy("node").agg(F.count("*").alias("rare")), "jaccard-rare", clean=True))
     rare = reduce(DataFrame.unionByName, counted).groupBy("node").agg(F.sum("rare").alias("rare"))
     rows = met.select("sig", "node", "n").join(rare, "node", "left").select("sig", "node", "n", F.coalesce("rare", F.lit(0)).alias("rare"))
     least = met.groupBy("sig").agg(F.min("n").alias("least"))
     able = rows.join(least, "sig").where((F.col("n") - F.col("rare")) * (100 + percent) >= (F.col("n") + F.col("least")) * percent).drop("least")
     groups = able.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
-    return publish(able.join(groups, "sig", "left_semi"), "jaccard-able")
+    return publish(able.join(groups, "sig", "left_semi"), "jaccard-able", clean=True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,7 +236,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates the two star steps: every node hands its larger neighbours, then its smaller ones, to the smallest
     node it knows.  Each step is a minimum with map-side combine and a join; the number of rounds is logarithmic.
     """
-    edges = publish(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars")
+    edges = publish(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "stars", clean=True)
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -253,7 +245,7 @@ def components(edges: DataFrame) -> DataFrame:
         # every u > v from here on; each u goes with its smaller neighbours to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = publish(small.distinct(), "stars")
+        edges = publish(small.distinct(), "stars", clean=True)
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if state == before:
             break
@@ -263,16 +255,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def node_links(docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(node, comp) of the nodes that link with another node; ``owners`` is (doc_id, node, ..) of all documents."""
-    # what earlier jobs left is out of the way before the largest step
-    tidy(docs.sparkSession)
     every = Window.partitionBy("sig")
     rows = _signature_rows(docs, n, percent, text_col)
     met = rows.select("sig", "node", "n", F.min("node").over(every).alias("low"), F.max("node").over(every).alias("high")).where("low < high")
-    met = _step(met.select("sig", "node", "n").distinct(), "jaccard-met")
+    met = publish(met.select("sig", "node", "n").distinct(), "jaccard-met", clean=True)
     seg, path = _segments(docs, met.select("node").distinct(), owners, n, id_col, text_col)
     for _ in range(2):  # what the first turn takes away leaves other nodes with more n-grams of their own
         met = _shared(met, seg, percent)
-        before, (seg, path) = path, published(seg.join(met.select("node").distinct(), "node", "left_semi"), "jaccard-segments")
+        before, (seg, path) = path, published(seg.join(met.select("node").distinct(), "node", "left_semi"), "jaccard-segments", clean=True)
         discard(docs.sparkSession, before)
 
     # what the two sets can have in common at most, against what a link needs
@@ -280,7 +270,7 @@ def node_links(docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col:
     # bits in which the sketches differ: the sets differ in as many n-grams at least
     differ = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     close = differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)
-    sketched = publish(seg.where(F.size("sketch") > 0).select("node", "sketch"), "jaccard-sketches")
+    sketched = publish(seg.where(F.size("sketch") > 0).select("node", "sketch"), "jaccard-sketches", clean=True)
     side = lambda x, *more: [F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "rare", *more)]]
 
     # the pivot of a signature's group is the set with the fewest n-grams of its own: what the others are copies of
@@ -289,7 +279,7 @@ def node_links(docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col:
     stars = stars.select("a", "b", "n_a", "n_b").distinct()
     for x in ("a", "b"):
         stars = stars.join(sketched.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}")), x)
-    stars = publish(stars.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars")
+    stars = publish(stars.where(close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-stars", clean=True)
     edges = linked(stars, seg, percent)
     comp = components(edges)
 
@@ -308,7 +298,7 @@ def node_links(docs: DataFrame, owners: DataFrame, n: int, percent: int, id_col:
     few = apart.join(placed.select("sig", F.col("comp").alias("comp_1"), *side("a", "sketch")), ["sig", "comp_1"])
     pairs = few.join(placed.select("sig", F.col("comp").alias("comp_2"), *side("b", "sketch")), ["sig", "comp_2"]).where(enough & close)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = linked(publish(pairs, "jaccard-rest"), seg, percent)
+    more = linked(publish(pairs, "jaccard-rest", clean=True), seg, percent)
     return components(edges.unionByName(more))
 
 
@@ -317,10 +307,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
 
     Documents with one ``comp`` are reachable by links of at least ``percent`` / 100; ``component_id`` is their smallest id.
     """
-    owners = publish(document_nodes(docs, n, id_col, text_col), "jaccard-nodes")
+    owners = publish(document_nodes(docs, n, id_col, text_col), "jaccard-nodes", clean=True)
     solid = owners.where("n_shingles > 0")
     comp = node_links(docs, solid, n, percent, id_col, text_col)
-    placed = publish(solid.join(comp, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("comp")), "jaccard-placed")
+    placed = publish(solid.join(comp, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("comp", "node").alias("comp")), "jaccard-placed", clean=True)
     least = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "comp").select("doc_id", "n_shingles", "node", "comp", "component_id")
     return out.unionByName(owners.where("n_shingles = 0").select("doc_id", "n_shingles", "node", F.lit(None).cast("long").alias("comp"), F.col("doc_id").alias("component_id")))
