@@ -47,7 +47,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "node")
     chosen = found.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("id"), F.min_by("node", order).alias("chosen"))
     # one document of each group: a node, which no other group has, and an id
-    chosen = publish(chosen.select("id", "chosen"), "pipeline-chosen")
+    chosen = publish(chosen.select("id", "chosen"), "pipeline-chosen", clean=True)
     placed = ngram_jaccard.document_nodes(docs, 5, "doc_id", "text", keep=("text", "lang", "source", "n_chars"), first=True)
     kept = placed.where("n_shingles > 0").join(chosen, F.col("node") == F.col("chosen")).where(F.col("doc_id").eqNullSafe(F.col("id")))
     return kept.dropDuplicates(["node"]).select(*DOC_COLUMNS).unionByName(placed.where("n_shingles = 0").select(*DOC_COLUMNS))
@@ -62,26 +62,34 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of 150 % of all words takes it: not at all, once or twice."""
+    """Every document as often as the mix of 150 % of all words takes it: not at all, once or twice.
+
+    Texts of any length are documents like others; of rows with one id and text those of the first source, language and n_chars are taken first.
+    """
     docs = _columns(docs)
-    taken = mixing.mix(docs, weights=mixing.quality_weights(spark, sf_dir)).where("epochs > 0")
+    mixed = mixing.mix(docs, weights=mixing.quality_weights(spark, sf_dir))
     # equal rows share what the mix takes of them
-    taken = taken.groupBy(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark")).agg(F.sum("epochs").alias("epochs"))
+    mixed = mixed.groupBy(F.col("doc_id").alias("t_id"), F.col("mark").alias("t_mark")).agg(F.sum("epochs").alias("epochs"), F.count("*").alias("many"))
+    taken = publish(mixed.where("epochs > 0"), "pipeline-taken", clean=True)
     same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("mark") == F.col("t_mark"))
-    rows = docs.withColumn("mark", mixing.mark()).join(taken, same)
-    equal = Window.partitionBy("doc_id", "mark")
-    many, nth = F.count("*").over(equal), F.row_number().over(equal.orderBy("source"))
-    times = F.floor(F.col("epochs") / F.col("many")) + (F.col("nth") <= F.col("epochs") % F.col("many")).cast("long")
-    rows = rows.withColumns({"many": many, "nth": nth}).withColumn("times", times.cast("int")).where("times > 0")
+    marked = docs.withColumn("mark", mixing.mark())
+    once = marked.join(taken.where("many = 1"), same).withColumn("times", F.col("epochs"))
+    # only texts of repeated rows are put in order
+    nth = F.row_number().over(Window.partitionBy("doc_id", "mark").orderBy("source", "lang", "n_chars"))
+    several = marked.join(taken.where("many > 1"), same).withColumn("nth", nth)
+    several = several.withColumn("times", F.floor(F.col("epochs") / F.col("many")) + (F.col("nth") <= F.col("epochs") % F.col("many")).cast("long"))
+    columns = [*DOC_COLUMNS, F.col("times").cast("int").alias("times")]
+    rows = once.select(*columns).unionByName(several.select(*columns)).where("times > 0")
     return rows.withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*DOC_COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every document under merge-dropout, and the digest of the text that they decode to."""
+    """SentencePiece ids of every document under merge-dropout, and the digest of the text that they decode to.
+
+    Null texts count as empty; texts of any length are encoded whole, a slice of words at a time.
+    """
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = _columns(docs)
-    coded = sentencepieces.encode(docs, model, keep=("doc_id", "source", "lang"))
-    return sentencepieces.decode(coded, model, keep=("doc_id", "source", "lang", "ids"), digest=True)
+    return sentencepieces.round_trip(_columns(docs), model, keep=("doc_id", "source", "lang"))
 
 
 STAGES = [
@@ -103,5 +111,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = publish(docs, f"pipeline-{name}")
+            docs = publish(docs, f"pipeline-{name}", clean=True)
     return docs
