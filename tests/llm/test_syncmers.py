@@ -60,6 +60,32 @@ def test_edge_texts(spark):
     assert set(near.values()) == {1.0}
 
 
+def test_scripts_without_spaces_and_endless_runs_have_anchors(spark):
+    rng = random.Random(6)
+    han, thai = ("".join(chr(rng.randrange(a, b)) for _ in range(400)) for a, b in ((0x4E00, 0x9FA0), (0xE01, 0xE2F)))
+    run = "".join(rng.choice("abcdefghijklmnop0123456789") for _ in range(20_000))
+    texts = [han, thai, run, "plain words " * 3]
+    rows = [(i, t, t[:len(t) // 2] + "".join(rng.choice(t) for _ in range(len(t) // 2))) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, edited string")
+    both = with_fingerprint(with_fingerprint(df, "text", "f"), "edited", "g")
+    near = {r.doc_id: (len(r.f), r.near) for r in with_likeness(both, "f", "g", "near").collect()}
+    assert all(near[i][0] == SIZE for i in (0, 1, 2)) and all(0.25 < near[i][1] < 0.9 for i in (0, 1, 2))
+
+
+def test_all_anchors_on_request(spark):
+    rng = random.Random(9)
+    words = [rng.choice("abcdefgh") + str(rng.randrange(999)) for _ in range(3000)]
+    df = spark.createDataFrame([(" ".join(words), " ".join(words[:2000] + words[:1] * 1000))], "a string, b string")
+    whole = with_fingerprint(with_fingerprint(df, "a", "f", None), "b", "g", None)
+    r = with_likeness(whole, "f", "g", "near", None).first()
+    some = with_fingerprint(df, "a", "f").first().f
+    assert len(r.f) > 900 and r.f[:SIZE] == some
+    # the share of anchors in common, by the definition and without the error of 64 of them
+    f, g = ({x >> 24 for x in s} for s in (r.f, r.g))
+    share = len(f & g) / len(f | g)
+    assert abs(r.near - 2 * share / (1 + share)) < 1e-9 and 0.7 < r.near < 0.9
+
+
 def test_next_document_wraps_over_odd_ids(spark, tmp_path):
     rows = [(None, "null id"), (5, "five"), (5, "fife"), (-3, "minus"), (10**12, "last"), (7, None), (6, "x" * 100_000)]
     spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, key string").write.parquet(str(tmp_path / "documents.parquet"))
