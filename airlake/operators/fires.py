@@ -55,6 +55,8 @@ CELL_EF_G_PER_MJ = 0.009
 GROUP_ROWS = 50_000
 #: Fire-cell terms that are held at a time, eight numbers each.
 TERMS = 1 << 18
+#: Fires and hours of one cell that are held at a time, so that a block stays in a core's cache.
+FIRES, HOURS = 8192, 8
 
 
 def _shared(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataFrame]:
@@ -66,7 +68,11 @@ def _shared(df: DataFrame, keys: list[str], rows: int) -> tuple[DataFrame, DataF
     else:
         salts = df.groupBy(*keys).agg(F.ceil(F.count("*") / rows).cast("int").alias("_salts"))
         sized = df.join(salts, keys)
-    return sized.withColumn("_salt", F.pmod(F.xxhash64("lat", "lon"), F.col("_salts")).cast("int")).drop("_salts"), salts
+    return sized.withColumn("_salt", _salt()).drop("_salts"), salts
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("lat", "lon"), F.col("_salts")).cast("int")
 
 
 def _lat_factor(fire_lat: np.ndarray, cell_lat: np.ndarray) -> np.ndarray:
@@ -138,9 +144,14 @@ def _spans(fires: DataFrame, acq: str, life_h: float) -> DataFrame:
     return fires.withColumns({"_first": first, "_n": F.ceil(F.lit(float(life_h)) - gap_h).cast("int")}).filter("_n > 0")
 
 
+def _active() -> Column:
+    """One row per active hour."""
+    return F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.col("_first") + F.make_dt_interval(F.lit(0), k)))
+
+
 def _spread_hours(df: DataFrame, cols: list[str], values: list[str], hours: DataFrame | None) -> DataFrame:
     """Sums per first hour to sums per active hour, optionally limited to the hours of a run."""
-    d = df.withColumn("hour", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.col("_first") + F.make_dt_interval(F.lit(0), k))))
+    d = df.withColumn("hour", _active())
     if hours is not None:
         d = d.join(hours.select("hour").distinct(), "hour", "left_semi")
     return d.groupBy("hour", *cols).agg(*[F.sum(v).alias(v) for v in values])
@@ -169,16 +180,22 @@ def fire_influence(fires: DataFrame, wind: DataFrame, acq: str = "acq", life_h:
                    angle: str = "math") -> DataFrame:
     """Rows (hour, i, j, influence, upwind, downwind), each scaled by its largest value over all hours and cells.
 
-    ``wind`` holds (hour, i, j, lat, lon, wd).  Fires of an hour, in groups of a measured size, meet the hour's wind field in one task,
-    where their terms are summed as vectors over cells, a block of fires at a time; a group sends one row per cell, so nothing of
-    the size fires x cells is ever shuffled or sorted.  ``angle`` math keeps the published projection (cos, sin) on (east, north); ``met``
-    uses the direction the wind blows to.
+    ``wind`` holds (hour, i, j, lat, lon, wd).  Fires that burn over the same hours, in groups of a measured size, meet the wind of these
+    hours in one task.  Distance, direction and kernel of a fire and a cell are the same in every hour, so they are taken once and only the
+    projection on the wind is taken per hour, a block of fires at a time.  A group sends one row per hour and cell, so a fire is shuffled
+    once and nothing of the size fires x cells is ever shuffled or sorted.  ``angle`` math keeps the published projection (cos, sin) on
+    (east, north); ``met`` uses the direction the wind blows to.
     """
-    d = _spans(fires.filter((F.col("frp") >= min_frp) & F.col("lat").isNotNull() & F.col("lon").isNotNull()), acq, life_h)
-    d = d.groupBy("_first", "_n", "lat", "lon").agg(F.sum("frp").alias("frp"))
-    d = d.withColumn("hour", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda k: F.col("_first") + F.make_dt_interval(F.lit(0), k))))
-    d, salts = _shared(d.select("hour", "lat", "lon", F.col("frp").cast("double").alias("frp")), ["hour"], GROUP_ROWS)
-    winds = wind.filter("wd is not null and lat is not null and lon is not null").join(salts, "hour").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    runs = ["_first", "_n"]
+    f = _spans(fires.filter((F.col("frp") >= min_frp) & F.col("lat").isNotNull() & F.col("lon").isNotNull()), acq, life_h)
+    salts = f.groupBy(*runs).agg(F.ceil(F.count("*") / GROUP_ROWS).cast("int").alias("_salts"))
+    d = f.groupBy(*runs, "lat", "lon").agg(F.sum(F.col("frp").cast("double")).alias("frp")).join(salts, runs).select(
+        *runs, _salt().alias("_salt"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), "frp")
+    winds = wind.filter("wd is not null and lat is not null and lon is not null").select(
+        "hour", "i", "j", *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "wd")])
+    kinds = dict(winds.dtypes)
+    burning = salts.withColumn("hour", _active()).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+    met = winds.join(burning.select("hour", F.col("_first").alias("_from"), F.col("_n").alias("_hours"), "_salt"), "hour")
     turn = (lambda w: np.radians(w)) if angle == "math" else (lambda w: np.radians(270.0 - w))
     cols = ("influence", "upwind", "downwind")
 
@@ -186,33 +203,49 @@ def fire_influence(fires: DataFrame, wind: DataFrame, acq: str = "acq", life_h:
         if not some.num_rows or not cells.num_rows:
             return cells.slice(0, 0).select(["hour", "i", "j"]).append_column("influence", pa.array([], pa.float64())).append_column(
                 "upwind", pa.array([], pa.float64())).append_column("downwind", pa.array([], pa.float64()))
-        lat, lon, frp = _numbers(some, "lat", "lon", "frp")
-        la, lo, wd = _numbers(cells, "lat", "lon", "wd")
-        east, north = np.cos(turn(wd)), np.sin(turn(wd))
-        sums = np.zeros((3, len(wd)))
-        step = max(1, TERMS // len(wd))
-        for at in range(0, len(lat), step):
-            f_lat, f_lon, power = lat[at:at + step, None], lon[at:at + step, None], frp[at:at + step]
-            ex = (lo[None] - f_lon) * (np.cos(np.radians(f_lat)) * geo.KM_PER_DEGREE)
-            ny = (la[None] - f_lat) * geo.KM_PER_DEGREE
-            # alignment of the fire-to-cell vector with the wind, -1..1
-            a = ex * east + ny * north
-            ex *= ex
-            ny *= ny
-            ex += ny
-            a /= np.sqrt(ex) + 1
-            down = np.maximum(a, 0.0)
-            kernel = np.exp(ex * (-1.0 / (KERNEL_KM * KERNEL_KM)))
-            kernel *= 1.0 + 1.6 * down
-            sums += power @ kernel, power @ (down - a), power @ down
+        sums = _influence(*_numbers(some, "lat", "lon", "frp"), *_numbers(cells, "lat", "lon"), turn(cells["wd"].to_numpy()))
         return pa.table([cells["hour"], cells["i"], cells["j"], *map(pa.array, sums)], names=["hour", "i", "j", *cols])
 
-    kinds = dict(winds.dtypes)
     made = f"hour {kinds['hour']}, i {kinds['i']}, j {kinds['j']}, influence double, upwind double, downwind double"
-    groups = d.groupBy("hour", "_salt").cogroup(winds.select("hour", "_salt", "i", "j", *[F.col(c).cast("double").alias(c) for c in ("lat", "lon", "wd")]).groupBy("hour", "_salt"))
+    groups = d.groupBy(*runs, "_salt").cogroup(met.groupBy("_from", "_hours", "_salt"))
     return groups.applyInArrow(run, made).groupBy("hour", "i", "j").agg(*[F.sum(c).alias(c) for c in cols])
 
 
+def _influence(f_lat: np.ndarray, f_lon: np.ndarray, power: np.ndarray, lat: np.ndarray, lon: np.ndarray, turned: np.ndarray) -> np.ndarray:
+    """Influence, upwind and downwind sums (3 x rows) of all fires for rows of a cell's place and its wind in one hour."""
+    # rows of one place lie together and take its distances and kernel once
+    order = np.lexsort((lon, lat))
+    lat, lon, wind = lat[order], lon[order], np.column_stack((np.cos(turned), np.sin(turned)))[order]
+    ends = [*(np.flatnonzero((np.diff(lat) != 0) | (np.diff(lon) != 0)) + 1).tolist(), len(lat)]
+    sums = np.zeros((len(lat), 3))
+    for at in range(0, len(f_lat), FIRES):
+        f_y, f_x, weight = f_lat[at:at + FIRES], f_lon[at:at + FIRES], np.empty((2, len(f_lat[at:at + FIRES])))
+        to_east, toward = np.cos(np.radians(f_y)) * geo.KM_PER_DEGREE, np.empty_like(weight)
+        weight[0] = power[at:at + FIRES]
+        for begin, end in zip([0, *ends], ends):
+            np.multiply(lon[begin] - f_x, to_east, out=toward[0])
+            np.multiply(lat[begin] - f_y, geo.KM_PER_DEGREE, out=toward[1])
+            d2 = toward[0] * toward[0] + toward[1] * toward[1]
+            np.multiply(weight[0], np.exp(d2 * (-1.0 / (KERNEL_KM * KERNEL_KM))), out=weight[1])
+            toward /= np.sqrt(d2) + 1
+            kernel = weight[1].sum()
+            for some in range(begin, end, HOURS):
+                rows = slice(some, min(some + HOURS, end))
+                # alignment of the fire-to-cell vector with the wind, -1..1; |a| + a is twice its positive part, |a| - a twice the negative
+                a = wind[rows] @ toward
+                twice = np.abs(a)
+                twice += a
+                down, kernel_down = weight @ twice.T
+                a += a
+                twice -= a
+                sums[rows, 0] += kernel + 0.8 * kernel_down
+                sums[rows, 1] += 0.5 * (twice @ weight[0])
+                sums[rows, 2] += 0.5 * down
+    out = np.empty((3, len(lat)))
+    out[:, order] = sums.T
+    return out
+
+
 def normalise_by_max(df: DataFrame, cols: list[str]) -> DataFrame:
     """Each column over its global maximum (one aggregate row, joined as a scalar).
 

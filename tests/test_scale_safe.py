@@ -254,3 +254,34 @@ def test_gated_write_reads_its_rows_once(spark):
     with pytest.raises(ValueError, match="CRITICAL: 'stations' has 500"):
         writers.write_gated(df, path, 501, "stations")
     assert writers.write_gated(df.filter("id < 3"), path, 3) == 3 and spark.read.parquet(path).count() == 3
+
+
+def test_a_fire_meets_the_wind_of_all_its_hours_at_once(spark, monkeypatch):
+    rows, df, cells, grid = make_fires(spark, 60)
+    wind = grid.select("*", F.explode(F.sequence(F.expr("timestamp_ntz'2024-01-01 00:00:00'"), F.expr("timestamp_ntz'2024-01-01 18:00:00'"), F.expr("interval 1 hour"))).alias("hour")).withColumn(
+        "wd", ((F.hour("hour") * 40 + F.col("i") * 17 + F.col("j") * 5) % 360).cast("double"))
+    got = fires.fire_influence(df, wind, angle="met")
+    plan = got._jdf.queryExecution().optimizedPlan()
+    while "CoGroup" not in plan.nodeName():
+        plan = plan.children().head()
+    sent = plan.children().head().toString()
+    assert "Generate" not in sent and "Aggregate" in sent  # a row per fire, not per fire and hour
+    want = {}
+    for la, lo, frp, m in rows:
+        for i, j, la2, lo2 in cells if frp >= 10 else []:
+            x, y = (lo2 - lo) * math.cos(math.radians(la)) * 111.13, (la2 - la) * 111.13
+            for h in (h for h in range(19) if 0 <= h * 60 - m < 360):
+                to = math.radians(270 - (h * 40 + i * 17 + j * 5) % 360)
+                a = (x * math.cos(to) + y * math.sin(to)) / (math.hypot(x, y) + 1)
+                old = want.get((h, i, j), (0, 0, 0))
+                new = (math.exp(-(x * x + y * y) / 1600) * (1 + 1.6 * max(a, 0)), max(-a, 0), max(a, 0))
+                want[h, i, j] = tuple(o + frp * n for o, n in zip(old, new))
+    for size in ((8192, 8), (7, 2)):
+        monkeypatch.setattr(fires, "FIRES", size[0])
+        monkeypatch.setattr(fires, "HOURS", size[1])
+        found = {(r.hour.hour, r.i, r.j): (r.influence, r.upwind, r.downwind) for r in got.collect()}
+        assert set(found) == set(want) and all(found[k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in want.items())
+    pieces = np.random.default_rng(3).uniform(0, 1, (6, 23))
+    whole = fires._influence(*pieces[:3], pieces[3], pieces[4], pieces[5] * 6)
+    monkeypatch.setattr(fires, "FIRES", 10 ** 6)
+    assert np.allclose(fires._influence(*pieces[:3], pieces[3], pieces[4], pieces[5] * 6), whole, rtol=1e-12)
