@@ -82,18 +82,47 @@ def knn_edges(stations: DataFrame, k: int, key: str = "station_id") -> DataFrame
     return both.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def pairs_within(stations: DataFrame, radius_km: float, key: str = "station_id") -> DataFrame:
-    """Pairs a < b within a radius, found through radius-sized cells."""
+#: Ids of one place that a row holds, and stations of a cell that one task pairs with its neighbours at a time.
+PLACE_IDS, CELL_STATIONS = 128, 256
+
+
+def _places_within(stations: DataFrame, radius_km: float, key: str) -> DataFrame:
+    """Rows (a_ids, a_lat, a_lon, b_ids, b_lat, b_lon, dist, own): pairs of places within a radius with the stations of both.
+
+    A place's stations are held in lists of a bounded length, so that a distance is taken per pair of lists and not of stations.
+    Every two lists appear once, a list with itself too (``own``).  Lists meet through radius-sized cells; a cell with many stations
+    is shared by as many tasks as its measured size asks for.
+    """
     cell = radius_km / KM_PER_DEG
-    st = stations.select(F.col(key).alias("id"), "lat", "lon")
-    cy, cx = F.floor(F.col("lat") / cell), F.floor(F.col("lon") / cell)
+    st = stations.select(F.col(key).alias("id"), "lat", "lon").filter("id is not null and lat is not null and lon is not null")
+    size = st.groupBy("lat", "lon").agg(F.ceil(F.count("*") / PLACE_IDS).alias("_lists"))
+    units = st.join(size, ["lat", "lon"]).groupBy("lat", "lon", F.pmod(F.xxhash64("id"), F.col("_lists")).alias("l")).agg(F.collect_list("id").alias("ids")).withColumns(
+        {"cy": F.floor(F.col("lat") / cell), "cx": F.floor(F.col("lon") / cell)})
+    shares = units.groupBy("cy", "cx").agg(F.ceil(F.sum(F.size("ids")) / CELL_STATIONS).cast("int").alias("_shares"))
+    share = F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("s")
     ring = F.least(F.ceil(F.lit(1.0) / F.cos(F.radians(F.least(F.abs(F.col("lat")) + F.lit(2 * cell), F.lit(89.9))))), F.lit(int(360 / cell) + 1)).cast("int")
-    a = (st.withColumns({"cy": cy, "cx": cx, "_ring": ring}).withColumn("_dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
-         .withColumn("_dx", F.explode(F.sequence(-F.col("_ring"), F.col("_ring"))))
-         .select(F.col("id").alias("a"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), (F.col("cy") + F.col("_dy")).alias("cy"), (F.col("cx") + F.col("_dx")).alias("cx")))
-    b = st.select(F.col("id").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"), cy.alias("cy"), cx.alias("cx"))
-    d = _distance("km", F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    return a.join(b, ["cy", "cx"]).filter("a < b").withColumn("dist", d).filter(F.col("dist") <= radius_km).drop("cy", "cx")
+    ask = (units.withColumn("_ring", ring).withColumn("_dy", F.explode(F.sequence(F.lit(-1), F.lit(1))))
+           .withColumn("_dx", F.explode(F.sequence(-F.col("_ring"), F.col("_ring"))))
+           .select("ids", "lat", "lon", "l", (F.col("cy") + F.col("_dy")).alias("cy"), (F.col("cx") + F.col("_dx")).alias("cx"))
+           .join(shares, ["cy", "cx"]).withColumn("s", F.pmod(F.xxhash64("lat", "lon", "l"), F.col("_shares")).cast("int")))
+    held = units.join(shares, ["cy", "cx"]).select("ids", "lat", "lon", "l", "cy", "cx", share)
+    # the pairs that come out weigh much more than the rows that meet, so the number of tasks is not cut by the size of these
+    tasks = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = lambda d, n: d.select("cy", "cx", "s", *[F.col(c).alias(f"{n}_{c}") for c in ("ids", "lat", "lon", "l")]).repartition(tasks, "cy", "cx", "s")
+    a, b = (F.struct(f"{n}_lat", f"{n}_lon", f"{n}_l") for n in "ab")
+    met = side(ask, "a").join(side(held, "b"), ["cy", "cx", "s"]).filter(
+        (F.abs(F.col("a_lat") - F.col("b_lat")) <= cell) & (a <= b))
+    d = met.withColumns({"dist": _distance("km", F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")), "own": a == b})
+    return d.filter(F.col("dist") <= radius_km).select("a_ids", "a_lat", "a_lon", "b_ids", "b_lat", "b_lon", "dist", "own")
+
+
+def pairs_within(stations: DataFrame, radius_km: float, key: str = "station_id") -> DataFrame:
+    """Pairs a < b within a radius, found through radius-sized cells."""
+    d = (_places_within(stations, radius_km, key).withColumn("x", F.explode("a_ids")).withColumn("y", F.explode("b_ids"))
+         .filter((F.col("x") < F.col("y")) | ((F.col("x") > F.col("y")) & ~F.col("own"))))
+    first = lambda p, q: F.when(F.col("x") < F.col("y"), F.col(p)).otherwise(F.col(q))
+    return d.select(first("x", "y").alias("a"), first("a_lat", "b_lat").alias("a_lat"), first("a_lon", "b_lon").alias("a_lon"),
+                    first("y", "x").alias("b"), first("b_lat", "a_lat").alias("b_lat"), first("b_lon", "a_lon").alias("b_lon"), "dist")
 
 
 def in_season(month: int, months: tuple[int, int]) -> bool:
@@ -104,12 +133,17 @@ def in_season(month: int, months: tuple[int, int]) -> bool:
 def wind_edges(stations: DataFrame, radius_km: float = 60.0, wind: float = 300.0, month: int = 10, months: tuple[int, int] = (10, 11),
                key: str = "station_id") -> DataFrame:
     """Symmetric transport weights |cos(bearing - wind)|; empty outside the season."""
-    p = pairs_within(stations, radius_km, key)
+    p = _places_within(stations, radius_km, key)
     if not in_season(month, months):
         p = p.filter("false")
-    w = F.abs(F.cos(F.radians(geo.bearing_deg(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon")) - wind)))
-    e = p.select("a", "b", w.alias("w"))
-    return e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").unionByName(e.select(F.col("b").alias("src"), F.col("a").alias("dst"), "w"))
+    weight = lambda a, b: F.abs(F.cos(F.radians(geo.bearing_deg(F.col(f"{a}_lat"), F.col(f"{a}_lon"), F.col(f"{b}_lat"), F.col(f"{b}_lon")) - wind)))
+    p = p.select("a_ids", "b_ids", weight("a", "b").alias("ab"), weight("b", "a").alias("ba"), "own")
+    # both directions are made from pairs of places; a list with itself holds them already
+    way = lambda a, b: F.struct(F.col(f"{a}_ids").alias("src"), F.col(f"{b}_ids").alias("dst"), F.col(a + b).alias("up"), F.col(b + a).alias("down"))
+    ways = p.select(F.explode(F.when(F.col("own"), F.array(way("a", "b"))).otherwise(F.array(way("a", "b"), way("b", "a")))).alias("e")).select("e.*")
+    e = ways.withColumn("src", F.explode("src")).withColumn("dst", F.explode("dst")).filter("src <> dst")
+    # the bearing is that from the lower id to the higher one
+    return e.select("src", "dst", F.when(F.col("src") < F.col("dst"), F.col("up")).otherwise(F.col("down")).alias("w"))
 
 
 #: Stations of a block, and hours that one task holds of a pair of blocks.

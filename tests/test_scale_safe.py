@@ -285,3 +285,32 @@ def test_a_fire_meets_the_wind_of_all_its_hours_at_once(spark, monkeypatch):
     whole = fires._influence(*pieces[:3], pieces[3], pieces[4], pieces[5] * 6)
     monkeypatch.setattr(fires, "FIRES", 10 ** 6)
     assert np.allclose(fires._influence(*pieces[:3], pieces[3], pieces[4], pieces[5] * 6), whole, rtol=1e-12)
+
+
+def test_crowded_places_are_paired_by_their_lists(spark, monkeypatch):
+    rnd = random.Random(11)
+    spots = [(28.0 + rnd.random(), 77.0 + rnd.random()) for _ in range(9)] + [(10.0, 179.99)]
+    rows = [(n, *rnd.choice(spots)) for n in range(90)] + [(n, *spots[0]) for n in (3, 3, 200)] + [(None, *spots[1]), (300, None, 77.0), (301, 28.0, None)]
+    df = spark.createDataFrame(rows, "station_id long, lat double, lon double")
+    held = [r for r in rows if None not in r]
+    want = sorted((a[0], b[0]) for a in held for b in held if a[0] < b[0] and round(haversine(a[1:], b[1:]), 6) <= 40)
+    edges = {}
+    for a in held:
+        for b in held:
+            if a[0] < b[0] and round(haversine(a[1:], b[1:]), 6) <= 40:
+                (la, lo), (lb, lp) = (map(math.radians, x[1:]) for x in (a, b))
+                to = math.degrees(math.atan2(math.sin(lp - lo) * math.cos(lb), math.cos(la) * math.sin(lb) - math.sin(la) * math.cos(lb) * math.cos(lp - lo))) % 360
+                for k in ((a[0], b[0]), (b[0], a[0])):
+                    edges.setdefault(k, []).append(abs(math.cos(math.radians(to - 300))))
+    for ids, cell in ((128, 256), (2, 3)):
+        monkeypatch.setattr(graph, "PLACE_IDS", ids)
+        monkeypatch.setattr(graph, "CELL_STATIONS", cell)
+        assert sorted((r.a, r.b) for r in graph.pairs_within(df, 40.0).collect()) == want
+        got = {}
+        for r in graph.wind_edges(df, 40.0).collect():
+            got.setdefault((r.src, r.dst), []).append(r.w)
+        assert {k: sorted(v) for k, v in got.items()} == {k: pytest.approx(sorted(v), abs=1e-9) for k, v in edges.items()}
+    # one place with all stations: its pairs come from more than one task
+    one = spark.createDataFrame([(n, 28.0, 77.0) for n in range(600)], "station_id long, lat double, lon double").coalesce(1)
+    made = graph.wind_edges(one, 1.0).groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 1 and sum(r["count"] for r in made) == 600 * 599
