@@ -229,9 +229,19 @@ def normalize(edges: DataFrame) -> DataFrame:
 
 
 def neighbour_smooth(values: DataFrame, stations: DataFrame, t: str, value: str, k: int = 6, key: str = "station_id") -> DataFrame:
-    """Per time the inverse-degree-distance weighted mean of the k nearest others (weights sum to one)."""
-    e = knn(stations, k, key, metric="degrees").withColumn("_w", F.lit(1.0) / (F.col("dist") + F.lit(0.01)))
-    total = e.groupBy("src").agg(F.sum("_w").alias("_s"))
-    e = e.join(total, "src").select("src", "dst", (F.col("_w") / F.greatest(F.col("_s"), F.lit(1e-9))).alias("_w"))
+    """Per time the inverse-degree-distance weighted mean of the k nearest others (weights sum to one).
+
+    Means are taken per distinct list of neighbours, then handed to the stations that have it: what is summed at a time grows with the
+    values and not with the stations that share a place.
+    """
+    e = knn(stations, k, key, metric="degrees").groupBy("src", "dst", "dist").agg(F.count("*").alias("c"))
+    lists = e.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "dst", "c"))).alias("_list"))
+    weight = lambda x: x["c"] / (x["dist"] + F.lit(0.01))
+    total = F.aggregate("_list", F.lit(0.0), lambda s, x: s + weight(x))
+    # a list goes by its lowest station from here on
+    groups = lists.groupBy("_list").agg(F.min("src").alias("_l"))
+    near = groups.select("_l", total.alias("_s"), F.explode("_list").alias("x")).select(
+        "_l", F.col("x.dst").alias("dst"), (weight(F.col("x")) / F.greatest(F.col("_s"), F.lit(1e-9))).alias("_w"))
     v = values.select(t, F.col(key).alias("dst"), F.col(value).alias("_v"))
-    return v.join(e, "dst").groupBy(t, F.col("src").alias(key)).agg(F.sum(F.col("_w") * F.col("_v")).alias("smoothed"))
+    means = v.join(near, "dst").groupBy(t, "_l").agg(F.sum(F.col("_w") * F.col("_v")).alias("smoothed"))
+    return means.join(lists.join(groups, "_list").select("_l", "src"), "_l").select(t, F.col("src").alias(key), "smoothed")

@@ -314,3 +314,29 @@ def test_crowded_places_are_paired_by_their_lists(spark, monkeypatch):
     one = spark.createDataFrame([(n, 28.0, 77.0) for n in range(600)], "station_id long, lat double, lon double").coalesce(1)
     made = graph.wind_edges(one, 1.0).groupBy(F.spark_partition_id()).count().collect()
     assert len(made) > 1 and sum(r["count"] for r in made) == 600 * 599
+
+
+def test_smoothing_sums_once_for_stations_with_the_same_neighbours(spark):
+    rnd = random.Random(4)
+    rows = [(n, 28.0 + n % 3 * 0.1, 77.0 + n % 3 * 0.2) for n in range(60)]
+    df = spark.createDataFrame(rows + rows[20:23] + [(7, 28.05, 77.3), (None, 28.0, 77.0)], "station_id long, lat double, lon double")
+    hours, vals = range(30), {}
+    for h in hours:
+        for s in range(12):
+            if rnd.random() < 0.8:
+                vals[h, s] = rnd.random() * 90
+    values = spark.createDataFrame([(h, s, v) for (h, s), v in vals.items()], "t long, station_id long, v double")
+    got = graph.neighbour_smooth(values, df, "t", "v")
+    near = {}
+    for r in graph.knn(df, 6, metric="degrees").collect():
+        near.setdefault(r.src, []).append((r.dst, 1 / (r.dist + 0.01)))
+    want = {}
+    for s, e in near.items():
+        for h in hours:
+            if any((h, d) in vals for d, _ in e):
+                want[h, s] = sum(w * vals[h, d] for d, w in e if (h, d) in vals) / sum(w for _, w in e)
+    assert {(r.t, r.station_id): r.smoothed for r in got.collect()} == pytest.approx(want, rel=1e-9)
+    # sums are held per list of neighbours: 3 places, and a list for each of the few stations that others name
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    top = next(line for line in plan.splitlines() if "Aggregate" in line)
+    assert "Join" in plan[:plan.index(top)] and "_l#" in top
